@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from spanloom.plans import general
+
+_FAMILIES = [general]
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {k: v for m in _FAMILIES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {k: v for m in _FAMILIES for k, v in m.ORACLE.items()}

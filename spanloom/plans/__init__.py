@@ -1 +1 @@
-"""Subpackage of spanloom."""
+"""Registered queries, one module a family."""
