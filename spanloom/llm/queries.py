@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.leaks import leaks
+from spanloom.llm.packing import fill_containers, token_counts
 from spanloom.llm.percentiles import measured, merged, percentiles, summaries
 from spanloom.llm.topn import top_n
 from spanloom.runtime import table
@@ -33,8 +35,33 @@ def p3_found(s: SparkSession, d: str) -> DataFrame:
     return top_n(rows, ["sample_id", "chr"], ["log10qvalue", "fold_enrichment"], "peak_id", 5)
 
 
+CAPACITY = 2048
+
+
+def _filled(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents")
+    return fill_containers(token_counts(docs, "doc_id", "text"), docs.count(), CAPACITY)
+
+
+def p8_found(s: SparkSession, d: str) -> DataFrame:
+    """Documents that had to be split."""
+    return _filled(s, d).where("pieces > 1 AND piece = 0").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p8_containers(s: SparkSession, d: str) -> DataFrame:
+    """Every piece with its container."""
+    return _filled(s, d)
+
+
+def p9_found(s: SparkSession, d: str) -> DataFrame:
+    return leaks(table(s, d, "documents"), "doc_id", "text", table(s, d, "benchmark"), "item_id", "text")
+
+
 def queries() -> dict:
-    return {"p1_percentiles": p1_percentiles, "p1_combined_days": p1_combined_days, "p3_found": p3_found}
+    return {
+        "p1_percentiles": p1_percentiles, "p1_combined_days": p1_combined_days, "p3_found": p3_found,
+        "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found,
+    }
 
 
 _VALUES = """
