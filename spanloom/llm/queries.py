@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.leaks import leaks
 from spanloom.llm.packing import fill_containers, token_counts
 from spanloom.llm.percentiles import measured, merged, percentiles, summaries
+from spanloom.llm.subjects import subjects
 from spanloom.llm.topn import top_n
 from spanloom.runtime import table
 
@@ -57,10 +58,16 @@ def p9_found(s: SparkSession, d: str) -> DataFrame:
     return leaks(table(s, d, "documents"), "doc_id", "text", table(s, d, "benchmark"), "item_id", "text")
 
 
+def p10_found(s: SparkSession, d: str) -> DataFrame:
+    names = sorted(r["subject"] for r in table(s, d, "subjects").select("subject").distinct().limit(1000).collect())
+    lang = F.lower(F.substring(F.trim("lang"), 1, 2))
+    return subjects(table(s, d, "documents"), "doc_id", "text", lang, table(s, d, "subject_labels"), "doc_id", "subject", names)
+
+
 def queries() -> dict:
     return {
         "p1_percentiles": p1_percentiles, "p1_combined_days": p1_combined_days, "p3_found": p3_found,
-        "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found,
+        "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found,
     }
 
 
