@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import general
+from spanloom.plans import general, intervals, stats
 
-_FAMILIES = [general]
+_FAMILIES = [intervals, stats, general]
 
 
 def queries() -> dict:
