@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import general, intervals, stats
+from spanloom.plans import codecs, general, intervals, sequence, stats
 
-_FAMILIES = [intervals, stats, general]
+_FAMILIES = [intervals, stats, sequence, codecs, general]
 
 
 def queries() -> dict:
