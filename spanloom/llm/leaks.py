@@ -21,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.runtime import spread
+
 Q = 8
 #: Half the width of a band in diagonals; bands overlap by it.
 HALF = 32
 #: Diagonals added on both sides of a band when it is aligned.
 MARGIN = 16
+#: Bytes by which what stands for an altered word may exceed it.
+GROW = 16
 #: Bytes of normalised text scanned, candidates aligned, and characters of items held by one block.
 SCAN_BYTES, ALIGN_ROWS, BLOCK_CHARS = 4_000_000, 256, 4_000_000
 _BRACKETS = re.compile(r"\([^()\[\]]*\)|\[[^()\[\]]*\]")
@@ -161,13 +165,14 @@ def _altered(it: Items, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, item:
     """Banded alignment of candidates: for each of their words, altered in the alignment with the fewest altered words; and word counts.
 
     A column is a diagonal of the band. A word of the item is whole where all its bytes stand in the document on its column; an altered
-    word may take any bytes of the document or none, and so leads from a column to any that lies not further down than its length.
+    word may stand for any bytes of the document, from none to ``GROW`` more than it has, and so leads to the columns in that reach.
     """
     n, width = len(item), 2 * HALF + 2 * MARGIN
     base, col, idx = diag - MARGIN, np.arange(width), np.arange(n)
     first, past = it.start[item], it.start[item + 1]
     count = it.word[past - 1] + 1
     words = int(count.max())
+    far = np.int64(1 << 40)
     size = np.zeros((n, words), np.int64)
     for k, (a, b) in enumerate(zip(first, past, strict=True)):
         size[k, : count[k]] = np.bincount(it.word[a:b])
@@ -181,8 +186,12 @@ def _altered(it: Items, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, item:
             pos = base[:, None] + col + (at[:, k] + r)[:, None]
             there = text[np.clip(pos, 0, len(text) - 1)] == it.text[np.minimum(first + at[:, k] + r, len(it.text) - 1)][:, None]
             whole &= (there & (pos >= lo[:, None]) & (pos < hi[:, None])) | ~live[:, None]
-        best = np.minimum.accumulate(cost * width + col, axis=1)
-        best = np.take_along_axis(best, np.minimum(col + size[:, k][:, None], width - 1), axis=1)
+        best = np.full((n, width), far, np.int64)
+        state = cost * width + col
+        for shift in range(-int(size[:, k].max()), GROW + 1):
+            into = best[:, max(shift, 0) : width + min(shift, 0)]
+            come = state[:, max(-shift, 0) : width - max(shift, 0)]
+            into[:] = np.minimum(into, np.where((shift >= -size[:, k])[:, None], come, far))
         changed = best // width + 1
         pick = whole & (cost <= changed)
         live = (k < count)[:, None]
@@ -259,6 +268,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     """
     rows = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t"))
     src = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("t"))
+    src = spread(src)
     out, ident, texts, held = None, [], [], 0
 
     def block() -> None:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.arrow import starts
+from spanloom.runtime import spread
 
 #: Items of one shard; what a task holds is a few numbers an item.
 SHARD_ITEMS = 50_000
@@ -66,7 +67,7 @@ def token_counts(df: DataFrame, ident: str, text: str, tokenizer: str = TOKENIZE
             yield pa.record_batch([b.column("id"), pa.array([count(t) for t in b.column("t").to_pylist()], pa.int64())], ["id", "tokens"])
 
     src = df.where(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("id"), F.col(text).cast("string").alias("t"))
-    return src.mapInArrow(run, "id bigint, tokens bigint")
+    return spread(src).mapInArrow(run, "id bigint, tokens bigint")
 
 
 def packed(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.runtime import written
+from spanloom.runtime import spread, written
 
 _BRACKETS = re.compile(r"\([^()\[\]]*\)|\[[^()\[\]]*\]")
 _PARTED = re.compile(r"[-­‐]\s*\n\s*")
@@ -83,63 +83,82 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
         yield _Batch(b.column("id").to_numpy(), b.column("kind").to_pylist(), inner.flatten().to_numpy().astype(np.int64), sent, doc)
 
 
-def _summed(ids: DataFrame, fn: Callable[[_Batch, np.ndarray], None], shape: tuple[int, int]) -> np.ndarray:
-    """Sum over all partitions of a matrix that ``fn`` adds to; partial matrices meet block by block of rows, on the executors."""
-    rows, width = shape
+def _summed(ids: DataFrame, fn: Callable[..., None], *shapes: tuple[int, int]) -> list[np.ndarray]:
+    """Sums over all partitions of matrices that ``fn(batch, *matrices)`` adds to; partial matrices meet block by block of rows, on the executors."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
+        totals = [np.zeros(x) for x in shapes]
         some = False
         for b in _batches(batches):
-            fn(b, total)
+            fn(b, *totals)
             some = True
-        for k in range(0, rows if some else 0, BLOCK):
-            yield pa.record_batch([pa.array([k], pa.int64()), pa.array([total[k : k + BLOCK].tobytes()], pa.binary())], ["k", "v"])
+        for m, total in enumerate(totals if some else []):
+            for k in range(0, len(total), BLOCK):
+                yield pa.record_batch([pa.array([m], pa.int32()), pa.array([k], pa.int64()), pa.array([total[k : k + BLOCK].tobytes()], pa.binary())], ["m", "k", "v"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for k, v in zip(b.column("k").to_pylist(), b.column("v"), strict=True):
+            for m, k, v in zip(b.column("m").to_pylist(), b.column("k").to_pylist(), b.column("v"), strict=True):
                 x = np.frombuffer(v.as_buffer(), float)
-                total[k] = total[k] + x if k in total else x.copy()
-        for k, x in total.items():
-            yield pa.record_batch([pa.array([k], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["k", "v"])
-
-    out = np.zeros(shape)
-    for r in ids.mapInArrow(part, "k bigint, v binary").repartition("k").mapInArrow(meet, "k bigint, v binary").toLocalIterator():
-        x = np.frombuffer(bytes(r["v"]), float).reshape(-1, width)
-        out[r["k"] : r["k"] + len(x)] = x
+                total[m, k] = total[m, k] + x if (m, k) in total else x.copy()
+        for (m, k), x in total.items():
+            yield pa.record_batch([pa.array([m], pa.int32()), pa.array([k], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["m", "k", "v"])
+
+    out = [np.zeros(x) for x in shapes]
+    schema = "m int, k bigint, v binary"
+    for r in ids.mapInArrow(part, schema).repartition("m", "k").mapInArrow(meet, schema).collect():
+        x = np.frombuffer(bytes(r["v"]), float).reshape(-1, shapes[r["m"]][1])
+        out[r["m"]][r["k"] : r["k"] + len(x)] = x
     return out
 
 
+def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """total[at] += rows, where rows of ``at`` may repeat."""
+    if len(at):
+        by = np.argsort(at, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, at[by][1:] != at[by][:-1]])
+        total[at[by][cuts]] += np.add.reduceat(rows[by], cuts, axis=0)
+
+
 def _doc_rows(b: _Batch, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of documents as dense weighted rows of unit length over the terms that occur in them: documents, terms, matrix, has terms."""
-    first = b.sent[b.doc]
-    n, lo = len(b.ident), 0
-    while lo < n:
-        hi = min(n, max(lo + 1, min(lo + 256, int(np.searchsorted(first, first[lo] + CHUNK, "right")) - 1)))
-        ids = b.ids[first[lo] : first[hi]]
-        if len(ids):
-            cols, at = np.unique(ids, return_inverse=True)
-            row = np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1]))
-            a = np.bincount(row * len(cols) + at, minlength=(hi - lo) * len(cols)).reshape(hi - lo, len(cols)).astype(float)
-            a = np.log1p(a) * weight[cols]
-            norm = np.linalg.norm(a, axis=1, keepdims=True)
-            yield np.arange(lo, hi), cols, a / np.where(norm > 0, norm, 1), norm[:, 0] > 0
+    """Groups of documents as sparse weighted rows of unit length: documents, start of each in the cells, terms and values of the cells.
+
+    Documents without a term that weighs are left out.
+    """
+    used = weight[b.ids] > 0
+    first = np.concatenate([[0], np.cumsum(used)])[b.sent[b.doc]]
+    kept, owner = b.ids[used], np.repeat(np.arange(len(b.ident)), np.diff(first))
+    lo = 0
+    while lo < len(b.ident):
+        hi = min(len(b.ident), max(lo + 1, int(np.searchsorted(first, first[lo] + CHUNK, "right")) - 1))
+        cell, count = np.unique(owner[first[lo] : first[hi]] * len(weight) + kept[first[lo] : first[hi]], return_counts=True)
+        if len(cell):
+            doc, term = cell // len(weight), cell % len(weight)
+            value = np.log1p(count) * weight[term]
+            cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            norm = np.sqrt(np.add.reduceat(value * value, cuts))
+            yield doc[cuts], cuts, term, (value / np.repeat(norm, np.diff(np.r_[cuts, len(doc)]))).astype(np.float32)
         lo = hi
 
 
+def _embedded(cuts: np.ndarray, term: np.ndarray, value: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(basis[term] * value[:, None], cuts, axis=0)
+
+
 def _svd(ids: DataFrame, weight: np.ndarray, start: np.ndarray, rounds: int, scale: dict[str | None, float]) -> np.ndarray:
     """The right singular vectors (terms x components) of the weighted documents; ``scale`` gives rare kinds of text their share."""
 
     def once(basis: np.ndarray) -> np.ndarray:
+        small = basis.astype(np.float32)
+
         def add(b: _Batch, total: np.ndarray) -> None:
-            by_kind = np.array([scale.get(k, 1.0) for k in b.kind])
-            for at, cols, a, _ in _doc_rows(b, weight):
-                a = a * by_kind[at][:, None]
-                total[cols] += a.T @ (a @ basis[cols])
+            by_kind = np.array([scale.get(k, 1.0) for k in b.kind], np.float32)
+            for docs, cuts, term, value in _doc_rows(b, weight):
+                y = _embedded(cuts, term, value, small) * (by_kind[docs] ** 2)[:, None]
+                _add_rows(total, term, np.repeat(y, np.diff(np.r_[cuts, len(term)]), axis=0) * value[:, None])
 
-        return _summed(ids, add, basis.shape)
+        return _summed(ids, add, basis.shape)[0]
 
     basis = np.linalg.qr(start)[0]
     for _ in range(rounds):
@@ -155,12 +174,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
-def term_weights(count: np.ndarray, prior: float) -> np.ndarray:
-    """Divergence of each term's distribution over subjects from that of all terms, shrunk by ``prior`` pseudo-counts; 1 is the highest."""
+def term_weights(count: np.ndarray, prior: float, floor: float) -> np.ndarray:
+    """Divergence of each term's distribution over subjects from that of all terms, shrunk by ``prior`` pseudo-counts.
+
+    1 is the highest; weights under ``floor`` are 0, as such terms stand beside any subject.
+    """
     p = (count.sum(0) + 1e-9) / (count.sum() + 1e-9 * count.shape[1])
     q = (count + prior * p) / (count.sum(1, keepdims=True) + prior)
     kl = (q * np.log(np.maximum(q, 1e-12) / p)).sum(1)
-    return np.maximum(kl, 0) / max(float(kl.max(initial=0)), 1e-9)
+    w = np.maximum(kl, 0) / max(float(kl.max(initial=0)), 1e-9)
+    return np.where(w < floor, 0.0, w)
 
 
 @dataclass
@@ -169,7 +192,6 @@ class _Model:
     vectors: np.ndarray  # weighted term vectors
     centre: np.ndarray  # unit centroids
     subject: np.ndarray  # subject of each centroid
-    group: np.ndarray  # subject and kind of each centroid
     calls: np.ndarray  # terms that call business or name in passing
     cosine: float
     margin: float
@@ -180,21 +202,27 @@ def _assigned(b: _Batch, m: _Model) -> tuple[np.ndarray, np.ndarray]:
     """Centroid of every sentence (-1: no subject), and the unit embeddings."""
     n = len(b.sent) - 1
     who, emb = np.full(n, -1, np.int64), np.zeros((n, m.vectors.shape[1]), np.float32)
+    used = m.weight[b.ids] > 0
+    kept = b.ids[used]
+    ends = np.concatenate([[0], np.cumsum(used)])[b.sent]
+    some = np.flatnonzero(ends[1:] > ends[:-1])  # sentences with terms that weigh
+    start = np.append(ends[some], len(kept))
     lo = 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(b.sent, b.sent[lo] + CHUNK, "right")) - 1)
-        ids = b.ids[b.sent[lo] : b.sent[hi]]
-        cuts = b.sent[lo:hi] - b.sent[lo]
+    while lo < len(some):
+        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + CHUNK, "right")) - 1)
+        ids = kept[start[lo] : start[hi]]
+        cuts = start[lo:hi] - start[lo]
         x = _unit(np.add.reduceat(m.vectors[ids], cuts, axis=0))
         mass = np.maximum.reduceat(m.weight[ids], cuts)
-        emb[lo:hi] = x
+        at = some[lo:hi]
+        emb[at] = x
         if len(m.subject):
             c = x @ m.centre.T
             # centroids lie in order of their subjects
             per = np.maximum.reduceat(c, np.flatnonzero(np.r_[True, m.subject[1:] != m.subject[:-1]]), axis=1)
             top = per.max(1)
             second = np.partition(per, -2, axis=1)[:, -2] if per.shape[1] > 1 else np.full(len(per), -1.0)
-            who[lo:hi] = np.where((top >= m.cosine) & (top - second >= m.margin) & (mass >= m.mass), c.argmax(1), -1)
+            who[at] = np.where((top >= m.cosine) & (top - second >= m.margin) & (mass >= m.mass), c.argmax(1), -1)
         lo = hi
     return who, emb
 
@@ -211,6 +239,7 @@ class Settings:
     prior: float = 20.0  # and in those from sentences
     cosine: float = 0.15  # least cosine to the nearest centroid
     margin: float = 0.08  # and how much further off the next subject must be
+    floor: float = 0.02
     mass: float = 0.15  # a sentence about a subject holds a term of at least this share of the highest weight
     least: int = 3
     coherence: float = 0.25  # of terms that call business, at most this share of their subjects is treated by the rest
@@ -229,12 +258,12 @@ def subjects(docs: DataFrame, doc_id: str, text: str, kind: Column, labels: Data
     index = {s: i for i, s in enumerate(names)}
     given = labels.where(F.col(label).isin(names) & F.col(label_id).isNotNull()).groupBy(F.col(label_id).cast("bigint").alias("id")).agg(F.collect_set(label).alias("s"))
     known = {r["id"]: [index[s] for s in r["s"]] for r in given.orderBy(F.xxhash64("id")).limit(cfg.labelled).collect()}
-    toks = written(src.mapInArrow(_tokenised, "id bigint, kind string, sents array<array<string>>"), "terms")
+    toks = written(spread(src).mapInArrow(_tokenised, "id bigint, kind string, sents array<array<string>>"), "terms")
     n = toks.count()
     if not known or not n:
         return empty
     seen = toks.select(F.explode(F.array_distinct(F.flatten("sents"))).alias("term")).groupBy("term").count()
-    vocabulary = pa.array(sorted(r["term"] for r in seen.where(F.col("count") >= max(3, cfg.frequency * n)).select("term").toLocalIterator()), pa.string())
+    vocabulary = pa.array(sorted(r["term"] for r in seen.where(F.col("count") >= max(3, cfg.frequency * n)).select("term").collect()), pa.string())
     size, many = len(vocabulary), len(names)
     if not size:
         return empty
@@ -264,7 +293,7 @@ def subjects(docs: DataFrame, doc_id: str, text: str, kind: Column, labels: Data
             for s in known.get(i, ()):
                 total[np.unique(b.ids[first[k] : first[k + 1]]), s] += 1 / len(known[i])
 
-    count = labelled = _summed(ids, label_counts, (size, many))
+    count = labelled = _summed(ids, label_counts, (size, many))[0]
     k = max(1, min(cfg.components, size))
     basis = np.random.default_rng(7).standard_normal((size, k))
     often = {r["kind"]: r["count"] for r in toks.groupBy("kind").count().orderBy(F.desc("count")).limit(MAX_KINDS + 1).collect()}
@@ -275,50 +304,40 @@ def subjects(docs: DataFrame, doc_id: str, text: str, kind: Column, labels: Data
     total = sum(v for k, v in often.items() if k)
     scale = {k: (v / total) ** -0.5 for k, v in often.items() if k}
     groups = many * len(kinds)
-    centre = None
     model = None
     for turn in range(cfg.rounds):
-        weight = term_weights(count, cfg.prior if turn else cfg.first_prior)
+        weight = term_weights(count, cfg.prior if turn else cfg.first_prior, cfg.floor)
+        old = basis
         basis = _svd(ids, weight, basis, 3 if turn == 0 else 1, scale)
         vectors = (weight[:, None] * basis).astype(np.float32)
-        if centre is None or turn == 1:
+        if model is None:
 
-            def seeds(b: _Batch, total: np.ndarray, weight=weight, basis=basis) -> None:
-                for at, cols, a, some in _doc_rows(b, weight):
-                    e = _unit(a @ basis[cols])
-                    for r, d in enumerate(at.tolist()):
-                        for s in known.get(int(b.ident[d]), ()) if some[r] else ():
+            def seeds(b: _Batch, total: np.ndarray, weight=weight, basis=basis.astype(np.float32)) -> None:
+                for docs, cuts, term, value in _doc_rows(b, weight):
+                    e = _unit(_embedded(cuts, term, value, basis))
+                    for r, d in enumerate(docs.tolist()):
+                        for s in known.get(int(b.ident[d]), ()):
                             total[s * len(kinds) + place[b.kind[d] or ""]] += e[r] / len(known[int(b.ident[d])])
 
-            sums = _summed(ids, seeds, (groups, k))
+            sums = _summed(ids, seeds, (groups, k))[0]
+            there = np.linalg.norm(sums, axis=1) > 0
+            group = np.flatnonzero(there)
+            centre = _unit(sums[there]).astype(np.float32)
+            model = _Model(weight.astype(np.float32), vectors, centre, group // len(kinds), np.zeros(size, bool), cfg.cosine, cfg.margin, cfg.mass)
         else:
-            # the centroids' own vectors, in the new basis
-            def seeds_again(b: _Batch, total: np.ndarray, m=model, vectors=vectors) -> None:
-                who, _ = _assigned(b, m)
-                fresh = _assigned(b, replace(m, vectors=vectors, subject=np.zeros(0, int)))[1]
-                np.add.at(total, m.group[who[who >= 0]], fresh[who >= 0])
-
-            sums = _summed(ids, seeds_again, (groups, k))
-        there = np.linalg.norm(sums, axis=1) > 0
-        group = np.flatnonzero(there)
-        centre = _unit(sums[there]).astype(np.float32)
-        model = _Model(weight.astype(np.float32), vectors, centre, group // len(kinds), group, np.zeros(size, bool), cfg.cosine, cfg.margin, cfg.mass)
+            # the centroids turn with the basis
+            model = replace(model, weight=weight.astype(np.float32), vectors=vectors, centre=_unit(model.centre @ (old.T @ basis)).astype(np.float32))
         for _ in range(2 if turn == 0 else 1):
 
-            def refine(b: _Batch, total: np.ndarray, m=model) -> None:
+            def refine(b: _Batch, sums: np.ndarray, raw: np.ndarray, m=model) -> None:
                 who, emb = _assigned(b, m)
-                np.add.at(total, who[who >= 0], emb[who >= 0])
+                _add_rows(sums, who[who >= 0], emb[who >= 0])
+                s = np.where(who >= 0, m.subject[who], many)
+                raw += np.bincount(b.ids * (many + 1) + s[b.id_sent], minlength=raw.size).reshape(raw.shape)
 
-            fresh = _summed(ids, refine, centre.shape)
+            fresh, raw = _summed(ids, refine, centre.shape, (size, many + 1))
             moved = np.linalg.norm(fresh, axis=1, keepdims=True) > 0
             model.centre = np.where(moved, _unit(fresh), model.centre).astype(np.float32)
-
-        def recount(b: _Batch, total: np.ndarray, m=model) -> None:
-            who, _ = _assigned(b, m)
-            s = np.where(who >= 0, m.subject[who], many)
-            np.add.at(total, (b.ids, s[b.id_sent]), 1)
-
-        raw = _summed(ids, recount, (size, many + 1))
         share = raw[:, :many].sum(0) / max(1.0, raw[:, :many].sum())
         count = raw[:, :many] + raw[:, many:] * share + labelled
 
@@ -329,10 +348,10 @@ def subjects(docs: DataFrame, doc_id: str, text: str, kind: Column, labels: Data
         per = np.bincount(d[real] * many + s[real], minlength=len(b.ident) * many)
         others = per[d * many + s] - 1
         on = real[b.id_sent]
-        np.add.at(total, (b.ids[on], 0), 1)
-        np.add.at(total, (b.ids[on], 1), (others[b.id_sent] >= 1)[on])
+        total[:, 0] += np.bincount(b.ids[on], minlength=size)
+        total[:, 1] += np.bincount(b.ids[on], (others[b.id_sent] >= 1)[on], minlength=size)
 
-    seen_terms = _summed(ids, coherent, (size, 2))
+    seen_terms = _summed(ids, coherent, (size, 2))[0]
     model.calls = (seen_terms[:, 0] >= cfg.support) & (seen_terms[:, 1] <= cfg.coherence * seen_terms[:, 0])
 
     def treated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
