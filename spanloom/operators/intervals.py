@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.dyadic import blocks_and_gaps
 from spanloom.operators.ordered import stepped
+from spanloom.runtime import written
 
 
 
@@ -58,7 +59,8 @@ def depth(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def _where(a: DataFrame, b: DataFrame, keys: list[str], keep: str) -> DataFrame:
     got = stepped(_events(a, keys, 1, 0).unionByName(_events(b, keys, 0, 1)), keys, "pos", ["a", "b"])
-    return merge(got.where(keep).select(*keys, F.col("pos").alias("lo"), (F.col("next_pos") - 1).alias("hi")), keys)
+    # written, as merging reads its input twice
+    return merge(written(got.where(keep).select(*keys, F.col("pos").alias("lo"), (F.col("next_pos") - 1).alias("hi")), "swept"), keys)
 
 
 def union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
