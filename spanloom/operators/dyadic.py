@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.arrow import chunks, codes, starts
-from spanloom.runtime import written
+from spanloom.runtime import spread, written
 
 CHUNK_ROWS = 200_000
 #: Zones that the range of all coordinates is divided into.
@@ -136,11 +136,12 @@ def blocks_and_gaps(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFra
     ks = [f"k{i}" for i in range(len(keys))]
     rows = df.select(*(F.col(k).cast("string").alias(n) for k, n in zip(keys, ks, strict=True)), F.col(lo).cast("bigint").alias("lo"), F.col(hi).cast("bigint").alias("hi"))
     rows = rows.where((F.col("lo") < F.col("hi")) & (F.col("lo") >= -_LIMIT) & (F.col("hi") <= _LIMIT))
-    span = rows.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    span = rows.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.avg(F.col("hi") - F.col("lo")).alias("mean")).first()
     width = (span["hi"] - span["lo"]) if span["lo"] is not None else 1
-    zone = 1 << max(0, (max(1, width) // ZONES).bit_length())
+    # at most so many zones, and few intervals that cross from one to the next
+    zone = 1 << max(0, max(max(1, width) // ZONES, int(8 * (span["mean"] or 1))).bit_length())
     key_schema = ", ".join(f"{k} string" for k in ks)
-    cut = rows.mapInArrow(_blocks(ks, zone), f"{key_schema}, zone bigint, start bigint, size bigint")
+    cut = spread(rows).mapInArrow(_blocks(ks, zone), f"{key_schema}, zone bigint, start bigint, size bigint")
     runs = cut.repartition(*ks, "zone").sortWithinPartitions(*ks, "zone").mapInArrow(_runs(ks, zone), f"{key_schema}, zone bigint, kind int, lo bigint, hi bigint")
     runs = written(runs, "runs")
     w = Window.partitionBy(*ks).orderBy("lo")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.dyadic import blocks_and_gaps
-from spanloom.operators.ordered import stepped
+from spanloom.operators.ordered import LEAST, STRETCHES, stepped
 from spanloom.runtime import written
 
 
@@ -152,7 +152,7 @@ def nearest(queries: DataFrame, targets: DataFrame, keys: list[str], ident: str)
     q = valid(queries).select(ident, *keys, "lo", "hi")
     t = valid(targets).select(*keys, "lo", "hi").distinct()
     span = q.select("lo", "hi").unionByName(t.select("lo", "hi")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-    width = ((span["hi"] - span["lo"]) // 1024 + 1) if span["lo"] is not None else 1
+    width = max(LEAST, (span["hi"] - span["lo"]) // STRETCHES + 1) if span["lo"] is not None else LEAST
     hits = overlaps(q, t, keys).groupBy(ident).agg(F.min(F.struct(F.col("lo_b").alias("lo"), F.col("hi_b").alias("hi"))).alias("best"))
     sides = []
     for side in ("left", "right"):

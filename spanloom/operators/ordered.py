@@ -14,6 +14,8 @@ from spanloom.runtime import written
 
 #: Stretches that the range of all positions is divided into.
 STRETCHES = 1024
+#: Positions a stretch has at least; so many rows are little for a task.
+LEAST = 4096
 
 
 def _cumulated(values: list[str]):
@@ -55,8 +57,8 @@ def stepped(events: DataFrame, keys: list[str], pos: str, deltas: list[str]) ->
     totals of those before it, so a hot key is spread over many tasks and no task has more rows than positions in a stretch.
     """
     span = events.agg(F.min(pos).alias("lo"), F.max(pos).alias("hi")).first()
-    width = ((span["hi"] - span["lo"]) // STRETCHES + 1) if span["lo"] is not None else 1
-    stretch: Column = F.floor(F.col(pos) / F.lit(width)).cast("bigint") if width > 1 else F.col(pos)
+    width = max(LEAST, (span["hi"] - span["lo"]) // STRETCHES + 1) if span["lo"] is not None else LEAST
+    stretch: Column = F.floor(F.col(pos) / F.lit(width)).cast("bigint")
     ev = events.withColumn("__b", stretch).groupBy(*keys, "__b", pos).agg(*(F.sum(d).alias(d) for d in deltas)).repartition(*keys, "__b")
     w = Window.partitionBy(*keys).orderBy("__b")
     upto = w.rowsBetween(Window.unboundedPreceding, -1)
