@@ -6,6 +6,8 @@ joins on bins, merging on dyadic zones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,3 +214,11 @@ def adjacency(df: DataFrame, keys: list[str], part: str) -> DataFrame:
     rows = valid(df).withColumns({"plo": F.lag("lo").over(w), "phi": F.lag("hi").over(w)}).where("plo IS NOT NULL")
     before = ((F.col("plo") < F.col("lo")) & (F.col("phi") < F.col("hi"))) | ((F.col("plo") == F.col("lo")) & (F.col("phi") == F.col("hi")))
     return rows.groupBy(*keys, part).agg(F.max(F.col("lo") <= F.col("phi")).alias("any_overlap"), F.min(before).alias("all_positional"), F.max(F.col("lo") - F.col("phi") - 1).alias("max_gap"))
+
+
+def least_window(size: Column, start: Column, enough: Callable[[Column, Column], Column]) -> Column:
+    """struct<lo, hi>: the first range around ``start`` within 0 to size - 1, grown forward and backward in turn, for which ``enough(lo, hi)`` holds; null if none does or the start lies outside."""
+    lo = lambda k: F.greatest(F.lit(0), start - F.floor(k / 2).cast("int"))
+    hi = lambda k: F.least(size - 1, start + F.ceil(k / 2).cast("int"))
+    k = F.get(F.filter(F.sequence(F.lit(0), F.greatest(2 * size, F.lit(0))), lambda k: enough(lo(k), hi(k))), F.lit(0))
+    return F.when((start >= 0) & (start < size) & k.isNotNull(), F.struct(lo(k).alias("lo"), hi(k).alias("hi")))

@@ -122,3 +122,8 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], column: str) ->
     """Adds ``previous`` and ``next`` of ``column`` within a key."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumns({"previous": F.lag(column).over(w), "next": F.lead(column).over(w)})
+
+
+def shuffled(df: DataFrame, seed: int) -> DataFrame:
+    """The rows in an order drawn by ``seed``."""
+    return df.orderBy(F.rand(seed))

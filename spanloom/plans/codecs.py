@@ -73,6 +73,13 @@ def _sam(s: SparkSession, d: str) -> DataFrame:
     return got.select("line_no", "qname", "flag", "rname", "pos", "mapq", "rnext", "pnext", F.size("qual").alias("n_qual"), F.get("tags", F.lit(0)).getField("value").alias("nm"), "error")
 
 
+def _sam_to_fastq(s: SparkSession, d: str) -> DataFrame:
+    flag = F.when(F.col("l_linenumber") % 2 == 0, "16").when(F.col("l_linenumber") == 3, "256").otherwise("0")
+    v = F.concat_ws("\t", F.concat(F.lit("r"), _s("l_orderkey"), F.lit("."), _s("l_linenumber")), flag, F.lit("chr1"), F.lit("7"), F.lit("60"), F.lit("5M"), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("AACGT"), F.lit("!5I5+"))
+    got = codecs.sam_to_fastq(codecs.sam(_lines(table(s, d, "lineitem"), "l_orderkey", v)))
+    return got.select("name", "sequence", "qualities")
+
+
 def _vcf(s: SparkSession, d: str) -> DataFrame:
     head = ["##fileformat=VCFv4.1", '##INFO=<ID=XX,Number=2,Type=Integer,Description="two">', '##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="q">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"]
     h = s.createDataFrame([("v", i - 10, x) for i, x in enumerate(head)], "file string, line_no bigint, value string")
@@ -119,6 +126,7 @@ QUERIES = {
     "s15_fasta": _fasta,
     "s16_fastq": _fastq,
     "s17_sam": _sam,
+    "q06_sam_to_fastq": _sam_to_fastq,
     "s21_sgr": _sgr,
     "s22_bar": _bar,
     "s23_bpmap": _bpmap,
@@ -153,6 +161,7 @@ UNION ALL SELECT -1, count(*), 0, 0, 0, 0 FROM part WHERE p_size % 5 <= 1""",
 CASE WHEN o_orderkey % 13 = 0 AND length(CAST(o_orderkey AS VARCHAR)) <> 1 THEN 'qualities' END AS error FROM orders""",
     "s17_sam": """SELECT l_orderkey * 10 + l_linenumber AS line_no, 'r' || l_orderkey AS qname, CAST((l_orderkey * 7) % 4096 AS INTEGER) AS flag, CASE WHEN l_linenumber <> 7 THEN 'chr' || l_suppkey END AS rname, CAST(nullif(l_partkey, 0) AS INTEGER) AS pos,
 CASE WHEN l_linenumber <> 1 THEN 60 END AS mapq, CASE WHEN l_linenumber <> 7 THEN 'chr' || l_suppkey END AS rnext, CAST(NULL AS INTEGER) AS pnext, 4 AS n_qual, CAST(l_linenumber AS VARCHAR) AS nm, CASE WHEN l_orderkey % 17 = 0 THEN 'cigar' END AS error FROM lineitem""",
+    "q06_sam_to_fastq": """SELECT 'r' || l_orderkey || '.' || l_linenumber AS name, CASE WHEN l_linenumber % 2 = 0 THEN 'ACGTT' ELSE 'AACGT' END AS sequence, CASE WHEN l_linenumber % 2 = 0 THEN '+5I5!' ELSE '!5I5+' END AS qualities FROM lineitem WHERE l_linenumber <> 3""",
     "s21_sgr": "SELECT event_id AS line_no, 'chr' || user_id AS chrom, event_id + 1 AS pos, CASE WHEN event_id % 10 = 3 THEN 'val' END AS error FROM events",
     "s22_bar": "SELECT 'chr' || c_nationkey AS section, c_custkey AS pos, c_acctbal AS val, CAST(NULL AS VARCHAR) AS error FROM customer",
     "s23_bpmap": "SELECT p_partkey AS line_no, CAST(p_size AS BIGINT) AS pm_x, 'Hs' AS org, 'NCBI' AS version, 'chr' || p_size AS chrom, p_partkey AS start, translate(CAST(p_partkey AS VARCHAR), '0123456789', 'ACGTACGTAC') AS sequence, CAST(NULL AS VARCHAR) AS error FROM part",

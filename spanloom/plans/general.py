@@ -97,7 +97,20 @@ r AS (SELECT line_id, kind, f, CASE
 """
 _PICK = "nullif(nullif(coalesce(trim(regexp_replace(arg_max(coalesce(attr_value, ''), line_no) FILTER (WHERE a IN ({0})), '^\\s+|\\s+$', '', 'g')), ''), ''), '-')"
 
+_AS_LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN from_json({0}, '[\"JSON\"]') WHEN 'OBJECT' THEN [{0}] ELSE [] END"
+
 ORACLE = {
+    "p4_found": f"""
+WITH a AS (SELECT set_id, {_AS_LIST.format("json_extract(payload, '$.answer.entrezgene_set')")} AS l FROM gene_sets),
+g AS (SELECT set_id, unnest(range(len(l))) AS gene_no, unnest(l) AS x FROM a),
+w AS (SELECT set_id, gene_no, CASE WHEN json_type(x, '$.entrezgene') = 'OBJECT' THEN json_extract(x, '$.entrezgene.gene') ELSE json_extract(x, '$.gene') END AS x FROM g),
+r AS (SELECT set_id, gene_no, CASE WHEN json_type(x, '$.gene_ref') = 'OBJECT' THEN json_extract(x, '$.gene_ref') ELSE x END AS x FROM w),
+d AS (SELECT set_id, gene_no, x, {_AS_LIST.format("json_extract(x, '$.db')")} AS l FROM r),
+t AS (SELECT set_id, gene_no, coalesce(json_extract_string(x, '$.locus'), '') AS locus, unnest(range(len(l))) AS db_no, unnest(l) AS y FROM d)
+SELECT set_id, CAST(gene_no AS INTEGER) AS gene_no, CAST(db_no AS INTEGER) AS db_no, locus, coalesce(json_extract_string(y, '$.db'), '') AS db_name,
+  coalesce(json_extract_string(y, '$.tag.object_id.id'), json_extract_string(y, '$.tag.object_id.str'), json_extract_string(y, '$.tag.id'), json_extract_string(y, '$.tag.str'),
+    CASE WHEN json_type(y, '$.tag') <> 'OBJECT' THEN json_extract_string(y, '$.tag') END, '') AS tag
+FROM t WHERE json_type(y) = 'OBJECT'""",
     "p5_found": _CONTENT + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
     "p5_loaded": _CONTENT + """
 SELECT line_id, kind, f[1] AS chrom, CASE WHEN kind IN ('gff3', 'gtf') THEN try_cast(f[4] AS BIGINT) ELSE try_cast(f[2] AS BIGINT) END AS lo,

@@ -59,6 +59,7 @@ QUERIES = {
     "i11_filter_elements": lambda s, d: iv.merge(iv.elements(loci(s, d), K).where("point % 7 <> 0").select("chrom", F.col("point").alias("lo"), F.col("point").alias("hi")), K),
     "i12_relations": lambda s, d: _relations(s, d),
     "i13_adjacency": lambda s, d: iv.adjacency(table(s, d, "orders").select((F.col("o_custkey")).alias("cust"), F.unix_date(F.to_date("o_orderdate")).cast("bigint").alias("lo"), (F.unix_date(F.to_date("o_orderdate")) + 30).cast("bigint").alias("hi"), F.col("o_orderstatus").alias("status")), ["cust"], "status"),
+    "i14_least_window": lambda s, d: _least(s, d),
     "i15_expand": lambda s, d: windows(s, d).select("chrom", F.explode(F.sequence("lo", "hi")).alias("pos"), "id").groupBy("chrom", "pos").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")),
     "i16_regions": lambda s, d: iv.regions(loci(s, d).withColumn("len", F.col("hi") - F.col("lo")), K, F.col("len") >= 45, 10),
     "i17_coverage": lambda s, d: iv.depth(loci(s, d), K),
@@ -71,6 +72,14 @@ QUERIES = {
 }
 
 
+def _least(s: SparkSession, d: str) -> DataFrame:
+    """The least window around position 20 of each vector that holds two positive values."""
+    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("e"))
+    positive = lambda lo, hi: F.size(F.filter(F.slice("e", lo + 1, hi - lo + 1), lambda x: x > 0)) >= 2
+    w = iv.least_window(F.size("e"), F.lit(20), positive)
+    return e.select("vec_id", w.alias("w")).select("vec_id", "w.lo", "w.hi")
+
+
 def _relations(s: SparkSession, d: str) -> DataFrame:
     """All relations of each order's window to the first window of its customer's chromosome."""
     w = windows(s, d)
@@ -103,6 +112,10 @@ SELECT id, least(hi, hi2) - greatest(lo, lo2) + 1 AS overlap, -(least(hi, hi2) -
 WITH o AS (SELECT o_custkey AS cust, o_orderstatus AS status, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS lo FROM orders),
 p AS (SELECT *, lo + 30 AS hi, lag(lo) OVER (PARTITION BY cust, status ORDER BY lo) AS plo FROM o)
 SELECT cust, status, bool_or(lo <= plo + 30) AS any_overlap, bool_and(plo <= lo) AS all_positional, CAST(max(lo - (plo + 30) - 1) AS BIGINT) AS max_gap FROM p WHERE plo IS NOT NULL GROUP BY cust, status""",
+    "i14_least_window": """
+WITH k AS (SELECT vec_id, embedding, greatest(0, 20 - k // 2) AS lo, least(len(embedding) - 1, 20 + (k + 1) // 2) AS hi, k FROM embeddings, range(0, 800) t(k)),
+f AS (SELECT vec_id, lo, hi, k FROM k WHERE len(list_filter(embedding[lo + 1 : hi + 1], lambda x: x > 0)) >= 2)
+SELECT vec_id, CAST(arg_min(lo, k) AS INTEGER) AS lo, CAST(arg_min(hi, k) AS INTEGER) AS hi FROM f GROUP BY 1""",
     "i15_expand": _BASE + ", e AS (SELECT chrom, id, unnest(range(lo, hi + 1)) AS pos FROM b) SELECT chrom, pos, CAST(count(*) AS BIGINT) AS n, min(id) AS first_id, max(id) AS last_id FROM e GROUP BY chrom, pos",
     "i16_regions": _BASE + ", k AS (SELECT chrom, lo, hi + 10 AS hi FROM a WHERE hi - lo >= 45)" + _merged("m", "k") + "SELECT chrom, lo, hi - 10 AS hi FROM m",
     "i17_coverage": _BASE + _SWEEP.replace("UNION ALL SELECT chrom, lo, 0, 1 FROM b UNION ALL SELECT chrom, hi + 1, 0, -1 FROM b", "") + "SELECT chrom, lo, hi, CAST(na AS BIGINT) AS depth FROM st WHERE na > 0",

@@ -350,3 +350,30 @@ def track(df: DataFrame) -> DataFrame:
     tests = [("key_value", (k != "track") | (left == "")), ("browser_position", (k != "browser_position") | v.rlike(pos))]
     part = lambda i: F.when(k == "browser_position", F.regexp_extract(v, pos, i))
     return f.select("file", "line_no", "kind", F.when(k == "track", attrs).alias("attributes"), part(1).alias("chrom"), part(2).try_cast("bigint").alias("lo"), part(3).try_cast("bigint").alias("hi"), F.when(k == "content", v).alias("content"), failures(*tests).alias("error"))
+
+
+# --- conversions between formats ---
+
+
+def fastq_to_sam(df: DataFrame) -> DataFrame:
+    """Reads as unmapped alignments."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return df.select(F.substring_index("name", " ", 1).alias("qname"), F.lit(4).alias("flag"), none("string").alias("rname"), none("int").alias("pos"), none("int").alias("mapq"), F.lit("*").alias("cigar"), F.col("sequence").alias("seq"), F.col("qualities").alias("qual"))
+
+
+def sam_to_fastq(df: DataFrame) -> DataFrame:
+    """Primary alignments as reads in the direction they were sequenced."""
+    from spanloom.functions.sequence import flag, phred_char, reverse_complement
+
+    back = flag("is_reverse_complemented", F.col("flag"))
+    text = F.array_join(F.transform("qual", lambda q: phred_char(q)), "")
+    return df.where(flag("is_primary", F.col("flag")) & F.col("seq").isNotNull()).select(F.col("qname").alias("name"), F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("sequence"), F.lit("").alias("comment"), F.when(back, F.reverse(text)).otherwise(text).alias("qualities"))
+
+
+def fasta_with_scores(sequences: DataFrame, scores: DataFrame) -> DataFrame:
+    """FASTQ records of two FASTA tables with equal descriptions, the second with scores parted by blanks; a difference in length is an error."""
+    from spanloom.functions.sequence import phred_char
+
+    q = scores.select("description", F.array_join(F.transform(F.split(F.trim("sequence"), " +"), lambda x: phred_char(integer(x).cast("int"))), "").alias("qualities"))
+    both = sequences.select("description", "sequence").join(q, "description")
+    return both.select(F.col("description").alias("name"), "sequence", F.lit("").alias("comment"), "qualities", failures(("qualities", F.length("sequence") == F.length("qualities"))).alias("error"))

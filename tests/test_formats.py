@@ -182,3 +182,26 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["name"], r["error"]) for r in spark.table("reads").collect()] == [("a", None)]
+
+
+def test_conversions(spark):
+    al = codecs.sam(table(spark, ["r\t16\tc\t1\t60\t3M\t*\t0\t0\tAAC\t!5I"]))
+    assert [tuple(r) for r in codecs.sam_to_fastq(al).collect()] == [("r", "GTT", "", "I5!")]
+    fq = spark.createDataFrame([("r x", "AC", "", "II")], "name string, sequence string, comment string, qualities string")
+    assert codecs.fastq_to_sam(fq).first()["qname"] == "r"
+    seqs, scores = (spark.createDataFrame(x, "description string, sequence string") for x in ([("a", "AC"), ("b", "A")], [("a", "40 0"), ("b", "1 2")]))
+    assert {r["name"]: (r["qualities"], r["error"]) for r in codecs.fasta_with_scores(seqs, scores).collect()} == {"a": ("I!", None), "b": ('"#', "qualities")}
+
+
+def test_command_line(spark, tmp_path):
+    from spanloom.__main__ import main
+
+    (tmp_path / "a.bed").write_text("c\t1\t5\nc\t6\t9\nd\t1\t2\n")
+    (tmp_path / "b.bed").write_text("c\t4\t7\n")
+    out = lambda *args: (main([*args, str(tmp_path / "_".join(args[:1]))]), sorted(r["value"] for r in lines(spark, str(tmp_path / args[0])).collect()))[1]
+    a, b = str(tmp_path / "a.bed"), str(tmp_path / "b.bed")
+    assert out("range-set", a) == ["c\t1\t9", "d\t1\t2"]
+    assert out("intersection", a, b) == ["c\t4\t7"]
+    assert out("intersects", a, b) == ["c\t1\t5", "c\t6\t9"]
+    main(["random-bed", "5", str(tmp_path / "r")])
+    assert lines(spark, str(tmp_path / "r")).count() == 5
