@@ -31,6 +31,8 @@ _END = re.compile(r"(?<=[.!?])\s+|\n\s*\n")
 _TERM = re.compile(r"[^\W\d_]+")
 #: Terms handled at once when sentences are embedded, and terms of one block when partial sums meet.
 CHUNK, BLOCK = 65_536, 1024
+#: Documents a Python worker embeds at once.
+DOCS = 2000
 MAX_KINDS = 200
 
 
@@ -75,7 +77,7 @@ class _Batch:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
-    for b in batches:
+    for b in (big.slice(k, DOCS) for big in batches for k in range(0, big.num_rows, DOCS)):
         outer = b.column("sents")
         inner = outer.flatten()
         doc = np.concatenate([[0], np.cumsum(pc.list_value_length(outer).to_numpy())]).astype(np.int64)
