@@ -46,6 +46,14 @@ def _text(x) -> str | None:
     return None if x is None else ("true" if x else "false") if isinstance(x, bool) else str(x)
 
 
+def _dumped(v: list) -> str | None:
+    """A list within a list as text; null where it is nested beyond what can be written."""
+    try:
+        return json.dumps(v)
+    except RecursionError:
+        return None
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[str, str, bool]] = set()
     for b in batches:
@@ -114,7 +122,7 @@ def _shredder(own: set[str]):
             row, cols = len(out), {}
             out.append((doc, name, row, ptab, pid, path, i, cols))
             if not isinstance(v, dict):
-                cols["value"] = _text(v) if not isinstance(v, list) else json.dumps(v)
+                cols["value"] = _dumped(v) if isinstance(v, list) else _text(v)
                 continue
             inner = [(v, "")]
             while inner:
