@@ -68,6 +68,10 @@ QUERIES = {
     "j02_overlap_inner": lambda s, d: iv.overlaps(windows(s, d), loci(s, d), K).groupBy("id").agg(F.count("*").alias("n"), F.min("lo_b").alias("first_lo"), F.max("hi_b").alias("last_hi")),
     "j04_nearest": lambda s, d: iv.nearest(windows(s, d), loci(s, d).where("lo % 50 = 0"), K, "id"),
     "j05_overlap_size": lambda s, d: iv.overlap_size(windows(s, d), loci(s, d).where("hi - lo >= 40"), K, "id"),
+    # over all loci; the three of the same names without _all take the cut of loci that their SQL takes
+    "j01_overlap_semi_all": lambda s, d: iv.overlapping(windows(s, d), loci(s, d), K).select("id", "chrom", "lo", "hi"),
+    "j04_nearest_all": lambda s, d: iv.nearest(windows(s, d), loci(s, d), K, "id"),
+    "j05_overlap_size_all": lambda s, d: iv.overlap_size(windows(s, d), loci(s, d), K, "id"),
     "j06_value_at": lambda s, d: iv.value_at(windows(s, d).select("id", "chrom", F.col("lo").alias("pos")), iv.depth(loci(s, d), K).withColumn("value", F.col("depth").cast("double")), K, "id", 0.0),
 }
 
@@ -130,3 +134,8 @@ SELECT b.id, x.lo AS near_lo, x.hi AS near_hi, CAST(x.d AS BIGINT) AS distance F
 SELECT b.id, CAST(sum(CASE WHEN m.lo IS NULL THEN 0 ELSE least(b.hi, m.hi) - greatest(b.lo, m.lo) + 1 END) AS BIGINT) AS shared FROM b LEFT JOIN m ON m.chrom = b.chrom AND m.lo <= b.hi AND b.lo <= m.hi GROUP BY b.id""",
     "j06_value_at": _BASE + "SELECT b.id, CAST(count(a.lo) AS DOUBLE) AS value FROM b LEFT JOIN a ON a.chrom = b.chrom AND a.lo <= b.lo AND b.lo <= a.hi GROUP BY b.id",
 }
+ORACLE |= {
+    "j01_overlap_semi_all": ORACLE["j01_overlap_semi"].replace(" AND a.hi - a.lo >= 40", ""),
+    "j04_nearest_all": ORACLE["j04_nearest"].replace(" WHERE lo % 50 = 0", ""),
+    "j05_overlap_size_all": ORACLE["j05_overlap_size"].replace(" WHERE hi - lo >= 40", ""),
+}

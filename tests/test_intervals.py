@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from spanloom.operators import intervals as iv
 
 
@@ -89,3 +90,22 @@ def test_keyed_joins_have_no_nested_loop(spark):
     x = frame(spark, made(1))
     plan = iv.overlaps(x, x, ["chrom"])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_joins_over_all_loci_match_brute_force(spark, tmp_path):
+    r = random.Random(11)
+    days = [r.randrange(9000, 9400) for _ in range(120)]
+    loci = [(r.choice([1, 2]), d, r.choice([1, 5, 30, 50])) for d in days[:90]]
+    orders = [(i, r.choice([1, 2, 3]), d) for i, d in enumerate(days[90:])]
+    date = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.col(c))
+    spark.createDataFrame(loci, "l_suppkey bigint, d int, l_quantity int").withColumn("l_shipdate", date("d")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, d int").withColumn("o_orderdate", date("d")).write.parquet(f"{tmp_path}/orders.parquet")
+    run = lambda name: {x["id"]: x for x in entry.queries()[name](spark, str(tmp_path)).collect()}
+    semi, near, size = run("j01_overlap_semi_all"), run("j04_nearest_all"), run("j05_overlap_size_all")
+    assert set(near) == set(size) == {i for i, _, _ in orders}
+    for i, chrom, lo in orders:
+        hi, mine = lo + 30, [(d, d + q) for c, d, q in loci if c == chrom]
+        want = min(((max(a - hi, lo - b, 0), a, b) for a, b in mine), default=(None, None, None))
+        assert (near[i]["distance"], near[i]["near_lo"], near[i]["near_hi"]) == want
+        assert size[i]["shared"] == len({p for a, b in mine for p in range(max(a, lo), min(b, hi) + 1)})
+        assert (i in semi) == (size[i]["shared"] > 0)
