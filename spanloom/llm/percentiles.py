@@ -1,9 +1,9 @@
 """Exact percentiles of groups of any size by one distributed sort, and summaries of days that can be combined.
 
 All values are range-partitioned and sorted by (group, value, id); every partition is written with the running count of
-its rows. Only groups that cross a partition border need an offset; there are at most two of them a partition, so what
-the driver holds is bounded by the number of partitions. A second pass locates the target positions and interpolates the
-two neighbouring order statistics. No group is ever held by one task unless it fits into one sorted partition.
+its rows. The rows a group has in each partition, and where they start there, give the partition and position of every
+target rank; the rows at these positions are joined and the two neighbouring order statistics interpolated. It doesn't
+matter which task reads which part of a partition, and no group is ever held by one task or by the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from spanloom.arrow import chunks, codes, starts
 from spanloom.runtime import written
 
 CHUNK_ROWS = 100_000
+_GROUP = ["src", "dim", "grp"]
 _ROW = "src string, dim string, grp string, value double, id bigint"
 
 
@@ -55,75 +56,24 @@ class Sorted:
     """Values sorted by group and value over all partitions, with what is needed to find any position."""
 
     def __init__(self, rows: DataFrame):
-        self.spark = rows.sparkSession
-        order = ["src", "dim", "grp", "value", "id"]
+        order = [*_GROUP, "value", "id"]
         numbered = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, "src string, dim string, grp string, value double, pid int, pos bigint")
-        # one row group a file, so that one task reads a sorted partition whole
-        self.table = written(numbered, "sorted", **{"parquet.block.size": str(1 << 30)})
-        per = self.table.groupBy("src", "dim", "grp", "pid").agg(F.count("*").alias("n"))
-        cross = per.groupBy("src", "dim", "grp").agg(F.collect_list(F.struct("pid", "n")).alias("parts")).where(F.size("parts") > 1)
-        #: (src, dim, grp) -> (rows, {pid: offset}) of groups that cross a border: at most two a partition
-        self.cross: dict[tuple, tuple[int, dict[int, int]]] = {}
-        for r in cross.collect():
-            at, offset = {}, 0
-            for pid, n in sorted((p["pid"], p["n"]) for p in r["parts"]):
-                at[pid] = offset
-                offset += n
-            self.cross[r["src"], r["dim"], r["grp"]] = offset, at
+        self.table = written(numbered, "sorted")
+        per = self.table.groupBy(*_GROUP, "pid").agg(F.count("*").alias("have"), F.min("pos").alias("start"))
+        # one row for each partition that a group reaches into
+        w = Window.partitionBy(*_GROUP)
+        before = F.coalesce(F.sum("have").over(w.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        #: src, dim, grp, n, pid, have, start, offset: the group's rows in all and in the partition, where they start there, and how many come before
+        self.parts = per.select(*_GROUP, F.sum("have").over(w).alias("n"), "pid", "have", "start", before.alias("offset"))
 
     def at(self, qs: list[float]) -> DataFrame:
         """src, dim, grp, n, q, value: each quantile by linear interpolation between neighbouring order statistics."""
-        found = self.table.mapInArrow(_located(self.cross, qs), "src string, dim string, grp string, n bigint, q double, lo double, hi double")
-        both = found.groupBy("src", "dim", "grp", "n", "q").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
         h = (F.col("n") - 1) * F.col("q")
-        return both.select("src", "dim", "grp", "n", "q", (F.col("lo") + (F.col("hi") - F.col("lo")) * (h - F.floor(h))).alias("value"))
-
-
-def _located(cross: dict, qs: list[float]):
-    q = np.array(qs, float)
-
-    def one(t: pa.Table, pid: int) -> Iterator[pa.RecordBatch]:
-        g, v = codes(t, ["src", "dim", "grp"]), t.column("value").to_numpy()
-        at = np.flatnonzero(starts(g))
-        have = np.diff(np.append(at, len(g)))
-        total, offset = have.copy(), np.zeros(len(at), np.int64)
-        heads = t.select(["src", "dim", "grp"]).take(pa.array(at))
-        for k in {0, len(at) - 1}:  # only the first and the last group can go on elsewhere
-            key = tuple(heads.column(c)[k].as_py() for c in ("src", "dim", "grp"))
-            if key in cross:
-                total[k], offset[k] = cross[key][0], cross[key][1][pid]
-        h = (total - 1)[:, None] * q[None, :]
-        out = {}
-        for name, rank in (("lo", np.floor(h)), ("hi", np.ceil(h))):
-            local = rank.astype(np.int64) - offset[:, None]
-            inside = (local >= 0) & (local < have[:, None])
-            out[name] = np.where(inside, v[np.where(inside, at[:, None] + local, 0)], np.nan), inside
-        keep = np.flatnonzero((out["lo"][1] | out["hi"][1]).ravel())
-        if not len(keep):
-            return
-        grp = heads.take(pa.array(keep // len(q)))
-        cols = {c: grp.column(c) for c in ("src", "dim", "grp")} | {"n": pa.array(total[keep // len(q)]), "q": pa.array(q[keep % len(q)])}
-        for name, (x, inside) in out.items():
-            cols[name] = pa.array(x.ravel()[keep], mask=~inside.ravel()[keep])
-        yield from pa.table(cols).combine_chunks().to_batches()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pid = [], None
-        for b in batches:
-            p = b.column("pid").to_numpy()
-            cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi == lo:
-                    continue
-                if held and p[lo] != pid:
-                    yield from one(pa.Table.from_batches(held), pid)
-                    held = []
-                pid = int(p[lo])
-                held.append(b.slice(lo, hi - lo))
-        if held:
-            yield from one(pa.Table.from_batches(held), pid)
-
-    return run
+        ranks = self.parts.withColumn("q", F.explode(F.array(*(F.lit(q) for q in qs)))).withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(h), F.ceil(h)))))
+        here = ranks.where((F.col("rank") >= F.col("offset")) & (F.col("rank") < F.col("offset") + F.col("have")))
+        targets = here.select(*_GROUP, "n", "q", "pid", (F.col("start") + F.col("rank") - F.col("offset")).alias("pos"))
+        both = self.table.select("pid", "pos", "value").join(targets, ["pid", "pos"]).groupBy(*_GROUP, "n", "q").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+        return both.select(*_GROUP, "n", "q", (F.col("lo") + (F.col("hi") - F.col("lo")) * (h - F.floor(h))).alias("value"))
 
 
 def percentiles(rows: DataFrame, qs: list[float]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.percentiles import measured, merged, percentiles, summaries
 from spanloom.llm.topn import top_n
+from spanloom.runtime import written
 
 S = "pid bigint, g string, h string, v double, w double, value double, n bigint, q double, id bigint, src string"
 
@@ -37,6 +38,26 @@ def test_percentiles_are_exact_under_skew_ties_and_repeats(spark):
             assert math.isclose(v, float(np.quantile(vs, q)), rel_tol=1e-12, abs_tol=1e-12)
 
 
+def test_percentiles_of_partitions_read_by_several_tasks(spark, monkeypatch):
+    from spanloom.llm import percentiles as module
+
+    # many row groups a file, each read by a task of its own
+    monkeypatch.setattr(module, "written", lambda df, name, **_: written(df, name, **{"parquet.block.size": "2000", "parquet.page.size": "1000"}))
+    data = [(i, "whole" if i % 3 else "part", "x", float(i * 7919 % 9001), 0.0, 0.0, 1, 0.5, i, "z") for i in range(9000)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = {(r["grp"], r["q"]): (r["n"], r["value"]) for r in percentiles(measured(spark.createDataFrame(data, S), "s", {"g": F.col("g")}, "v", "pid"), [0.1, 0.5, 0.9]).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for g in ("whole", "part"):
+        vs = [x[3] for x in data if x[1] == g]
+        for q in (0.1, 0.5, 0.9):
+            assert got[g, q][0] == len(vs) and math.isclose(got[g, q][1], float(np.quantile(vs, q)), rel_tol=1e-12)
+
+
 def test_percentiles_of_nothing(spark):
     df = spark.createDataFrame([(None, None, None, None, None, None, None, None, None, None)], S)
     assert percentiles(measured(df, "s", {"g": F.col("g")}, "v", "pid"), [0.5]).collect() == []
