@@ -160,16 +160,17 @@ def _shredder(own: set[str]):
 class Shredded:
     """The flat tables of a column of JSON records; ``df(name)`` and ``links()`` give them.
 
-    ``declared``: edges known beforehand, added to those that occur. Null payloads and payloads that aren't JSON objects or lists
+    ``declared``: edges known beforehand, added to those that occur. ``inlined``: elements that as lone objects stay in the table above
+    them wherever else they occur, so that their paths don't depend on the other records; in a list they are rows. Null payloads and payloads that aren't JSON objects or lists
     come out in table ``_invalid`` with their reason. A list of scalars is a table with a column ``value``; a lone object is a list
     of one; null elements keep their position and give no row. Rows with a null id are left out.
     """
 
-    def __init__(self, df: DataFrame, ident: str, payload: str, declared: set[Edge] = frozenset()):
+    def __init__(self, df: DataFrame, ident: str, payload: str, declared: set[Edge] = frozenset(), inlined: set[str] = frozenset()):
         src = df.where(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("doc"), F.col(payload).cast("string").alias("payload"))
         self.edges = schema_graph(src, "payload") | set(declared)
         self.tables = tables_of(self.edges)
-        self.rows = written(src.mapInArrow(_shredder(self.tables), _SHRED), "shredded")
+        self.rows = written(src.mapInArrow(_shredder(self.tables - set(inlined)), _SHRED), "shredded")
 
     def df(self, name: str, columns: dict[str, str] | None = None) -> DataFrame:
         """One table: doc, row_id, parent_tab, parent_id, path, ord and the named columns (column name -> inlined path)."""

@@ -24,10 +24,12 @@ GENE_MODEL = {
     Edge("record", "answer", False), Edge("answer", "entrezgene_set", True), Edge("entrezgene_set", "entrezgene", False), Edge("entrezgene_set", "gene", False),
     Edge("entrezgene", "gene", False), Edge("gene", "gene_ref", False), Edge("gene", "db", True), Edge("gene_ref", "db", True), Edge("db", "tag", False), Edge("tag", "object_id", False),
 }
+#: The elements in p4_found's paths; one odd record that has them elsewhere or as lists mustn't move them in all others.
+GENE_PATHS = {"answer", "entrezgene", "gene_ref", "tag", "object_id"}
 
 
 def p4_found(s: SparkSession, d: str) -> DataFrame:
-    sh = Shredded(table(s, d, "gene_sets"), "set_id", "payload", GENE_MODEL)
+    sh = Shredded(table(s, d, "gene_sets"), "set_id", "payload", GENE_MODEL, GENE_PATHS)
     genes = sh.df("entrezgene_set").where("parent_tab = 'record' AND path = 'answer.entrezgene_set'").select("doc", F.col("row_id").alias("set_row"), F.col("ord").alias("gene_no"))
     refs = sh.df("gene", {"l1": "locus", "l2": "gene_ref.locus"}).where("parent_tab = 'entrezgene_set' AND path IN ('gene', 'entrezgene.gene')")
     refs = refs.select("doc", F.col("parent_id").alias("set_row"), F.col("row_id").alias("gene_row"), "l1", "l2")

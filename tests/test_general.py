@@ -9,7 +9,7 @@ from spanloom.operators.nested import Edge, Shredded, tables_of
 from spanloom.operators.packed import split_packed
 from spanloom.operators.rejects import Layout, bounded, digits, finite_decimal, load_lines, one_of
 from spanloom.operators.wide import Attr, widen
-from spanloom.plans.general import LAYOUTS
+from spanloom.plans.general import LAYOUTS, QUERIES
 
 
 def packed(spark, values, **kw):
@@ -63,6 +63,21 @@ def test_shredding_an_empty_table(spark):
     assert Shredded(spark.createDataFrame([], "id bigint, p string"), "id", "p").df("record").collect() == []
 
 
+def test_an_odd_record_changes_no_other_genes(spark, tmp_path):
+    import json
+
+    ref = {"locus": "L", "db": [{"db": "MIM", "tag": {"object_id": {"id": 7}}}, None, {"db": "X", "tag": {"object_id": {"str": "s"}}}]}
+    plain = {"answer": {"entrezgene_set": [{"entrezgene": {"gene": {"gene_ref": ref}}}, {"gene": {"locus": "M", "db": {"db": "Y", "tag": "t"}}}]}}
+    other = {"gene_ref": ref, "tag": {"object_id": {"id": 1}}, "object_id": [{"id": 2}], "answer": {"x": 1}, "entrezgene": [{"gene": {"gene_ref": [ref], "tag": [{"id": 3}]}}]}
+    odd = {"answer": {"entrezgene_set": [{"gene": {"gene_ref": ref, "other": other}}, {"other": other}]}, "other": other}
+    rows = [(0, "L", "MIM", "7", 0), (0, "L", "X", "s", 2), (1, "M", "Y", "t", 0)]
+    for name, records in (("plain", [plain]), ("both", [plain, odd, plain])):
+        df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(records)], "set_id bigint, payload string")
+        df.write.parquet(f"{tmp_path}/{name}/gene_sets.parquet")
+        got = sorted((r["set_id"], r["gene_no"], r["locus"], r["db_name"], r["tag"], r["db_no"]) for r in QUERIES["p4_found"](spark, f"{tmp_path}/{name}").collect())
+        assert got == [(i, *r) for i, x in enumerate(records) for r in (rows if x is plain else rows[:2])]
+
+
 def test_rejects(spark):
     g = "chr1\ts\tf\t{}\t9\t.\t{}\t.\t{}"
     lines = [
