@@ -28,7 +28,7 @@ def header(df: DataFrame) -> DataFrame:
     pick = lambda p: F.map_from_entries(F.collect_list(F.when((F.col("part") == p) & (F.col("id") != ""), F.struct("id", "t"))))
     last = rows.dropDuplicates(["file", "part", "id", "value"])
     return last.groupBy("file").agg(
-        F.max(F.when(v.startswith("##fileformat="), F.substring(v, 14, 100))).alias("version"), F.split(F.max(F.when(v.startswith("#CHROM"), F.substring(v, 2, 1_000_000))), "\t").alias("columns"),
+        F.max(F.when(v.startswith("##fileformat="), F.substr(v, F.lit(14)))).alias("version"), F.split(F.max(F.when(v.startswith("#CHROM"), F.substr(v, F.lit(2)))), "\t").alias("columns"),
         pick("INFO").alias("info"), pick("FORMAT").alias("format"), pick("FILTER").alias("filter"), pick("ALT").alias("alt"),
     )
 

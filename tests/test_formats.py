@@ -84,6 +84,17 @@ def test_vcf(spark):
     assert got[0]["ids"] == ["rs6"] and got[0]["samples"][1]["name"] == "B" and got[0]["info"][0]["values"][0]["i"] == 3 and got[0]["info"][1]["type"] == "flag"
 
 
+def test_headers_of_more_than_a_million_characters(spark):
+    names = [f"{i}" + "x" * 100_000 for i in range(12)]
+    head = ["##fileformat=VCFv4.1", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
+    got = vcf.rows(table(spark, [*head, "\t".join(["20", "1", ".", "G", "A", ".", "PASS", ".", "GT", *["0|1"] * 12])])).collect()
+    assert [r["error"] for r in got] == [None] and [x["name"] for x in got[0]["samples"]] == names
+    long = "y" * 1_000_001
+    read = codecs.fastq(table(spark, ["@" + long, "AC", "+" + long, "II"])).collect()
+    assert [(r["name"], r["comment"], r["error"]) for r in read] == [(long, long, None)]
+    assert codecs.sam_header(table(spark, [f"@CO\tXX:{long}"])).first()["tags"] == {"XX": long}
+
+
 def test_bam_round_trip(spark, tmp_path):
     rows = [{"qname": f"r{i}", "flag": 99, "rname": "chr1", "pos": i + 1, "mapq": 60 if i % 2 else None, "cigar": "3M1I", "rnext": "chr2", "pnext": 7, "tlen": -5, "seq": "ACGT" if i % 3 else "ACG", "qual": "IIII" if i % 3 else "III"} for i in range(25_000)]
     path = tmp_path / "x.bam"
