@@ -25,6 +25,20 @@ def make(counts: list[list[int]], background: list[float]) -> np.ndarray:
     return np.column_stack([r, (r[:, :-1] * bg[:-1]).sum(1) + r[:, -1] * bg[-1]])
 
 
+def build(df: DataFrame, ident: str, counts: str, background: list[float]) -> DataFrame:
+    """id, pos (from 0), base (ACGT, N for other letters), score of the matrix of each row of ``counts`` (ARRAY<ARRAY<INT>>); null and empty ones give no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, m in zip(b.column("id").to_pylist(), b.column("m").to_pylist(), strict=True):
+                w = make(m, background)
+                n = w.size
+                yield pa.record_batch([pa.array([i] * n, pa.int64()), pa.array(np.repeat(np.arange(len(w), dtype=np.int32), 5)), pa.array([*"ACGTN"] * len(w)), pa.array(w.ravel())], ["id", "pos", "base", "score"])
+
+    src = df.where(F.col(ident).isNotNull() & (F.size(counts) > 0)).select(F.col(ident).cast("bigint").alias("id"), F.col(counts).alias("m"))
+    return src.mapInArrow(run, "id bigint, pos int, base string, score double")
+
+
 def reverse_complement(m: np.ndarray) -> np.ndarray:
     """Positions reversed, A and T exchanged, C and G exchanged."""
     return m[::-1][:, [3, 2, 1, 0, *range(4, m.shape[1])]]

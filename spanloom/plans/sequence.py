@@ -83,6 +83,7 @@ PWM = motifs.make(MATRIX, motifs.flat_background())
 
 QUERIES = {
     "f01_bases": _text,
+    "f01_reverse_complement": lambda s, d: _bases(s, d).select("doc_id", sq.reverse_complement(F.col("seq")).alias("rc")),
     "f03_chromosomes": _scalar,
     "f07_line_split": lambda s, d: table(s, d, "raw_lines").where("kind = 'bed5' AND raw_line IS NOT NULL").select("line_id", F.size(F.split("raw_line", "\t")).alias("fields"), F.rtrim(F.substring_index("raw_line", "\t", -1)).alias("rightmost"), F.substring_index("raw_line", "\t", 1).alias("leftmost")),
     "f08_illumina_ids": _ids,
@@ -90,10 +91,11 @@ QUERIES = {
     "f14_urls": _urls,
     "f16_quality_scores": _quality,
     "f17_reg2bin": _bins,
-    "q01_pwm": lambda s, d: s.createDataFrame([(i, b, float(round(x, 9))) for i, row in enumerate(PWM) for b, x in zip("ACGTN", row)], "pos int, base string, score double"),
+    "q01_pwm": lambda s, d: motifs.build(table(s, d, "motifs"), "motif_id", "matrix", motifs.flat_background()).select(F.col("id").alias("motif_id"), "pos", "base", F.round("score", 9).alias("score")),
     "q02_tandem": lambda s, d: motifs.scan(_bases(s, d), "doc_id", "seq", motifs.tandem(PWM, PWM, 2, "inverted"), 1.0).groupBy("id").agg(F.count("*").alias("n"), F.max("pos").alias("last")),
     "q03_scan": lambda s, d: motifs.scan(_bases(s, d), "doc_id", "seq", PWM, 2.0).select("id", "pos", F.round("score", 6).alias("score")),
     "q04_best_hit": lambda s, d: motifs.best_hit(_bases(s, d), "doc_id", "seq", PWM).select("id", F.round("score", 6).alias("score")),
+    "q04_best_hit_pos": lambda s, d: motifs.best_hit(_bases(s, d), "doc_id", "seq", PWM).select("id", "pos", F.round("score", 6).alias("score")),
     "q05_demux": lambda s, d: demultiplex(_reads(s, d), LIBRARIES, "inclusive").select("o_orderkey", "library", "mismatches"),
     "q05_demux_exclusive": lambda s, d: statistics(demultiplex(_reads(s, d), LIBRARIES, "exclusive")),
     "g13_alignment_stats": lambda s, d: streams.alignment_stats(_flags(s, d), "flag"),
@@ -166,6 +168,7 @@ ORACLE = {
 array_to_string(regexp_extract_all(seq, '.{1,70}'), chr(10)) AS lines, left(translate(reverse(seq), 'ACGT', 'TGCA'), 20) AS rc,
 round((length(seq) - length(replace(seq, 'A', '')) + 1) / (length(seq) + 4.0::DOUBLE), 9) AS share_a, round((length(seq) - length(replace(seq, 'C', '')) + 1) / (length(seq) + 4.0::DOUBLE), 9) AS share_c,
 round((length(seq) - length(replace(seq, 'G', '')) + 1) / (length(seq) + 4.0::DOUBLE), 9) AS share_g, round((length(seq) - length(replace(seq, 'T', '')) + 1) / (length(seq) + 4.0::DOUBLE), 9) AS share_t FROM b""",
+    "f01_reverse_complement": _SEQ + "SELECT doc_id, translate(reverse(seq), 'ACGT', 'TGCA') AS rc FROM b",
     "f03_chromosomes": f"SELECT p_partkey, CAST(p_size AS VARCHAR) AS arabic, CASE WHEN p_size NOT IN (5000, 10, 1000) THEN {_sql_roman('p_size')} END AS roman, {_sql_roman('p_size')} AS numeral, p_size AS back FROM part",
     "f07_line_split": "SELECT line_id, CAST(len(string_split(raw_line, chr(9))) AS INTEGER) AS fields, rtrim(string_split(raw_line, chr(9))[-1], ' ') AS rightmost, string_split(raw_line, chr(9))[1] AS leftmost FROM raw_lines WHERE kind = 'bed5' AND raw_line IS NOT NULL",
     "f08_illumina_ids": """WITH x AS (SELECT *, l_linenumber % 5 BETWEEN 1 AND 3 AND CAST(l_quantity AS INTEGER) BETWEEN 1 AND 99 AS ok FROM lineitem)
