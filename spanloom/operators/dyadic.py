@@ -21,6 +21,7 @@ from spanloom.runtime import spread, written
 CHUNK_ROWS = 200_000
 #: Zones that the range of all coordinates is divided into.
 ZONES = 1024
+#: Zones reach so far to both sides; what lies beyond is joined with the outermost runs.
 _LIMIT = 1 << 61
 
 
@@ -130,29 +131,37 @@ def _runs(keys: list[str], zone: int):
 def blocks_and_gaps(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
     """``keys``, kind (``block`` or ``gap``), lo, hi (half-open): continuous blocks of each key and the gaps between neighbours.
 
-    Overlapping, nested and touching intervals form one block. Rows with a null bound or ``hi`` <= ``lo`` take no part, nor do bounds beyond
-    2**61 in size. A null key is a key of its own. A key of one block has no gap; an empty table gives no rows.
+    Overlapping, nested and touching intervals form one block. Rows with a null bound or ``hi`` <= ``lo`` take no part. Intervals are cut at
+    +-2**61, and the parts beyond are gathered per key, one for each ``lo``. A null key is a key of its own. A key of one block has no gap; an empty table gives no rows.
     """
     ks = [f"k{i}" for i in range(len(keys))]
     rows = df.select(*(F.col(k).cast("string").alias(n) for k, n in zip(keys, ks, strict=True)), F.col(lo).cast("bigint").alias("lo"), F.col(hi).cast("bigint").alias("hi"))
-    rows = rows.where((F.col("lo") < F.col("hi")) & (F.col("lo") >= -_LIMIT) & (F.col("hi") <= _LIMIT))
-    span = rows.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.avg(F.col("hi") - F.col("lo")).alias("mean")).first()
+    rows = rows.where("lo < hi")
+    part = lambda least, most: F.struct(F.greatest("lo", F.lit(least)).alias("lo"), F.least("hi", F.lit(most)).alias("hi"))
+    inside = rows.select(*ks, part(-_LIMIT, _LIMIT).alias("p"), ((F.col("lo") < -_LIMIT) | (F.col("hi") > _LIMIT)).alias("far"))
+    met = F.when(F.col("p.lo") < F.col("p.hi"), F.col("p"))
+    span = inside.agg(F.min(met["lo"]).alias("lo"), F.max(met["hi"]).alias("hi"), F.avg(met["hi"] - met["lo"]).alias("mean"), F.max("far").alias("far")).first()
+    inside = inside.select(*ks, "p.lo", "p.hi").where("lo < hi")
     width = (span["hi"] - span["lo"]) if span["lo"] is not None else 1
     # at most so many zones, and few intervals that cross from one to the next
-    zone = 1 << max(0, max(max(1, width) // ZONES, int(8 * (span["mean"] or 1))).bit_length())
+    zone = min(_LIMIT, 1 << max(0, max(max(1, width) // ZONES, int(8 * (span["mean"] or 1))).bit_length()))
     key_schema = ", ".join(f"{k} string" for k in ks)
-    cut = spread(rows).mapInArrow(_blocks(ks, zone), f"{key_schema}, zone bigint, start bigint, size bigint")
+    cut = spread(inside).mapInArrow(_blocks(ks, zone), f"{key_schema}, zone bigint, start bigint, size bigint")
     runs = cut.repartition(*ks, "zone").sortWithinPartitions(*ks, "zone").mapInArrow(_runs(ks, zone), f"{key_schema}, zone bigint, kind int, lo bigint, hi bigint")
     runs = written(runs, "runs")
+    if span["far"]:
+        beyond = rows.select(*ks, F.inline(F.array(part(-(1 << 63), -_LIMIT), part(_LIMIT, (1 << 63) - 1)))).where("lo < hi").groupBy(*ks, "lo").agg(F.max("hi").alias("hi"))
+        runs = runs.unionByName(beyond.select(*ks, F.lit(None).cast("bigint").alias("zone"), F.lit(0).alias("kind"), "lo", "hi"))
     w = Window.partitionBy(*ks).orderBy("lo")
-    before, zone_before = F.lag("hi").over(w), F.lag("zone").over(w)
+    # runs of zones are disjoint, parts beyond them may overlap
+    before, zone_before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lag("zone").over(w)
     outer = runs.where("kind = 0").withColumns({"before": before, "zone_before": zone_before})
     outer = outer.withColumn("begins", F.col("before").isNull() | (F.col("lo") > F.col("before")))
     joined = outer.withColumn("island", F.sum(F.col("begins").cast("int")).over(w)).groupBy(*ks, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     out = ["kind", "lo", "hi"]
     parts = [
         joined.select(*ks, F.lit("block").alias("kind"), "lo", "hi"),
-        outer.where("begins AND before IS NOT NULL AND zone <> zone_before").select(*ks, F.lit("gap").alias("kind"), F.col("before").alias("lo"), F.col("lo").alias("hi")),
+        outer.where("begins AND before IS NOT NULL AND coalesce(zone <> zone_before, true)").select(*ks, F.lit("gap").alias("kind"), F.col("before").alias("lo"), F.col("lo").alias("hi")),
         runs.where("kind > 0").select(*ks, F.when(F.col("kind") == 1, "block").otherwise("gap").alias("kind"), "lo", "hi"),
     ]
     got = parts[0].unionByName(parts[1]).unionByName(parts[2])

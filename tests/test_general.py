@@ -150,6 +150,14 @@ def test_blocks_of_nothing(spark):
     assert blocks_and_gaps(df, ["k"], "s", "e").collect() == []
 
 
+def test_blocks_beyond_the_zones(spark):
+    m, far = 1 << 61, 1 << 62
+    rows = [("a", -far, 5), ("a", -far + 1, -far + 9), ("a", 7, 9), ("a", m - 3, far), ("a", far + 10, far + 20), ("a", far + 12, far + 15), ("a", far + 18, far + 25), ("b", far, far + 5), ("c", -far, far), ("d", m, far), ("d", 1, m), ("e", 1, 2)]
+    got = sorted(tuple(r) for r in blocks_and_gaps(spark.createDataFrame(rows, "k string, s bigint, e bigint"), ["k"], "s", "e").collect())
+    a = [("block", -far, 5), ("block", 7, 9), ("block", m - 3, far), ("block", far + 10, far + 25), ("gap", 5, 7), ("gap", 9, m - 3), ("gap", far, far + 10)]
+    assert got == [*(("a", *x) for x in a), ("b", "block", far, far + 5), ("c", "block", -far, far), ("d", "block", 1, far), ("e", "block", 1, 2)]
+
+
 def test_dyadic_blocks_are_canonical():
     import numpy as np
 
