@@ -59,7 +59,7 @@ def p9_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(s: SparkSession, d: str) -> DataFrame:
-    names = sorted(r["subject"] for r in table(s, d, "subjects").select("subject").distinct().limit(1000).collect())
+    names = sorted(r["subject"] for r in table(s, d, "subjects").where("subject IS NOT NULL").select("subject").distinct().collect())
     lang = F.lower(F.substring(F.trim("lang"), 1, 2))
     return subjects(table(s, d, "documents"), "doc_id", "text", lang, table(s, d, "subject_labels"), "doc_id", "subject", names)
 

@@ -2,7 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from spanloom.llm.subjects import Settings, sentences, subjects, term_weights, terms
+import numpy as np
+
+from spanloom.llm.subjects import Settings, components, subjects, term_weights, words
 
 TOPICS = {"law": ["court", "judge", "verdict", "prison", "lawyer", "witness"], "sport": ["football", "referee", "stadium", "athlete", "tournament", "coach"], "energy": ["turbine", "grid", "pylon", "gas", "coal", "tariff"]}
 FRAMES = ["We visited {} and saw what the {} needs.", "My constituents ask about the {} and the {} again.", "The committee heard that {} will help every {} soon."]
@@ -49,13 +51,34 @@ def test_nothing_to_learn_from(spark):
     assert subjects(odd, "doc_id", "text", F.col("lang"), lab, "doc_id", "subject", list(TOPICS)).collect() == []
 
 
-def test_sentences_and_terms():
-    assert sentences("One (aside [deep]) two. Three!\n\nFour") == ["One   two.", "Three!", "Four"]
-    assert terms("The coal-fired plant, 12 x") == ["the", "coal", "fired", "plant", "the coal", "coal fired", "fired plant"]
+def test_words_and_sentences():
+    hashed, sent, doc = words(["One (aside [deep]) two. Three!\n\nFour 12 x", "", "\x00ONE coal-\n  fired; cut) (off"])
+    one, two, three, four, again, fired, cut, off = hashed.tolist()
+    assert one == again and len({one, two, three, four, fired, cut, off}) == 7
+    assert doc.tolist() == [0, 0, 0, 0, 2, 2, 2, 2]
+    assert sent[0] == sent[1] and len(set(sent.tolist())) == 4 and sent[4] == sent[-1]
+    assert words(["coalfired"])[0][0] == fired and words([""])[0].tolist() == words([])[0].tolist() == []
+    assert len(words(["\U0001d400\U0001d401 \ud800ab"])[0]) == 2
 
 
-def test_weights_favour_specific_terms():
-    import numpy as np
+def test_components_of_one_pass():
+    r = np.random.default_rng(1)
+    a = r.standard_normal((200, 6)) @ np.diag([9, 7, 5, 3, 2, 1.0]) @ np.linalg.qr(r.standard_normal((40, 6)))[0].T
+    way = np.linalg.qr(r.standard_normal((40, 12)))[0]
+    got, true = components(way, a.T @ (a @ way), 6), np.linalg.svd(a, full_matrices=False)[2][:6].T
+    assert np.allclose(np.linalg.svd(got.T @ true)[1], 1, atol=1e-3)
+    assert not components(way, np.zeros((40, 12)), 3).any()
 
+
+def test_many_kinds_and_sentences_below_the_least(spark):
+    docs, truth, labels = corpus(900)
+    docs = [(i, t, "en" if i % 3 else f"k{i}", *rest) for i, t, _, *rest in docs]
+    lab = spark.createDataFrame(labels, "doc_id bigint, subject string, annotator string")
+    got = subjects(spark.createDataFrame(docs, D), "doc_id", "text", F.col("lang"), lab, "doc_id", "subject", list(TOPICS), Settings(components=12, kinds=2)).collect()
+    hit = sum(r["subject"] in truth[r["doc_id"]] for r in got)
+    assert hit >= 0.9 * len(got) and hit >= 0.9 * sum(map(len, truth.values()))
+
+
+def test_weights_favour_specific_terms():
     w = term_weights(np.array([[90.0, 1, 1], [30, 30, 30], [0.5, 0.2, 0.1], [1, 90, 1], [1, 1, 90]]), 5.0, 0.02)
     assert w[0] > 0.99 and w[1] == 0 and w[2] < 0.2
