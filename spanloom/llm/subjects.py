@@ -32,6 +32,8 @@ _PARTED = re.compile(r"[-­‐]\s*\n\s*")
 CHUNK, BLOCK = 65_536, 1024
 #: Documents a Python worker reads at once; letters read at once are bounded by LETTERS or one document.
 DOCS, LETTERS = 2000, 4_000_000
+#: Cells of a table of documents and terms; larger ones are sorted instead.
+TABLE = 16_000_000
 #: Partial sums: so many tasks a core at most, whatever the number of files.
 TASKS = 4
 
@@ -50,7 +52,7 @@ class Settings:
     labelled: int = 50_000
     buckets: int = 1 << 17
     kinds: int = 200
-    common: float = 1.5  # terms in more of a kind's documents than this over the number of subjects (half at most) stand beside any subject: no first weight
+    common: float = 1.5  # terms in more of a kind's documents than this over the number of subjects (half at most) stand beside any subject and never weigh
     prior: float = 2.0  # pseudo-counts of a term's distribution over subjects
     floor: float = 0.02  # least second weight
     cosine: float = 0.4  # documents refine a centroid at this cosine at least
@@ -124,6 +126,20 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
+def _distinct(doc: np.ndarray, term: np.ndarray, docs: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of document and term."""
+    there = np.flatnonzero(np.bincount(term, minlength=buckets))
+    if docs * len(there) > TABLE:
+        cell = np.unique(doc * buckets + term)
+        return cell // buckets, cell % buckets
+    place = np.zeros(buckets, np.int64)
+    place[there] = np.arange(len(there))
+    seen = np.zeros((docs, len(there)), bool)
+    seen[doc, place[term]] = True
+    doc, term = np.nonzero(seen)
+    return doc, there[term]
+
+
 _TERMS = "id bigint, kind string, lens array<int>, ids array<int>"
 
 
@@ -147,10 +163,10 @@ def _hashed(buckets: int):
             first = np.flatnonzero(np.r_[True, sent[1:] != sent[:-1]]) if len(sent) else np.zeros(0, np.int64)
             lens = np.diff(np.r_[first, len(sent)])
             yield pa.record_batch([b.column("id"), b.column("kind"), _lists(lens, np.bincount(doc[first], minlength=n)), _lists(ids, np.bincount(doc, minlength=n))], ["id", "kind", "lens", "ids"])
-            cell = np.unique(doc * buckets + ids)
             names = sorted({k or "" for k in kinds})
             of = np.array([names.index(k or "") for k in kinds])
-            cell, count = np.unique(of[cell // buckets] * buckets + cell % buckets, return_counts=True)
+            doc, term = _distinct(doc, ids, n, buckets)
+            cell, count = np.unique(of[doc] * buckets + term, return_counts=True)
             per = np.bincount(cell // buckets, minlength=len(names))
             yield pa.record_batch([pa.nulls(len(names), pa.int64()), pa.array([k or None for k in names], pa.string()), _lists(count, per), _lists(cell % buckets, per)], ["id", "kind", "lens", "ids"])
 
@@ -348,13 +364,15 @@ def subjects(docs: DataFrame, doc_id: str, text: str, kind: Column, labels: Data
     found = counted.where("df > 1").collect()
     if not found:
         return empty
-    bucket = np.array([r["ids"] for r in found])
     idf = -np.log(np.array([r["share"] if r["share"] else 1.0 for r in found]))
-    if not idf.max() > 0:
-        idf[:] = 1.0
+    idf = idf if idf.max() > 0 else np.ones(len(idf))
+    many = len(names)
+    active = idf >= -np.log(min(0.5, cfg.common / many))
+    active = active if active.any() else idf > 0  # few documents: every term is common
+    weight = (idf[active] / idf.max()).astype(np.float32)
+    size = len(weight)
     slot = np.full(cfg.buckets, -1, np.int32)
-    slot[bucket] = np.arange(len(bucket))
-    size, many = len(bucket), len(names)
+    slot[np.array([r["ids"] for r in found])[active]] = np.arange(size)
     groups = [(s, k) for s in range(many) for k in range(len(kinds))]
 
     def decomposed(weight: np.ndarray, member: Callable[[_Batch], tuple[np.ndarray, np.ndarray, np.ndarray]], start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -380,9 +398,6 @@ def subjects(docs: DataFrame, doc_id: str, text: str, kind: Column, labels: Data
         got = [(d, s * len(kinds) + place[k], 1 / len(known[i])) for d, (i, k) in enumerate(zip(b.ident.tolist(), b.kind, strict=True)) if i in known and k in place for s in known[i]]
         return tuple(np.array([x[j] for x in got], t) for j, t in enumerate((np.int64, np.int64, float)))
 
-    weight = np.where(idf >= -np.log(min(0.5, cfg.common / many)), idf / idf.max(), 0.0).astype(np.float32)
-    if not weight.any():  # few documents or subjects: every term is common
-        weight = (idf / idf.max()).astype(np.float32)
     basis, sums = decomposed(weight, labelled, np.zeros((0, size)), len(groups))
     seeds = sums @ basis
     there = np.flatnonzero(np.linalg.norm(seeds, axis=1) > 0)
