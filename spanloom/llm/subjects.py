@@ -61,7 +61,7 @@ class Settings:
     least: int = 3  # sentences that a subject has at least
     s_cosine: float = 0.15  # a sentence belongs to the nearest subject from this cosine on
     s_margin: float = 0.08  # if the next is so much further off
-    s_mass: float = 0.15  # and if it holds a term of this weight
+    s_mass: float = 0.1  # and if it holds a term of this weight
 
 
 _classes: dict[str, np.ndarray] = {}
@@ -361,7 +361,7 @@ def subjects(docs: DataFrame, doc_id: str, text: str, kind: Column, labels: Data
     share = F.when(F.col("kind").isin(kinds) if often else F.lit(True), F.col("df") / F.col("count"))
     counted = df.join(per_kind.select(F.col("kind").alias("k"), "count"), F.col("kind").eqNullSafe(F.col("k"))).groupBy("ids").agg(F.sum("df").alias("df"), F.max(share).alias("share"))
     # a term of one document alone says nothing about which documents belong together; at most one row a bucket
-    found = counted.where("df > 1").collect()
+    found = sorted(counted.where("df > 1").collect(), key=lambda r: r["ids"])
     if not found:
         return empty
     idf = -np.log(np.array([r["share"] if r["share"] else 1.0 for r in found]))
