@@ -21,40 +21,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.arrow import rank_in_run, starts
 from spanloom.runtime import spread
 
 Q = 8
-#: Half the width of a band in diagonals; bands overlap by it.
+#: Least half width of a band in diagonals; bands overlap by it.
 HALF = 32
 #: Diagonals added on both sides of a band when it is aligned.
-MARGIN = 16
-#: Bytes by which what stands for an altered word may exceed it.
-GROW = 16
-#: Bytes of normalised text scanned, candidates aligned, and characters of items held by one block.
-SCAN_BYTES, ALIGN_ROWS, BLOCK_CHARS = 4_000_000, 256, 4_000_000
-_BRACKETS = re.compile(r"\([^()\[\]]*\)|\[[^()\[\]]*\]")
+MARGIN = 8
+#: Characters of text scanned, candidates aligned, and characters of items held by one block.
+SCAN_CHARS, ALIGN_ROWS, BLOCK_CHARS = 4_000_000, 512, 4_000_000
+#: Ends a document while many are read as one string.
+_STOP = "\x00"
+_BRACKETS = re.compile(r"\([^()\[\]\x00]*\)|\[[^()\[\]\x00]*\]")
 _PARTED = re.compile(r"[-­‐‑]\s*\n\s*")
 _WORD = re.compile(r"\S+")
 _OTHER = re.compile(r"[\W_]+")
 
 
-def _folded(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold() if not text.isascii() else text.lower()
+_known: dict[int, bytes] = {}
+
+
+def _folded(code: int) -> bytes:
+    """What remains of a character: letters and digits, without case and marks, as UTF-8."""
+    if code not in _known:
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)).casefold()
+        _known[code] = _OTHER.sub("", bare).encode("utf-8", "ignore")
+    return _known[code]
+
+
+def streams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters and digits only, folded, as UTF-8, of all texts in a row; and the start of each, and the end of the last."""
+    cp = np.frombuffer((_STOP.join(texts) + _STOP).encode("utf-32-le", "surrogatepass"), np.uint32)
+    present = np.flatnonzero(np.bincount(cp))
+    pool = [_folded(c) for c in present.tolist()]
+    size, at = np.zeros(int(present[-1]) + 1, np.int64), np.zeros(int(present[-1]) + 1, np.int64)
+    size[present] = [len(x) for x in pool]
+    at[present] = np.cumsum(size[present]) - size[present]
+    n = size[cp]
+    start = np.concatenate([[0], np.cumsum(n)[cp == 0]])
+    cp, n = cp[n > 0], n[n > 0]
+    where = at[cp] if len(n) and n.max() == 1 else np.repeat(at[cp], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.frombuffer(b"".join(pool), np.uint8)[where], start
 
 
 def stream(text: str) -> bytes:
-    """Letters and digits only, folded, as UTF-8."""
-    return _OTHER.sub("", _folded(text)).encode()
+    return streams([text.replace(_STOP, " ")])[0].tobytes()
 
 
-def readings(text: str) -> list[bytes]:
-    """The document without what stands in brackets; and, where a bracket holds enough for a passage, as it stands too."""
-    held, bare, long = None, text, False
-    while bare != held:
-        held = bare
-        long = long or any(len(m) > 60 for m in _BRACKETS.findall(bare))
-        bare = _BRACKETS.sub(" ", bare)
-    return [stream(bare), stream(text)] if long else [stream(bare)]
+def without_brackets(texts: list[str]) -> list[str]:
+    """The texts (without NUL characters) without what stands in brackets, however nested."""
+    text, held = _STOP.join(texts), None
+    while text != held:
+        held, text = text, _BRACKETS.sub(" ", text)
+    return text.split(_STOP)
 
 
 def words(text: str) -> list[bytes]:
@@ -71,6 +91,8 @@ class Items:
     word: np.ndarray  # number of the word within its item, for each byte
     need: np.ndarray  # least shared grams of a passage
     shortest: np.ndarray  # words of the shortest passage
+    half: int  # half the width of a band: the drift that the allowed number of altered words can cause
+    short: dict[int, dict[tuple[bytes, ...], list[int]]]  # items of fewer letters than a gram, by their words, by the number of these
     grams: np.ndarray  # sorted distinct grams
     first: np.ndarray  # into where
     where: np.ndarray  # positions of the grams in text
@@ -95,25 +117,29 @@ def _slot(g: np.ndarray) -> np.ndarray:
     return (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(41)
 
 
-def prepared(ident: list[int], texts: list[str], least_words: int, one_in: int) -> Items | None:
+def prepared(ident: list[int], texts: list[str], least_words: int, one_in: int, grow: int) -> Items | None:
     """Index of a block; items of no word are left out, as they can't be held by anything."""
-    kept, parts, numbers, need, shortest = [], [], [], [], []
+    kept, parts, numbers, need, shortest, half, short = [], [], [], [], [], HALF, {}
     for i, t in zip(ident, texts, strict=True):
         ws = words(t)
         total = sum(map(len, ws))
         if not ws:
             continue
+        if total < Q:
+            short.setdefault(len(ws), {}).setdefault(tuple(ws), []).append(i)
+            continue
         m = min(least_words, len(ws))
         size = np.array([len(w) for w in ws])
         # of the windows of m words: their grams less those that the largest allowed number of altered words can spoil
         bound = min(int(size[k : k + m].sum()) - Q + 1 - int(np.sort(size[k : k + m])[::-1][: m // one_in].sum() + (m // one_in) * (Q - 1)) for k in range(len(ws) - m + 1))
+        drift = max(int(np.sort(size[k : k + m])[::-1][: m // one_in].sum()) for k in range(len(ws) - m + 1))
+        half = max(half, drift, m // one_in * grow)
         kept.append(i)
         parts.append(b"".join(ws))
         numbers.append(np.repeat(np.arange(len(ws)), size))
         need.append(max(1, bound))
         shortest.append(m)
-        assert len(parts[-1]) == total
-    if not kept:
+    if not kept and not short:
         return None
     start = np.cumsum([0, *map(len, parts)])
     text = np.frombuffer(b"".join(parts), np.uint8)
@@ -127,11 +153,11 @@ def prepared(ident: list[int], texts: list[str], least_words: int, one_in: int)
     grams, first = np.unique(g, return_index=True)
     seen = np.zeros(1 << 23, bool)
     seen[_slot(grams)] = True
-    return Items(np.array(kept), text, start, np.concatenate(numbers), np.array(need), np.array(shortest), grams, np.append(first, len(g)), pos, seen)
+    return Items(np.array(kept), text, start, np.concatenate([np.zeros(0, np.int64), *numbers]), np.array(need), np.array(shortest), half, short, grams, np.append(first, len(g)), pos, seen)
 
 
-def _candidates(it: Items, text: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, item, first diagonal) of bands with enough shared grams. ``doc``: start of each document in text, and the end."""
+def _candidates(it: Items, text: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, item, first diagonal, shared grams) of bands with enough shared grams. ``doc``: start of each document in text, and the end."""
     g = _grams(text)
     p = np.flatnonzero(it.seen[_slot(g)])
     at = np.searchsorted(it.grams, g[p])
@@ -145,8 +171,8 @@ def _candidates(it: Items, text: np.ndarray, doc: np.ndarray) -> tuple[np.ndarra
     p, w, d = p[inside], w[inside], d[inside]
     item = np.searchsorted(it.start, w, "right") - 1
     low = int(it.start[-1])
-    band = (p - (w - it.start[item]) + low) // HALF
-    bands, items = (len(text) + low) // HALF + 2, len(it.ident)
+    band = (p - (w - it.start[item]) + low) // it.half
+    bands, items = (len(text) + low) // it.half + 2, len(it.ident)
     key, count = np.unique((d * items + item) * bands + band, return_counts=True)
     # a band is two neighbouring halves
     nxt = np.zeros(len(key), np.int64)
@@ -158,44 +184,54 @@ def _candidates(it: Items, text: np.ndarray, doc: np.ndarray) -> tuple[np.ndarra
     both, only = count + nxt >= it.need[who % items], lone & (count >= it.need[who % items])
     keep = both | only
     who, b = who[keep], key[keep] % bands
-    return who // items, who % items, b * HALF - low
+    return who // items, who % items, b * it.half - low, (count + nxt)[keep]
 
 
-def _altered(it: Items, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, diag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _altered(it: Items, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, diag: np.ndarray, grow: int) -> tuple[np.ndarray, np.ndarray]:
     """Banded alignment of candidates: for each of their words, altered in the alignment with the fewest altered words; and word counts.
 
     A column is a diagonal of the band. A word of the item is whole where all its bytes stand in the document on its column; an altered
-    word may stand for any bytes of the document, from none to ``GROW`` more than it has, and so leads to the columns in that reach.
+    word may stand for any bytes of the document, from none to ``grow`` more than it has, and so leads to the columns in that reach.
     """
-    n, width = len(item), 2 * HALF + 2 * MARGIN
-    base, col, idx = diag - MARGIN, np.arange(width), np.arange(n)
+    n, width = len(item), 2 * it.half + 2 * MARGIN
+    base, col, idx = diag - MARGIN, np.arange(width, dtype=np.int32), np.arange(n)
     first, past = it.start[item], it.start[item + 1]
     count = it.word[past - 1] + 1
     words = int(count.max())
-    far = np.int64(1 << 40)
+    far = np.int32(1 << 30)
     size = np.zeros((n, words), np.int64)
     for k, (a, b) in enumerate(zip(first, past, strict=True)):
         size[k, : count[k]] = np.bincount(it.word[a:b])
     at = np.cumsum(size, axis=1) - size
-    cost = np.zeros((n, width), np.int64)
+    cost = np.zeros((n, width), np.int32)
     came = np.full((words, n, width), -1, np.int16)  # -1: the word is whole; else the column before it
+    entire = np.zeros((words, n, width), bool)  # all bytes of the word stand on the column
+    for i in range(n):
+        span = int(past[i] - first[i])
+        near = np.zeros(width + span - 1, np.uint8)
+        a, z = max(int(base[i]), int(lo[i])), min(int(base[i]) + len(near), int(hi[i]))
+        if a < z:
+            near[a - base[i] : z - base[i]] = text[a:z]
+        met = np.lib.stride_tricks.sliding_window_view(near, width).T == it.text[first[i] : past[i]]
+        entire[: count[i], i] = np.logical_and.reduceat(met, at[i, : count[i]], axis=1).T
     for k in range(words):
-        whole = np.broadcast_to((k < count)[:, None], (n, width)).copy()
-        for r in range(int(size[:, k].max())):
-            live = r < size[:, k]
-            pos = base[:, None] + col + (at[:, k] + r)[:, None]
-            there = text[np.clip(pos, 0, len(text) - 1)] == it.text[np.minimum(first + at[:, k] + r, len(it.text) - 1)][:, None]
-            whole &= (there & (pos >= lo[:, None]) & (pos < hi[:, None])) | ~live[:, None]
-        best = np.full((n, width), far, np.int64)
-        state = cost * width + col
-        for shift in range(-int(size[:, k].max()), GROW + 1):
-            into = best[:, max(shift, 0) : width + min(shift, 0)]
-            come = state[:, max(-shift, 0) : width - max(shift, 0)]
-            into[:] = np.minimum(into, np.where((shift >= -size[:, k])[:, None], come, far))
-        changed = best // width + 1
+        whole = entire[k]
+        best = np.full((n, width), far, np.int32)
+        state = cost * np.int32(width) + col
+        for shift in range(-int(size[:, k].max()), 0):
+            best[:, :shift] = np.minimum(best[:, :shift], np.where((shift >= -size[:, k])[:, None], state[:, -shift:], far))
+        # the least of the columns up to ``grow`` to the left, by doubling the reach
+        reach, most = 1, grow + 1
+        while reach < most:
+            step = min(reach, most - reach)
+            state[:, step:] = np.minimum(state[:, step:], state[:, :-step])
+            reach += step
+        best = np.minimum(best, state)
+        column = best % np.int32(width)
+        changed = (best - column) // np.int32(width) + np.int32(1)
         pick = whole & (cost <= changed)
+        came[k] = np.where(pick, -1, column)
         live = (k < count)[:, None]
-        came[k] = np.where(pick, -1, best % width)
         cost = np.where(live, np.where(pick, cost, changed), cost)
     out = np.ones((n, words), bool)
     c = cost.argmin(1)
@@ -223,48 +259,74 @@ def _holds(altered: np.ndarray, count: np.ndarray, least: np.ndarray, one_in: in
     return (ok & (s <= reach)).any(1)
 
 
-def _searcher(items: Items, one_in: int):
-    def scan(ident: list[int], streams: list[bytes]) -> pa.RecordBatch | None:
-        doc = np.cumsum([0, *map(len, streams)])
-        text = np.frombuffer(b"".join(streams), np.uint8)
-        if len(text) < Q:
-            return None
-        d, item, diag = _candidates(items, text, doc)
+def _searcher(items: Items, one_in: int, grow: int):
+    def scan(ident: list[int], texts: list[str], found: set[tuple[int, int]]) -> None:
+        """Adds the pairs that aren't in ``found`` yet; of the bands of a pair, the one that shares most is aligned first."""
+        text, doc = streams(texts)
+        if len(text) < Q or not len(items.ident):
+            return
+        d, item, diag, shared = _candidates(items, text, doc)
+        by = np.lexsort((-shared, item, d))
+        d, item, diag = d[by], item[by], diag[by]
+        turn = rank_in_run(starts(d, item))
+        while len(d):
+            new = np.array([(ident[a], b) not in found for a, b in zip(d.tolist(), items.ident[item].tolist(), strict=True)], bool)
+            d, item, diag, turn = d[new], item[new], diag[new], turn[new]
+            now = np.flatnonzero(turn == 0) if (turn == 0).any() else np.arange(len(d))
+            # items of like numbers of words together
+            now = now[np.argsort(items.start[item[now] + 1] - items.start[item[now]], kind="stable")]
+            for k in range(0, len(now), ALIGN_ROWS):
+                at = now[k : k + ALIGN_ROWS]
+                altered, count = _altered(items, text, doc[d[at]], doc[d[at] + 1], item[at], diag[at], grow)
+                hit = at[_holds(altered, count, items.shortest[item[at]], one_in)]
+                found |= {(ident[a], b) for a, b in zip(d[hit].tolist(), items.ident[item[hit]].tolist(), strict=True)}
+            rest = np.ones(len(d), bool)
+            rest[now] = False
+            d, item, diag, turn = d[rest], item[rest], diag[rest], turn[rest]
+
+    def exact(ident: list[int], texts: list[str], found: set[tuple[int, int]]) -> None:
+        for i, t in zip(ident, texts, strict=True):
+            ws = words(t)
+            for n, of in items.short.items():
+                for k in range(len(ws) - n + 1):
+                    found |= {(i, item) for item in of.get(tuple(ws[k : k + n]), ())}
+
+    def search(ident: list[int], texts: list[str]) -> pa.RecordBatch:
         found: set[tuple[int, int]] = set()
-        for k in range(0, len(d), ALIGN_ROWS):
-            dd, ii = d[k : k + ALIGN_ROWS], item[k : k + ALIGN_ROWS]
-            altered, count = _altered(items, text, doc[dd], doc[dd + 1], ii, diag[k : k + ALIGN_ROWS])
-            hit = _holds(altered, count, items.shortest[ii], one_in)
-            found |= {(ident[a], int(items.ident[b])) for a, b in zip(dd[hit].tolist(), ii[hit].tolist(), strict=True)}
-        if not found:
-            return None
-        a, b = zip(*sorted(found), strict=True)
+        bare = without_brackets(texts)
+        # where something stood in brackets, the text is read as it stands too
+        full = [k for k, (a, b) in enumerate(zip(texts, bare, strict=True)) if len(a) != len(b)]
+        for who, what in ((ident, bare), ([ident[k] for k in full], [texts[k] for k in full])):
+            if who:
+                scan(who, what, found)
+                if items.short:
+                    exact(who, what, found)
+        a, b = zip(*sorted(found), strict=True) if found else ((), ())
         return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "item_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ident, streams, held = [], [], 0
+        ident, texts, held = [], [], 0
         for b in batches:
             for i, t in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True):
-                for x in readings(t):
-                    ident.append(i)
-                    streams.append(x)
-                    held += len(x)
-                if held >= SCAN_BYTES:
-                    if (got := scan(ident, streams)) is not None:
-                        yield got
-                    ident, streams, held = [], [], 0
-        if streams and (got := scan(ident, streams)) is not None:
-            yield got
+                ident.append(i)
+                texts.append(t.replace(_STOP, " "))
+                held += len(t)
+                if held >= SCAN_CHARS:
+                    yield search(ident, texts)
+                    ident, texts, held = [], [], 0
+        if texts:
+            yield search(ident, texts)
 
     return run
 
 
-def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least_words: int = 20, one_in: int = 10) -> DataFrame:
+def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least_words: int = 20, one_in: int = 10, grow: int = 24) -> DataFrame:
     """doc_id, item_id of every document that holds a passage of an item, once each.
 
     A passage is at least ``least_words`` consecutive words of the item, or the whole item if that is shorter, with at most one altered word
     in ``one_in``. Null or empty texts hold nothing and are held by nothing; rows with null ids are left out; items with equal texts or shared
-    passages each count. Items of fewer than eight letters can't be found by grams and raise an error.
+    passages each count. What stands for an altered word has at most ``grow`` bytes more than it. Documents are read both without what stands in
+    brackets and as they stand. Items of fewer than eight letters have no gram; they are held where all their words follow each other unaltered.
     """
     rows = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t"))
     src = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("t"))
@@ -273,15 +335,13 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
 
     def block() -> None:
         nonlocal out, ident, texts, held
-        made = prepared(ident, texts, least_words, one_in)
+        made = prepared(ident, texts, least_words, one_in, grow)
         ident, texts, held = [], [], 0
         if made is not None:
-            part = src.mapInArrow(_searcher(made, one_in), "doc_id bigint, item_id bigint")
+            part = src.mapInArrow(_searcher(made, one_in, grow), "doc_id bigint, item_id bigint")
             out = part if out is None else out.unionByName(part)
 
     for r in rows.toLocalIterator():
-        if 0 < len(stream(r["t"])) < Q:
-            raise ValueError(f"item {r['i']} is too short to be searched for")
         ident.append(r["i"])
         texts.append(r["t"])
         held += len(r["t"])

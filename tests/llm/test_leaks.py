@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from spanloom.llm.leaks import leaks, words
 
 R = random.Random(4)
@@ -65,9 +63,35 @@ def test_a_very_long_document_and_nothing(spark):
     assert found(spark, [(1, "x")], [(1, None, None, None)]) == []
 
 
-def test_items_too_short_raise(spark):
-    with pytest.raises(ValueError):
-        found(spark, [(1, "x")], [(1, "ab", None, None)])
+def test_items_shorter_than_a_gram(spark):
+    items = [(1, "ab", None, None), (2, "To be!", None, None), (3, "?!", None, None)]
+    docs = [(1, "cab AB, x"), (2, "cab"), (3, "[to] be"), (4, "to-\n be"), (5, "... to  BE"), (6, ""), (7, "to (or not) be")]
+    assert found(spark, docs, items) == [(1, 1), (3, 2), (5, 2), (7, 2)]
+
+
+def test_brackets_of_any_length(spark):
+    five = ["melon", "harbour", "violet", "engine", "cradle"]
+    items = [(1, " ".join(five), None, None), (2, " ".join(ITEM[:10]) + " (" + " ".join(ITEM[10:14]) + ") " + " ".join(ITEM[14:24]), None, None)]
+    docs = [(1, around(["(" + " ".join(five) + ")"])), (2, around([*five[:2], "(Hear, hear)", *five[2:]])), (3, around(ITEM[:10] + ["("] + ITEM[10:14] + [")"] + ITEM[14:24]))]
+    assert found(spark, docs, items) == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_recall_of_altered_words_of_all_lengths(spark):
+    r = random.Random(3)
+    docs, want = [], []
+    for i in range(150):
+        at = r.randrange(0, 39)
+        ws = list(ITEM[at : at + 21])
+        for k in r.sample(range(1, 20), 2):
+            ws[k] = r.choice(["", "z", "z" * 9, "z" * (len(ws[k]) + 24)])
+        docs.append((i, around(ws)))
+        want.append((i, 1))
+    assert found(spark, docs) == want
+    grown = ["z" * 60 if k in (6, 13) else w for k, w in enumerate(ITEM[10:31])]
+    df = spark.createDataFrame([(1, around(grown), "c", 1, "t")], D)
+    item = spark.createDataFrame([(1, " ".join(ITEM), "a", 9)], I)
+    assert leaks(df, "doc_id", "text", item, "item_id", "text").count() == 0
+    assert leaks(df, "doc_id", "text", item, "item_id", "text", grow=60).count() == 1
 
 
 def test_words():
