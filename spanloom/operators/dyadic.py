@@ -2,8 +2,8 @@
 
 Every half-open integer interval is the union of few canonical dyadic blocks (a power of two long, aligned to it). Blocks nest or
 are disjoint, so those covered by an ancestor fall away, two siblings become their parent, and adjacent blocks form a run. This is
-done in each map task first and again per zone, a dyadic stretch of the coordinates, so that neither a hot key nor a hot stretch
-reaches one task whole. Only the outermost runs of each zone, two at most, are joined over zone borders.
+done in each map task first and again per zone, a stretch of the coordinates between two quantiles, so that neither a hot key nor a hot
+stretch reaches one task whole, however far out single intervals lie. Only the outermost runs of each zone, two at most, are joined over zone borders.
 """
 
 from __future__ import annotations
@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.arrow import chunks, codes, starts
+from spanloom.operators.ordered import borders
 from spanloom.runtime import spread, written
 
 CHUNK_ROWS = 200_000
-#: Zones that the range of all coordinates is divided into.
-ZONES = 1024
 #: Zones reach so far to both sides; what lies beyond is joined with the outermost runs.
 _LIMIT = 1 << 61
 
@@ -68,7 +67,9 @@ def condensed(g: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
         g, start, size = g[keep], start[keep], size[keep]
 
 
-def _blocks(keys: list[str], zone: int):
+def _blocks(keys: list[str], at: list[int]):
+    border = np.array(at, np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, CHUNK_ROWS):
             c = codes(t, keys)
@@ -76,18 +77,23 @@ def _blocks(keys: list[str], zone: int):
             heads, g = np.unique(c, return_index=True, return_inverse=True)[1:]
             by = np.lexsort((hi, lo, g))
             by = by[starts(g[by], lo[by], hi[by])]
-            g, start, size = condensed(*decomposed(g[by], lo[by], hi[by]))
-            # a block larger than a zone stands for the zones in it
-            n = np.maximum(size // zone, 1)
+            g, lo, hi = g[by], lo[by], hi[by]
+            # an interval is cut where zones meet
+            zone = np.searchsorted(border, lo, "right")
+            n = np.searchsorted(border, hi - 1, "right") - zone + 1
             nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            g, start, size = np.repeat(g, n), np.repeat(start, n) + nth * zone, np.repeat(np.minimum(size, zone), n)
+            g, zone, whole = np.repeat(g, n), np.repeat(zone, n) + nth, np.repeat(n, n)
+            lo = np.where(nth == 0, np.repeat(lo, n), border[np.maximum(zone - 1, 0)] if len(border) else 0)
+            hi = np.where(nth == whole - 1, np.repeat(hi, n), border[np.minimum(zone, len(border) - 1)] if len(border) else 0)
+            g, start, size = condensed(*decomposed(g * (len(border) + 1) + zone, lo, hi))
+            g, zone = g // (len(border) + 1), g % (len(border) + 1)
             head = t.select(keys).take(pa.array(heads[g]))
-            yield from pa.table([*(head.column(k) for k in keys), pa.array(start // zone), pa.array(start), pa.array(size)], names=[*keys, "zone", "start", "size"]).combine_chunks().to_batches()
+            yield from pa.table([*(head.column(k) for k in keys), pa.array(zone.astype(np.int64)), pa.array(start), pa.array(size)], names=[*keys, "zone", "start", "size"]).combine_chunks().to_batches()
 
     return run
 
 
-def _runs(keys: list[str], zone: int):
+def _runs(keys: list[str]):
     names = [*keys, "zone"]
 
     def runs(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -132,22 +138,22 @@ def blocks_and_gaps(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFra
     """``keys``, kind (``block`` or ``gap``), lo, hi (half-open): continuous blocks of each key and the gaps between neighbours.
 
     Overlapping, nested and touching intervals form one block. Rows with a null bound or ``hi`` <= ``lo`` take no part. Intervals are cut at
-    +-2**61, and the parts beyond are gathered per key, one for each ``lo``. A null key is a key of its own. A key of one block has no gap; an empty table gives no rows.
+    +-2**61, and the parts beyond are gathered per key, one for each ``lo``. Keys keep their types; a null key is a key of its own. A key of one block has no gap; an empty table gives no rows.
     """
     ks = [f"k{i}" for i in range(len(keys))]
-    rows = df.select(*(F.col(k).cast("string").alias(n) for k, n in zip(keys, ks, strict=True)), F.col(lo).cast("bigint").alias("lo"), F.col(hi).cast("bigint").alias("hi"))
+    rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, ks, strict=True)), F.col(lo).cast("bigint").alias("lo"), F.col(hi).cast("bigint").alias("hi"))
     rows = rows.where("lo < hi")
     part = lambda least, most: F.struct(F.greatest("lo", F.lit(least)).alias("lo"), F.least("hi", F.lit(most)).alias("hi"))
     inside = rows.select(*ks, part(-_LIMIT, _LIMIT).alias("p"), ((F.col("lo") < -_LIMIT) | (F.col("hi") > _LIMIT)).alias("far"))
     met = F.when(F.col("p.lo") < F.col("p.hi"), F.col("p"))
-    span = inside.agg(F.min(met["lo"]).alias("lo"), F.max(met["hi"]).alias("hi"), F.avg(met["hi"] - met["lo"]).alias("mean"), F.max("far").alias("far")).first()
+    span = inside.agg(F.avg(met["hi"] - met["lo"]).alias("mean"), F.max("far").alias("far")).first()
     inside = inside.select(*ks, "p.lo", "p.hi").where("lo < hi")
-    width = (span["hi"] - span["lo"]) if span["lo"] is not None else 1
-    # at most so many zones, and few intervals that cross from one to the next
-    zone = min(_LIMIT, 1 << max(0, max(max(1, width) // ZONES, int(8 * (span["mean"] or 1))).bit_length()))
-    key_schema = ", ".join(f"{k} string" for k in ks)
-    cut = spread(inside).mapInArrow(_blocks(ks, zone), f"{key_schema}, zone bigint, start bigint, size bigint")
-    runs = cut.repartition(*ks, "zone").sortWithinPartitions(*ks, "zone").mapInArrow(_runs(ks, zone), f"{key_schema}, zone bigint, kind int, lo bigint, hi bigint")
+    # few intervals cross from one zone to the next
+    at = borders(inside, "lo", 1 << int(8 * (span["mean"] or 1)).bit_length())
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    key_schema = ", ".join(f"{k} {kinds[k]}" for k in ks)
+    cut = spread(inside).mapInArrow(_blocks(ks, at), f"{key_schema}, zone bigint, start bigint, size bigint")
+    runs = cut.repartition(*ks, "zone").sortWithinPartitions(*ks, "zone").mapInArrow(_runs(ks), f"{key_schema}, zone bigint, kind int, lo bigint, hi bigint")
     runs = written(runs, "runs")
     if span["far"]:
         beyond = rows.select(*ks, F.inline(F.array(part(-(1 << 63), -_LIMIT), part(_LIMIT, (1 << 63) - 1)))).where("lo < hi").groupBy(*ks, "lo").agg(F.max("hi").alias("hi"))

@@ -12,10 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.dyadic import blocks_and_gaps
-from spanloom.operators.ordered import LEAST, STRETCHES, stepped
-from spanloom.runtime import written
-
-
+from spanloom.operators.ordered import borders, stepped, stretch_of, stretches_where
 
 def valid(df: DataFrame) -> DataFrame:
     return df.where("lo <= hi")
@@ -59,10 +56,9 @@ def depth(df: DataFrame, keys: list[str]) -> DataFrame:
     return got.where("a > 0").select(*keys, F.col("pos").alias("lo"), (F.col("next_pos") - 1).alias("hi"), F.col("a").alias("depth"))
 
 
-def _where(a: DataFrame, b: DataFrame, keys: list[str], keep: str) -> DataFrame:
-    got = stepped(_events(a, keys, 1, 0).unionByName(_events(b, keys, 0, 1)), keys, "pos", ["a", "b"])
-    # written, as merging reads its input twice
-    return merge(written(got.where(keep).select(*keys, F.col("pos").alias("lo"), (F.col("next_pos") - 1).alias("hi")), "swept"), keys)
+def _where(a: DataFrame, b: DataFrame, keys: list[str], keep: Callable[[Column, Column], Column]) -> DataFrame:
+    got = stretches_where(_events(a, keys, 1, 0).unionByName(_events(b, keys, 0, 1)), keys, "pos", ["a", "b"], keep)
+    return got.select(*keys, F.col("begin").alias("lo"), (F.col("end") - 1).alias("hi"))
 
 
 def union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,12 +67,12 @@ def union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def intersection(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Canonical set of the points in both."""
-    return _where(a, b, keys, "a > 0 AND b > 0")
+    return _where(a, b, keys, lambda x, y: (x > 0) & (y > 0))
 
 
 def difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Canonical set of the points in ``a`` but not in ``b``."""
-    return _where(a, b, keys, "a > 0 AND b = 0")
+    return _where(a, b, keys, lambda x, y: (x > 0) & (y == 0))
 
 
 def subset(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,6 +93,29 @@ def elements(df: DataFrame, keys: list[str]) -> DataFrame:
     return merge(df, keys).select(*keys, F.explode(F.sequence("lo", "hi")).alias("point"))
 
 
+def keep_elements(df: DataFrame, keys: list[str], holds: Column) -> DataFrame:
+    """Canonical set of the points (column ``point``) for which ``holds`` is true."""
+    kept = elements(df, keys).where(holds)
+    return merge(kept.select(*keys, F.col("point").alias("lo"), F.col("point").alias("hi")), keys)
+
+
+def partition(df: DataFrame, keys: list[str], holds: Column) -> tuple[DataFrame, DataFrame]:
+    """Canonical sets of the points for which ``holds`` is true, and of all others (false or null)."""
+    sure = F.coalesce(holds, F.lit(False))
+    return keep_elements(df, keys, sure), keep_elements(df, keys, ~sure)
+
+
+def quantified(df: DataFrame, keys: list[str], holds: Column) -> DataFrame:
+    """keys, for_all, exists: whether ``holds`` is true for every point of the key's set, and for one at least."""
+    sure = F.coalesce(holds, F.lit(False))
+    return elements(df, keys).groupBy(*keys).agg(F.min(sure).alias("for_all"), F.max(sure).alias("exists"))
+
+
+def expanded(df: DataFrame, keys: list[str], payload: str) -> DataFrame:
+    """keys, pos, payloads: every position that a range covers with the payloads of all ranges over it, in order; as many as the depth there."""
+    return valid(df).select(*keys, F.explode(F.sequence("lo", "hi")).alias("pos"), payload).groupBy(*keys, "pos").agg(F.array_sort(F.collect_list(payload)).alias("payloads"))
+
+
 def regions(df: DataFrame, keys: list[str], passing: Column, max_gap: int) -> DataFrame:
     """Runs of passing ranges with at most ``max_gap`` failing or missing units between them, from the first to the last passing unit.
 
@@ -153,8 +172,6 @@ def nearest(queries: DataFrame, targets: DataFrame, keys: list[str], ident: str)
     """
     q = valid(queries).select(ident, *keys, "lo", "hi")
     t = valid(targets).select(*keys, "lo", "hi").distinct()
-    span = q.select("lo", "hi").unionByName(t.select("lo", "hi")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-    width = max(LEAST, (span["hi"] - span["lo"]) // STRETCHES + 1) if span["lo"] is not None else LEAST
     hits = overlaps(q, t, keys).groupBy(ident).agg(F.min(F.struct(F.col("lo_b").alias("lo"), F.col("hi_b").alias("hi"))).alias("best"))
     sides = []
     for side in ("left", "right"):
@@ -164,7 +181,7 @@ def nearest(queries: DataFrame, targets: DataFrame, keys: list[str], ident: str)
         tied = t.groupBy(*keys, F.col(at_t).alias("p")).agg(F.min(F.struct("lo", "hi")).alias("t"))
         rows = tied.select(*keys, (F.col("p") * sign).alias("p"), F.lit(1).alias("o"), "t", F.lit(None).cast(dict(q.dtypes)[ident]).alias(ident))
         rows = rows.unionByName(q.select(*keys, (F.col(at_q) * sign).alias("p"), F.lit(0).alias("o"), F.lit(None).cast("struct<lo:bigint,hi:bigint>").alias("t"), ident))
-        rows = rows.withColumn("__b", F.floor(F.col("p") / width))
+        rows = rows.withColumn("__b", stretch_of(F.col("p"), borders(rows, "p")))
         per = rows.where("o = 1").groupBy(*keys, "__b").agg(F.max_by("t", "p").alias("t"))
         every = rows.select(*keys, "__b").distinct().join(per, [*keys, "__b"], "left")
         before = every.withColumn("__before", F.last("t", True).over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).drop("t")
@@ -208,12 +225,14 @@ def relations() -> dict[str, Column]:
 def adjacency(df: DataFrame, keys: list[str], part: str) -> DataFrame:
     """Per key: any_overlap, all_positional, max_gap of consecutive ranges in order of (lo, hi).
 
-    Each pair of neighbours is judged within ``part`` (a column that bounds a task's rows, such as a sub-key).
+    Each pair of neighbours is judged within ``part`` (a column that bounds a task's rows, such as a sub-key). A key with one range has no overlap,
+    is positional, and its max_gap is null.
     """
     w = Window.partitionBy(*keys, part).orderBy("lo", "hi")
-    rows = valid(df).withColumns({"plo": F.lag("lo").over(w), "phi": F.lag("hi").over(w)}).where("plo IS NOT NULL")
+    rows = valid(df).withColumns({"plo": F.lag("lo").over(w), "phi": F.lag("hi").over(w)})
     before = ((F.col("plo") < F.col("lo")) & (F.col("phi") < F.col("hi"))) | ((F.col("plo") == F.col("lo")) & (F.col("phi") == F.col("hi")))
-    return rows.groupBy(*keys, part).agg(F.max(F.col("lo") <= F.col("phi")).alias("any_overlap"), F.min(before).alias("all_positional"), F.max(F.col("lo") - F.col("phi") - 1).alias("max_gap"))
+    overlap, positional = F.coalesce(F.max(F.col("lo") <= F.col("phi")), F.lit(False)), F.coalesce(F.min(before), F.lit(True))
+    return rows.groupBy(*keys, part).agg(overlap.alias("any_overlap"), positional.alias("all_positional"), F.max(F.col("lo") - F.col("phi") - 1).alias("max_gap"))
 
 
 def least_window(size: Column, start: Column, enough: Callable[[Column, Column], Column]) -> Column:

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from spanloom.runtime import written
 
 ROOT = "record"
-#: A schema has fewer edges than this; more means that field names hold data.
+#: A schema has fewer edges than this; more means that field names hold data, which no set of tables can have as columns.
 MAX_EDGES = 100_000
-_SHRED = "doc bigint, tab string, row_id bigint, parent_tab string, parent_id bigint, path string, ord int, cols map<string,string>"
+_SHRED = "doc bigint, tab string, row_id bigint, parent_tab string, parent_id bigint, path string, ord int, shape string, cols map<string,string>"
 
 
 @dataclass(frozen=True)
@@ -46,12 +46,9 @@ def _text(x) -> str | None:
     return None if x is None else ("true" if x else "false") if isinstance(x, bool) else str(x)
 
 
-def _dumped(v: list) -> str | None:
-    """A list within a list as text; null where it is nested beyond what can be written."""
-    try:
-        return json.dumps(v)
-    except RecursionError:
-        return None
+def escaped(name: str) -> str:
+    """A field name as a step of a path: dots part steps, so a dot in a name follows a backslash, as does a backslash."""
+    return name.replace("\\", "\\\\").replace(".", "\\.") if "." in name or "\\" in name else name
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,6 +68,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     elif isinstance(w, list):
                         seen.add((name, k, True))
                         while any(isinstance(y, list) for y in w):
+                            seen.add((k, k, True))
                             w = [z for y in w for z in (y if isinstance(y, list) else [y])]
                         todo += [(k, y) for y in w]
     p, c, r = zip(*seen, strict=True) if seen else ((), (), ())
@@ -113,22 +111,25 @@ def _shredder(own: set[str]):
     def record(doc: int, text: str | None) -> list[tuple]:
         x, why = _load(text)
         if why or x is None:
-            return [(doc, "_invalid", 0, None, None, "", 0, [("reason", why or "null")])]
+            return [(doc, "_invalid", 0, None, None, "", 0, "value", [("reason", why or "null")])]
         out: list[tuple] = []
         # value, element, parent table, parent row, path from the parent's row, position
         todo = [(v, ROOT, None, None, "", i) for i, v in enumerate(x if isinstance(x, list) else [x])]
         while todo:
             v, name, ptab, pid, path, i = todo.pop()
             row, cols = len(out), {}
-            out.append((doc, name, row, ptab, pid, path, i, cols))
+            out.append((doc, name, row, ptab, pid, path, i, "object" if isinstance(v, dict) else "list" if isinstance(v, list) else "value", cols))
+            if isinstance(v, list):  # a list within a list is a row of its own, its elements hang below it
+                todo += [(y, name, name, row, "", n) for n, y in enumerate(v) if y is not None]
+                continue
             if not isinstance(v, dict):
-                cols["value"] = _dumped(v) if isinstance(v, list) else _text(v)
+                cols["value"] = _text(v)
                 continue
             inner = [(v, "")]
             while inner:
                 obj, at = inner.pop()
                 for k, w in obj.items():
-                    p = f"{at}.{k}" if at else k
+                    p = f"{at}.{escaped(k)}" if at else escaped(k)
                     if isinstance(w, list):
                         # null elements keep their position and give no row
                         todo += [(y, k, name, row, p, n) for n, y in enumerate(w) if y is not None]
@@ -139,11 +140,11 @@ def _shredder(own: set[str]):
                             inner.append((w, p))
                     else:
                         cols[p] = _text(w)
-        return [(*r[:7], [*r[7].items()]) for r in out]
+        return [(*r[:8], [*r[8].items()]) for r in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc", pa.int64()), ("tab", pa.string()), ("row_id", pa.int64()), ("parent_tab", pa.string()), ("parent_id", pa.int64()),
-                            ("path", pa.string()), ("ord", pa.int32()), ("cols", pa.map_(pa.string(), pa.string()))])
+                            ("path", pa.string()), ("ord", pa.int32()), ("shape", pa.string()), ("cols", pa.map_(pa.string(), pa.string()))])
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column("doc").to_pylist(), b.column("payload").to_pylist(), strict=True):
@@ -162,8 +163,8 @@ class Shredded:
 
     ``declared``: edges known beforehand, added to those that occur. ``inlined``: elements that as lone objects stay in the table above
     them wherever else they occur, so that their paths don't depend on the other records; in a list they are rows. Null payloads and payloads that aren't JSON objects or lists
-    come out in table ``_invalid`` with their reason. A list of scalars is a table with a column ``value``; a lone object is a list
-    of one; null elements keep their position and give no row. Rows with a null id are left out.
+    come out in table ``_invalid`` with their reason. A list of scalars is a table with a column ``value``; a list within a list is a row of
+    the same table (``shape`` list) that its elements have as parent, with an empty path; a lone object is a list of one; null elements keep their position and give no row. Rows with a null id are left out.
     """
 
     def __init__(self, df: DataFrame, ident: str, payload: str, declared: set[Edge] = frozenset(), inlined: set[str] = frozenset()):
@@ -173,6 +174,6 @@ class Shredded:
         self.rows = written(src.mapInArrow(_shredder(self.tables - set(inlined)), _SHRED), "shredded")
 
     def df(self, name: str, columns: dict[str, str] | None = None) -> DataFrame:
-        """One table: doc, row_id, parent_tab, parent_id, path, ord and the named columns (column name -> inlined path)."""
+        """One table: doc, row_id, parent_tab, parent_id, path, ord, shape (object, list or value) and the named columns (column name -> inlined path, see :func:`escaped`)."""
         got = self.rows.where(F.col("tab") == name)
-        return got.select("doc", "row_id", "parent_tab", "parent_id", "path", "ord", *(F.col("cols")[p].alias(c) for c, p in (columns or {}).items()))
+        return got.select("doc", "row_id", "parent_tab", "parent_id", "path", "ord", "shape", *(F.col("cols")[p].alias(c) for c, p in (columns or {}).items()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +12,37 @@ from pyspark.sql import functions as F
 
 from spanloom.runtime import written
 
-#: Stretches that the range of all positions is divided into.
+#: Stretches that all positions are divided into, with about equally many rows each.
 STRETCHES = 1024
-#: Positions a stretch has at least; so many rows are little for a task.
-LEAST = 4096
+#: Rows of a stretch at least.
+ROWS = 65_536
+#: Share of the rows that borders are drawn from; they decide how even the stretches are, never a result.
+SAMPLE = 0.1
+#: Borders that are compared at once.
+_STEP = 32
+
+
+def borders(df: DataFrame, pos: str, least: int = 1) -> list[int]:
+    """Sorted positions that divide the rows into stretches of about equal numbers (ROWS or more; at most STRETCHES), whatever lies far out; multiples of ``least``."""
+    at = [k / STRETCHES for k in range(1, STRETCHES)]
+    got = df.sample(SAMPLE, 7).agg(F.percentile_approx(pos, at, 2 * STRETCHES).alias("q"), F.count(pos).alias("n")).first()
+    if not got["q"]:
+        return []
+    number = min(STRETCHES, int(got["n"] / SAMPLE) // ROWS)
+    return sorted({got["q"][STRETCHES * k // number - 1] // least * least for k in range(1, number)})
+
+
+def stretch_of(pos: Column, at: list[int]) -> Column:
+    """Number of borders at or below ``pos``, by two rounds of comparisons."""
+    if not at:
+        return F.lit(0)
+    lists = lambda xs: "array(" + ", ".join(f"CAST({x} AS BIGINT)" if x < 0 else f"{x}L" for x in xs) + ")"
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= pos))
+    if len(at) <= _STEP:
+        return below(F.expr(lists(at)))
+    groups = [at[k : k + _STEP] for k in range(0, len(at), _STEP)]
+    group = F.greatest(below(F.expr(lists([g[0] for g in groups]))), F.lit(1)) - 1
+    return group * _STEP + below(F.get(F.expr("array(" + ", ".join(map(lists, groups)) + ")"), group))
 
 
 def _cumulated(values: list[str]):
@@ -50,21 +77,44 @@ def prefix_sums(df: DataFrame, order: list[str], values: list[str], descending:
     return both.select(*df.columns, *((F.col(f"{v}_to") + F.col(f"__{v}")).alias(f"{v}_to") for v in values))
 
 
-def stepped(events: DataFrame, keys: list[str], pos: str, deltas: list[str]) -> DataFrame:
-    """keys, pos, next_pos and the running sum of each delta up to pos, per key in order of pos (BIGINT); one row a position.
-
-    Deltas are combined per position before they are shuffled. Running sums are taken per stretch of positions, and each stretch starts from the
-    totals of those before it, so a hot key is spread over many tasks and no task has more rows than positions in a stretch.
-    """
-    span = events.agg(F.min(pos).alias("lo"), F.max(pos).alias("hi")).first()
-    width = max(LEAST, (span["hi"] - span["lo"]) // STRETCHES + 1) if span["lo"] is not None else LEAST
-    stretch: Column = F.floor(F.col(pos) / F.lit(width)).cast("bigint")
-    ev = events.withColumn("__b", stretch).groupBy(*keys, "__b", pos).agg(*(F.sum(d).alias(d) for d in deltas)).repartition(*keys, "__b")
+def _sums(events: DataFrame, keys: list[str], pos: str, deltas: list[str]) -> DataFrame:
+    """Events combined per position, in their stretches, each with the totals of the stretches before it (``__sum_``) and the first position after its stretch (``__next``)."""
+    at = borders(events.where(F.col(pos).isNotNull()), pos)
+    ev = events.withColumn("__b", stretch_of(F.col(pos), at)).groupBy(*keys, "__b", pos).agg(*(F.sum(d).alias(d) for d in deltas)).repartition(*keys, "__b")
     w = Window.partitionBy(*keys).orderBy("__b")
     upto = w.rowsBetween(Window.unboundedPreceding, -1)
     per = ev.groupBy(*keys, "__b").agg(*(F.sum(d).alias(d) for d in deltas), F.min(pos).alias("__first"))
     per = per.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__b").alias("__bb"), *(F.coalesce(F.sum(d).over(upto), F.lit(0)).alias(f"__sum_{d}") for d in deltas), F.lead("__first").over(w).alias("__next"))
     on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col("__b") == F.col("__bb")]
+    return ev.join(per, on)
+
+
+def stepped(events: DataFrame, keys: list[str], pos: str, deltas: list[str]) -> DataFrame:
+    """keys, pos, next_pos and the running sum of each delta up to pos, per key in order of pos (BIGINT); one row a position.
+
+    Deltas are combined per position before they are shuffled. Running sums are taken per stretch of positions, and each stretch starts from the
+    totals of those before it, so a hot key is spread over many tasks, and stretches have about equally many rows.
+    """
+    inner = Window.partitionBy(*keys, "__b").orderBy(pos)
+    run = inner.rowsBetween(Window.unboundedPreceding, 0)
+    got = _sums(events, keys, pos, deltas)
+    return got.select(*keys, pos, F.coalesce(F.lead(pos).over(inner), F.col("__next")).alias("next_pos"), *((F.sum(d).over(run) + F.col(f"__sum_{d}")).alias(d) for d in deltas))
+
+
+def stretches_where(events: DataFrame, keys: list[str], pos: str, deltas: list[str], keep: Callable[..., Column]) -> DataFrame:
+    """keys, begin, end: the longest half-open stretches of positions on which ``keep(running sums)`` holds; it must not hold where all sums are 0.
+
+    Within a stretch of the input only positions at which ``keep`` turns matter; what is open at its end is closed by the first turn of a later
+    stretch, so that at most two rows a key and stretch meet in a window.
+    """
     inner = Window.partitionBy(*keys, "__b").orderBy(pos)
     run = inner.rowsBetween(Window.unboundedPreceding, 0)
-    return ev.join(per, on).select(*keys, pos, F.coalesce(F.lead(pos).over(inner), F.col("__next")).alias("next_pos"), *((F.sum(d).over(run) + F.col(f"__sum_{d}")).alias(d) for d in deltas))
+    got = _sums(events, keys, pos, deltas)
+    sums = got.select(*keys, "__b", pos, keep(*(F.sum(d).over(run) + F.col(f"__sum_{d}") for d in deltas)).alias("__in"), keep(*(F.col(f"__sum_{d}") for d in deltas)).alias("__before"))
+    turns = sums.withColumn("__was", F.coalesce(F.lag("__in").over(inner), F.col("__before"))).where("__in <> __was")
+    # written, as it is read twice and costs more than its size
+    turns = written(turns.select(*keys, F.col(pos).alias("begin"), "__in", F.lead(pos).over(inner).alias("end"), F.lag(pos).over(inner).isNull().alias("__leads")), "turns")
+    closed = turns.where("__in AND end IS NOT NULL").select(*keys, "begin", "end")
+    over = turns.where("__in AND end IS NULL OR NOT __in AND __leads")
+    open_ = over.withColumn("end", F.lead("begin").over(Window.partitionBy(*keys).orderBy("begin"))).where("__in AND end IS NOT NULL").select(*keys, "begin", "end")
+    return closed.unionByName(open_)

@@ -16,8 +16,9 @@ import pyarrow.csv as pcsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Stand-ins for control characters inside a line while the CSV reader has it.
-_TAB, _CR, _LF, _NUL = "\ue009", "\ue00d", "\ue00a", "\ue010"
+#: While the CSV reader has a line, control characters inside it stand as this character and a letter, and the character itself as it and ``e``.
+_ESC = "\ue00d"
+_STANDS = ((_ESC, "e"), ("\t", "t"), ("\r", "r"), ("\n", "n"), ("\0", "z"))
 
 
 def digits(v: pa.Array) -> np.ndarray:
@@ -42,7 +43,11 @@ def bounded(lo: int, hi: int) -> Callable[[pa.Array], np.ndarray]:
 
 def finite_decimal(v: pa.Array) -> np.ndarray:
     ok = _mask(pc.match_substring_regex(v, r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"))
-    n = np.array([float(x) for x in pc.if_else(pa.array(ok), v, "nan").to_pylist()])
+    plain = pc.if_else(pa.array(ok), pc.replace_substring_regex(v, r"^[+]|[.]($|[eE])", r"\1"), "nan")
+    try:
+        n = pc.cast(plain, pa.float64()).to_numpy(zero_copy_only=False)
+    except pa.ArrowInvalid:  # beyond what a double holds
+        n = np.array([float(x) for x in plain.to_pylist()])
     return ok & np.isfinite(n)
 
 
@@ -63,12 +68,12 @@ class Layout:
 def _parsed(ids: pa.Array, lines: pa.Array, layout: Layout) -> tuple[dict[str, pa.Array], list[int]]:
     """Fields of the rows with the right number of columns, with their id in ``__id``; the ids of the others."""
     n = len(layout.columns)
+    for c, stand in _STANDS:
+        if c != "\t":
+            lines = pc.replace_substring(lines, c, _ESC + stand)
     if layout.rest:
         parts = pc.split_pattern(lines, "\t", max_splits=n - 1)
-        flat = pc.replace_substring(parts.flatten(), "\t", _TAB)
-        lines = pc.binary_join(pa.ListArray.from_arrays(parts.offsets, flat), "\t")
-    for c, stand in (("\r", _CR), ("\n", _LF), ("\0", _NUL)):
-        lines = pc.replace_substring(lines, c, stand)
+        lines = pc.binary_join(pa.ListArray.from_arrays(parts.offsets, pc.replace_substring(parts.flatten(), "\t", _ESC + "t")), "\t")
     rows = pc.binary_join_element_wise(pc.cast(ids, pa.string()), lines, "\t")
     data = ("\n".join(rows.to_pylist()) + "\n").encode()
     bad: list[int] = []
@@ -88,8 +93,8 @@ def _parsed(ids: pa.Array, lines: pa.Array, layout: Layout) -> tuple[dict[str, p
 
 
 def _restored(v: pa.Array) -> pa.Array:
-    for c, stand in (("\r", _CR), ("\n", _LF), ("\0", _NUL)):
-        v = pc.replace_substring(v, stand, c)
+    for c, stand in reversed(_STANDS):
+        v = pc.replace_substring(v, _ESC + stand, c)
     return v
 
 
@@ -117,16 +122,18 @@ def _loader(layouts: dict[str, Layout]):
                 others = pa.nulls(len(at), pa.string())
                 if layout.rest and len(at):
                     last = layout.columns[-1]
-                    split = pc.split_pattern(values[last], _TAB, max_splits=1)
-                    values[last] = pc.list_element(split, 0)
+                    # the first stand-in of a tab ends the last column
+                    split = pc.split_pattern(values[last], _ESC + "t", max_splits=1)
                     more = pc.greater(pc.list_value_length(split), 1)
-                    tail = pc.replace_substring(pc.replace_substring_regex(cells[last], f"^[^{_TAB}]*{_TAB}?", ""), _TAB, "\t")
+                    ends = split.offsets.to_numpy()
+                    values[last], tail = split.values.take(pa.array(ends[:-1])), split.values.take(pa.array(ends[1:] - 1))
                     others = pc.if_else(more, tail, pa.scalar(None, pa.string()))
+                values = {c: _restored(v) for c, v in values.items()}
                 for name, test in layout.tests if len(at) else ():
                     reason[(reason == "") & ~test(values[name])] = name
                 n = len(at) + len(bad)
                 names = [*layout.columns, "others"]
-                flat = [*(_restored(values[c]) for c in layout.columns), _restored(others)]
+                flat = [*values.values(), _restored(others)]
                 keys = pa.array(names * len(at), pa.string())
                 # cell (row, column) of the row-major map values
                 order = np.arange(len(at) * len(names)).reshape(len(names), len(at)).T.ravel()
@@ -146,7 +153,7 @@ def load_lines(df: DataFrame, ident: str, kind: str, line: str, layouts: dict[st
 
     The reason is the first that applies of ``column_count``, ``quoting`` (a double quote without its partner) and the layout's tests in
     order, named by their field. A carriage return at the end isn't part of a line. Null and blank lines, lines that start with # and
-    header lines give no row, nor do rows with a null id or a kind without layout.
+    header lines give no row, nor do rows with a null id or a kind without layout. Ids are integers.
     """
     src = df.where(F.col(ident).isNotNull() & F.col(line).isNotNull() & F.col(kind).isin(*layouts))
     src = src.select(F.col(ident).cast("bigint").alias("id"), F.col(kind).cast("string").alias("kind"), F.col(line).cast("string").alias("line"))

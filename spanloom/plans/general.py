@@ -34,7 +34,7 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
     refs = sh.df("gene", {"l1": "locus", "l2": "gene_ref.locus"}).where("parent_tab = 'entrezgene_set' AND path IN ('gene', 'entrezgene.gene')")
     refs = refs.select("doc", F.col("parent_id").alias("set_row"), F.col("row_id").alias("gene_row"), "l1", "l2")
     tag = {"t1": "tag.object_id.id", "t2": "tag.object_id.str", "t3": "tag.id", "t4": "tag.str", "t5": "tag.object_id", "t6": "tag"}
-    tags = sh.df("db", {"db_name": "db", **tag}).where("parent_tab = 'gene' AND path IN ('db', 'gene_ref.db')")
+    tags = sh.df("db", {"db_name": "db", **tag}).where("parent_tab = 'gene' AND path IN ('db', 'gene_ref.db') AND shape = 'object'")
     tags = tags.select("doc", F.col("parent_id").alias("gene_row"), "path", F.col("ord").alias("db_no"), "db_name", F.coalesce(*tag).alias("tag"))
     got = tags.join(refs, ["doc", "gene_row"]).join(genes, ["doc", "set_row"])
     locus = F.when(F.col("path") == "db", F.col("l1")).otherwise(F.col("l2"))

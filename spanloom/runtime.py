@@ -8,15 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
+#: What a scan opens at once at least; smaller inputs don't reach all cores by themselves.
+_LEAST_SPLIT = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
+    """The folder in ``spark.checkpoint.dir``. Where it isn't set, a temporary one in local mode; elsewhere an error, as executors don't share local disks."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        there = _own.get(spark.sparkContext.applicationId)
+        app = spark.sparkContext.applicationId
+        there = _own.get(app)
         if there is None:
-            there = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spanloom-")
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            there = _own[app] = "file://" + tempfile.mkdtemp(prefix="spanloom-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(there)
     return there
@@ -29,22 +36,37 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and return its scan; removed when the JVM ends."""
+    """Write ``df`` as a Parquet table in the shared folder and return its scan; removed by :func:`clear`, or when the JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    there, fs = _place(spark, path)
+    fs.deleteOnExit(there)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that :func:`written` has made in this application; DataFrames that read them can't be run any more. Returns their number."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        there, fs = _place(spark, path)
+        fs.delete(there, True)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, for work that costs much more than its input's bytes suggest."""
+    """``df`` over at least as many partitions as there are cores, for work that costs much more than its input's bytes suggest. Runs no job: the plan's size decides."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= _LEAST_SPLIT * cores else df.repartition(2 * cores)

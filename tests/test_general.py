@@ -59,6 +59,21 @@ def test_shredding_keeps_links(spark):
     assert {r["doc"] for r in sh.df("_invalid").collect()} == {3, 4, 7}
 
 
+def test_lists_in_lists_and_dots_in_names(spark):
+    docs = [(1, '{"w": [[{"k": "v", "m": [{"z": 1}]}, 2, null], "x", [[]]]}'), (2, '{"a.b": "x", "a": {"b": "y", "c\\\\.": {"d": 1}}}')]
+    sh = Shredded(spark.createDataFrame(docs, "id bigint, p string"), "id", "p")
+    w = {r["row_id"]: r for r in sh.df("w", {"k": "k", "v": "value"}).collect()}
+    outer = next(r for r in w.values() if r["parent_tab"] == "record" and r["ord"] == 0)
+    assert outer["shape"] == "list" and outer["path"] == "w"
+    inner = sorted((r["ord"], r["shape"], r["k"], r["v"]) for r in w.values() if r["parent_id"] == outer["row_id"] and r["parent_tab"] == "w")
+    assert inner == [(0, "object", "v", None), (1, "value", None, "2")]
+    assert sorted((r["ord"], r["shape"]) for r in w.values() if r["parent_tab"] == "record") == [(0, "list"), (1, "value"), (2, "list")]
+    m = sh.df("m", {"z": "z"}).collect()
+    assert [(r["z"], w[r["parent_id"]]["k"]) for r in m] == [("1", "v")]
+    rec = sh.df("record", {"x": r"a\.b", "y": "a.b", "d": r"a.c\\\..d"}).where("doc = 2").collect()
+    assert [(r["x"], r["y"], r["d"]) for r in rec] == [("x", "y", "1")]
+
+
 def test_shredding_an_empty_table(spark):
     assert Shredded(spark.createDataFrame([], "id bigint, p string"), "id", "p").df("record").collect() == []
 
@@ -78,6 +93,24 @@ def test_an_odd_record_changes_no_other_genes(spark, tmp_path):
         assert got == [(i, *r) for i, x in enumerate(records) for r in (rows if x is plain else rows[:2])]
 
 
+def test_rejects_keep_private_and_control_characters(spark):
+    own = "".join(map(chr, (0xE009, 0xE00D, 0xE00A, 0xE010)))
+    lines = [("bed5", f"c{own}\rr\0\t1\t2\tn\t5\tx\ty\ue00dt"), ("bed5", "c\t1\t2\tn\t5\ue009z"), ("bed5", "c\t1\t2\tn\t5\ue00dt"), ("bed5", "c\t1\t2\tn\t5"), ("bed5", "c\t1\t2\tn\t5\t"), ("bed5", "c\t1\t2\tn\t")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(lines)], "i bigint, k string, l string")
+    got = {r["id"]: r for r in load_lines(df, "i", "k", "l", LAYOUTS).collect()}
+    assert [got[i]["reason"] for i in range(6)] == [None, "score", "score", None, None, "score"]
+    assert got[0]["cells"]["chrom"] == f"c{own}\rr\0" and got[0]["cells"]["others"] == "x\ty\ue00dt"
+    assert got[3]["cells"]["others"] is None and got[4]["cells"]["others"] == "" and got[1]["cells"]["score"] == "5\ue009z"
+
+
+def test_finite_decimals():
+    import pyarrow as pa
+
+    ok = ["1", "+1", "-1.", ".5", "1.e5", "1e300", "5E-324", "00.10"]
+    assert finite_decimal(pa.array(ok)).all()
+    assert not finite_decimal(pa.array(["", "1e400", "nan", "inf", "1 ", "+", ".", "1e", "0x1", "１"])).any()
+
+
 def test_rejects(spark):
     g = "chr1\ts\tf\t{}\t9\t.\t{}\t.\t{}"
     lines = [

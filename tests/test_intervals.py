@@ -101,7 +101,7 @@ def test_joins_over_all_loci_match_brute_force(spark, tmp_path):
     spark.createDataFrame(loci, "l_suppkey bigint, d int, l_quantity int").withColumn("l_shipdate", date("d")).write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, d int").withColumn("o_orderdate", date("d")).write.parquet(f"{tmp_path}/orders.parquet")
     run = lambda name: {x["id"]: x for x in entry.queries()[name](spark, str(tmp_path)).collect()}
-    semi, near, size = run("j01_overlap_semi_all"), run("j04_nearest_all"), run("j05_overlap_size_all")
+    semi, near, size = run("j01_overlap_semi"), run("j04_nearest"), run("j05_overlap_size")
     assert set(near) == set(size) == {i for i, _, _ in orders}
     for i, chrom, lo in orders:
         hi, mine = lo + 30, [(d, d + q) for c, d, q in loci if c == chrom]
@@ -109,3 +109,73 @@ def test_joins_over_all_loci_match_brute_force(spark, tmp_path):
         assert (near[i]["distance"], near[i]["near_lo"], near[i]["near_hi"]) == want
         assert size[i]["shared"] == len({p for a, b in mine for p in range(max(a, lo), min(b, hi) + 1)})
         assert (i in semi) == (size[i]["shared"] > 0)
+
+
+def test_one_far_interval_leaves_stretches_even(spark, monkeypatch):
+    from spanloom.operators import ordered
+
+    monkeypatch.setattr(ordered, "ROWS", 500)
+    r = random.Random(2)
+    rows = [(7, a, a + r.randrange(1, 40)) for a in (r.randrange(600_000) for _ in range(20_000))]
+    df = spark.createDataFrame([*rows, (7, 1 << 40, (1 << 40) + 5)], "k bigint, lo bigint, hi bigint")
+    at = ordered.borders(df, "lo")
+    per = sorted(x["n"] for x in df.groupBy(ordered.stretch_of(F.col("lo"), at).alias("b")).agg(F.count("*").alias("n")).collect())
+    assert len(per) >= 20 and per[-1] <= 2 * per[len(per) // 2]
+    got = iv.merge(df, ["k"])
+    assert dict(got.dtypes)["k"] == "bigint"
+    points = sorted({p for _, a, b in rows for p in range(a, b + 1)})
+    want = [(a, b) for a, b in _runs(points)] + [(1 << 40, (1 << 40) + 5)]
+    assert sorted((x["lo"], x["hi"]) for x in got.collect()) == want
+    other = df.select("k", (F.col("lo") + 10).alias("lo"), (F.col("hi") + 25).alias("hi"))
+    more = {p for _, a, b in rows for p in range(a + 10, b + 26)}
+    mine = set(points)
+    assert sorted((x["lo"], x["hi"]) for x in iv.intersection(df, other, ["k"]).where("lo < 1000000").collect()) == _runs(sorted(mine & more))
+    assert sorted((x["lo"], x["hi"]) for x in iv.difference(df, other, ["k"]).where("lo < 1000000").collect()) == _runs(sorted(mine - more))
+
+
+def _runs(points):
+    out = []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1] = (out[-1][0], p)
+        else:
+            out.append((p, p))
+    return out
+
+
+def test_borders_are_found_by_two_rounds_of_comparisons(spark):
+    from spanloom.operators import ordered
+
+    for at in ([], [5], list(range(-40, 60, 3)), list(range(0, 1 << 40, 1 << 30))):
+        xs = sorted({x + e for x in [*at, 0] for e in (-1, 0, 1)})
+        got = spark.createDataFrame([(x,) for x in xs], "x bigint").select("x", ordered.stretch_of(F.col("x"), at).alias("b")).collect()
+        assert all(r["b"] == sum(a <= r["x"] for a in at) for r in got)
+
+
+def test_points_and_single_ranges(spark):
+    x = spark.createDataFrame([(1, 1, 3), (1, 2, 9), (2, 4, 4), (3, 5, 4)], "k bigint, lo bigint, hi bigint")
+    got = {r["k"]: r for r in iv.adjacency(x.withColumn("p", F.lit(0)), ["k"], "p").collect()}
+    assert (got[2]["any_overlap"], got[2]["all_positional"], got[2]["max_gap"]) == (False, True, None) and got[1]["any_overlap"] and set(got) == {1, 2}
+    yes, no = iv.partition(x, ["k"], F.col("point") % 4 != 0)
+    assert sorted(map(tuple, yes.collect())) == [(1, 1, 3), (1, 5, 7), (1, 9, 9)] and sorted(map(tuple, no.collect())) == [(1, 4, 4), (1, 8, 8), (2, 4, 4)]
+    assert sorted(map(tuple, iv.quantified(x, ["k"], F.col("point") < 5).collect())) == [(1, False, True), (2, True, True)]
+    assert {r["pos"]: r["payloads"] for r in iv.expanded(x, ["k"], "hi").where("k = 1").collect()}[2] == [3, 9]
+
+
+def test_shared_folder(spark, monkeypatch):
+    from spanloom import runtime
+
+    df = runtime.written(spark.range(3).toDF("id"), "t")
+    assert df.count() == 3 and runtime.clear(spark) >= 1 and runtime.clear(spark) == 0
+    with pytest.raises(Exception):
+        df.count()
+
+    class Far:
+        class sparkContext:
+            applicationId, master = "x", "spark://h:1"
+
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+    with pytest.raises(ValueError):
+        runtime.shared_dir(Far)
