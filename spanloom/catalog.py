@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import codecs, general, intervals, sequence, stats
+from spanloom.plans import codecs, formats, general, intervals, sequence, stats
 
-_FAMILIES = [intervals, stats, sequence, codecs, general]
+_FAMILIES = [intervals, stats, sequence, codecs, formats, general]
 
 
 def queries() -> dict:

@@ -39,7 +39,7 @@ def of_roman(s: Column) -> Column:
 
 def _chr_core(s: Column) -> Column:
     low = F.lower(s)
-    return F.when(low.startswith("chr"), F.substring(low, 4, 1_000_000)).otherwise(low)
+    return F.when(low.startswith("chr"), F.substr(low, F.lit(4))).otherwise(low)
 
 
 def chr_arabic(s: Column) -> Column:
@@ -201,7 +201,7 @@ def illumina_id(s: Column) -> Column:
     """struct of an Illumina sequence identifier; null where a field doesn't fit."""
     part = lambda t, i: F.get(F.split(t, ":"), F.lit(i))
     x, y = F.substring_index(s, " ", 1), F.regexp_replace(s, "^[^ ]* ?", "")
-    num = lambda t, i: F.when(part(t, i).rlike(r"^-?\d{1,18}$"), part(t, i).try_cast("bigint"))
+    num = lambda t, i: F.when(part(t, i).rlike(r"^-?\d+$"), part(t, i).try_cast("bigint"))
     tile = part(x, 4)
     fields = {
         "instrument": part(x, 0), "run_number": num(x, 1), "flowcell_id": part(x, 2), "lane": num(x, 3), "surface": F.when(F.substring(tile, 1, 1) == "1", "top").otherwise("bottom"),

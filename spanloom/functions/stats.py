@@ -134,14 +134,13 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     ry = ranked(both, [], "y").select(F.col("value").alias("y"), F.col("avg_rank").alias("ry"))
     # copies of a pair are counted before the joins, so that a frequent value is joined once
     pairs = both.groupBy("x", "y").agg(F.count("*").cast("double").alias("w")).join(rx, "x").join(ry, "y")
-    w = F.col("w")
-    s = lambda c: F.sum(w * c)
+    # sums of centred values, as those of large values cancel; the mean rank follows from the number of rows
+    mean = both.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), ((F.count("*") + 1) / 2).alias("mr"))
+    s = lambda a, b: F.sum(F.col("w") * a * b)
     out = {}
-    for name, a, b in (("pearson", F.col("x"), F.col("y")), ("spearman", F.col("rx"), F.col("ry"))):
-        n = F.sum(w)
-        cov = s(a * b) - s(a) * s(b) / n
-        out[name] = ratio(cov, F.sqrt((s(a * a) - s(a) * s(a) / n) * (s(b * b) - s(b) * s(b) / n)))
-    return pairs.agg(*(c.alias(n) for n, c in out.items()))
+    for name, a, b in (("pearson", F.col("x") - F.col("mx"), F.col("y") - F.col("my")), ("spearman", F.col("rx") - F.col("mr"), F.col("ry") - F.col("mr"))):
+        out[name] = ratio(s(a, b), F.sqrt(s(a, a) * s(b, b)))
+    return pairs.crossJoin(F.broadcast(mean)).agg(*(c.alias(n) for n, c in out.items()))  # one row
 
 
 # Coefficients of the polynomial for the cumulative normal.
@@ -218,6 +217,33 @@ def histogram(df: DataFrame, value: str, least: float, most: float, bins: int, w
     return frame.join(got, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0.0)).alias("count"))
 
 
+def histogram_at(df: DataFrame, value: str, limits: list[float], weight: Column | None = None) -> DataFrame:
+    """Half-open bins between any rising limits: bin, lo, hi, count (0 where empty); values outside are left out."""
+    if len(limits) < 2 or any(not a < b for a, b in zip(limits, limits[1:])):
+        raise ValueError("limits must rise, with one bin or more")
+    frame = df.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(limits, limits[1:]))], "bin int, lo double, hi double")
+    v = F.col(value).cast("double")
+    lim = F.array(*(F.lit(float(x)) for x in limits))
+    inside = clean(df, value).where((v >= limits[0]) & (v < limits[-1]))
+    got = inside.groupBy((F.size(F.filter(lim, lambda x: x <= v)) - 1).alias("bin")).agg(F.sum(weight if weight is not None else F.lit(1.0)).alias("n"))
+    return frame.join(got, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0.0)).alias("count"))
+
+
+def binned(df: DataFrame, bin: Column, **folds: Column) -> DataFrame:
+    """A fold by bins: ``bin`` and the named aggregates of each bin's rows."""
+    return df.groupBy(bin.alias("bin")).agg(*(c.alias(n) for n, c in folds.items()))
+
+
+def counter(df: DataFrame, key: str, weight: Column | None = None) -> DataFrame:
+    """key, n and, where a weight is given, its sum."""
+    return df.groupBy(key).agg(F.count("*").alias("n"), *([F.sum(weight).alias("weight")] if weight is not None else []))
+
+
+def relation(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key and the sorted list of its values. A list is one value, so that a key's values meet in one task; only keys of bounded size have a relation."""
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("values"))
+
+
 RATIOS = {
     "positive": lambda tp, tn, fp, fn: tp + fn,
     "negative": lambda tp, tn, fp, fn: tn + fp,

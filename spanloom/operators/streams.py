@@ -83,6 +83,36 @@ def zip_exact(a: DataFrame, a_order: list[str], b: DataFrame, b_order: list[str]
     return both.withColumn("pos", F.when(bad, F.raise_error(F.lit("the tables differ in length")).cast("bigint")).otherwise(F.col("pos")))
 
 
+def zip_all(*parts: tuple[DataFrame, list[str]]) -> DataFrame:
+    """Rows of any number of tables (each with its order) paired by position: pos and structs t0, t1, ...; tables of unequal length raise an error."""
+    out = None
+    for i, (df, order) in enumerate(parts):
+        one = numbered(df, order).select("pos", F.struct(*df.columns).alias(f"t{i}"))
+        out = one if out is None else out.join(one, "pos", "full")
+    bad = F.lit(False)
+    for i in range(len(parts)):
+        bad = bad | F.col(f"t{i}").isNull()
+    return out.withColumn("pos", F.when(bad, F.raise_error(F.lit("the tables differ in length")).cast("bigint")).otherwise(F.col("pos")))
+
+
+def first_bytes(df: DataFrame, order: list[str], size: Column, most: int) -> DataFrame:
+    """The rows in order up to which the sizes sum to at most ``most``; a null size is 0."""
+    run = prefix_sums(df.withColumn("__size", F.coalesce(size.cast("bigint"), F.lit(0).cast("bigint"))), order, ["__size"])
+    return run.where(F.col("__size_to") <= most).drop("__size", "__size_to")
+
+
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], item: Column, zero: Column, step: Callable[[Column, Column], Column], name: str = "folded") -> DataFrame:
+    """keys and the fold of each key's items in order: ``step(state, item)`` from ``zero``. As any step may depend on the one before it, a key is folded in one task."""
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, item.alias("__item")))).alias("__rows"))
+    return rows.select(*keys, F.aggregate("__rows", zero, lambda a, r: step(a, r["__item"])).alias(name))
+
+
+def named_values(declared: DataFrame, reserved: DataFrame, key: str) -> DataFrame:
+    """key, value of two tables (key, value) in one: a declared value wins over a reserved one, and either may be missing."""
+    mine, other = declared.select(key, F.col("value").alias("__mine")), reserved.select(key, F.col("value").alias("__other"))
+    return mine.join(other, key, "full").select(key, F.coalesce("__mine", "__other").alias("value"))
+
+
 def group2(df: DataFrame, order: list[str]) -> DataFrame:
     """Consecutive rows in pairs: pair, first, second (null at an odd end)."""
     rows = numbered(df, order)

@@ -38,7 +38,11 @@ def _typed(v: pa.Array, kind: str) -> pa.Array:
     if kind == "string":
         return v
     if kind == "bigint":
-        ok = pc.match_substring_regex(v, r"^[+-]?[0-9]{1,18}$")
+        ok = pc.match_substring_regex(v, r"^[+-]?[0-9]+$")
+        short = pc.replace_substring_regex(v, r"^[+-]?0*", "")
+        most = pc.if_else(pc.starts_with(v, "-"), str(1 << 63), str((1 << 63) - 1))
+        size = pc.utf8_length(short)
+        ok = pc.and_(ok, pc.or_(pc.less(size, 19), pc.and_(pc.equal(size, 19), pc.less_equal(short, most))))
     elif kind == "double":
         ok = pc.match_substring_regex(v, r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$")
     else:

@@ -115,9 +115,8 @@ def _track(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "s05_bed": lambda s, d: codecs.bed(_raw(s, d, "bed5").where("value <> '' AND NOT startswith(value, '#')")).where("error IS NULL").select("line_no", "chrom", "chrom_start", "chrom_end", "name", "score", F.size("others").alias("more")),
-    "s07_typed_rows": lambda s, d: codecs.typed_rows(_lines(table(s, d, "nation"), "n_nationkey", F.concat_ws("  ", _s("n_nationkey"), F.lit("2.5"), F.substring("n_name", 1, 2))), ["int", "float", "string"]),
     # a value that isn't there is a dot
-    "s07_typed_rows_all": lambda s, d: codecs.typed_rows(_lines(table(s, d, "peaks"), "peak_id", F.concat_ws("\t", *(F.coalesce(_s(c), F.lit(".")) for c in ("peak_id", "pileup", "peak_name")))), ["int", "float", "string"], "\t"),
+    "s07_typed_rows": lambda s, d: codecs.typed_rows(_lines(table(s, d, "peaks"), "peak_id", F.concat_ws("\t", *(F.coalesce(_s(c), F.lit(".")) for c in ("peak_id", "pileup", "peak_name")))), ["int", "float", "string"], "\t"),
     "s08_wig": lambda s, d: codecs.wig(_wig_lines(s, d)).groupBy("kind", "error").agg(F.count("*").alias("n"), F.sum("val").alias("total")),
     "s09_wig_bed_graph": lambda s, d: codecs.wig_bed_graph(codecs.wig(_wig_lines(s, d))).where("error IS NULL").select("line_no", "chrom", "lo", "hi", "val"),
     "s11_gff3": lambda s, d: codecs.gff(_raw(s, d, "gff3")).where("error IS NULL").select("line_no", "seqname", "source", "lo", "hi", "score", "strand", "phase", F.get("attributes", F.lit(0)).getField("values").getItem(0).alias("ident")),
@@ -137,15 +136,14 @@ QUERIES = {
 }
 
 _X = r"WITH l AS (SELECT line_id AS line_no, kind, regexp_replace(raw_line, '\r$', '') AS x FROM raw_lines WHERE raw_line IS NOT NULL), c AS (SELECT *, string_split(x, chr(9)) AS f FROM l WHERE x <> '' AND NOT starts_with(x, '#'))"
-_INT = lambda c: f"regexp_full_match({c}, '[+-]?[0-9]{{1,18}}')"
+_INT = lambda c: f"(regexp_full_match({c}, '[+-]?[0-9]+') AND try_cast({c} AS BIGINT) IS NOT NULL)"
 _NUM = lambda c: f"regexp_full_match({c}, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?|[+-]?([iI]nf(inity)?|nan|NaN)')"
 _GFF_OK = f"len(f) = 9 AND {_INT('f[4]')} AND {_INT('f[5]')} AND (f[8] = '.' OR {_INT('f[8]')}) AND (f[6] = '.' OR {_NUM('f[6]')}) AND f[7] IN ('+', '-', '.', '?')"
 
 ORACLE = {
     "s05_bed": _X + f"""SELECT line_no, f[1] AS chrom, CAST(f[2] AS BIGINT) AS chrom_start, CAST(f[3] AS BIGINT) AS chrom_end, f[4] AS name, CAST(f[5] AS INTEGER) AS score, CAST(len(f) - 5 AS INTEGER) AS more FROM c
 WHERE kind = 'bed5' AND len(f) >= 5 AND {_INT('f[2]')} AND {_INT('f[3]')} AND {_INT('f[5]')} AND try_cast(f[2] AS BIGINT) >= 0 AND try_cast(f[3] AS BIGINT) >= 0 AND try_cast(f[5] AS BIGINT) BETWEEN 0 AND 1000""",
-    "s07_typed_rows": "SELECT 'table' AS file, CAST(n_nationkey AS BIGINT) AS line_no, CAST(n_nationkey AS BIGINT) AS c0, 2.5::DOUBLE AS c1, left(n_name, 2) AS c2, CAST(NULL AS VARCHAR) AS error FROM nation",
-    "s07_typed_rows_all": "SELECT 'table' AS file, peak_id AS line_no, peak_id AS c0, pileup AS c1, coalesce(peak_name, '.') AS c2, CASE WHEN peak_id IS NULL THEN 'c0' WHEN pileup IS NULL THEN 'c1' END AS error FROM peaks",
+    "s07_typed_rows": "SELECT 'table' AS file, peak_id AS line_no, peak_id AS c0, pileup AS c1, coalesce(peak_name, '.') AS c2, CASE WHEN peak_id IS NULL THEN 'c0' WHEN pileup IS NULL THEN 'c1' END AS error FROM peaks",
     "s08_wig": """WITH o AS (SELECT o_custkey AS c, o_orderkey % 11 = 0 AS bad FROM orders), r AS (SELECT CASE WHEN bad THEN NULL WHEN c % 2 = 0 THEN 'variable_value' ELSE 'fixed_value' END AS kind, CASE WHEN bad THEN 'unrecognizable_line' END AS error, CASE WHEN bad THEN NULL WHEN c % 2 = 0 THEN 1.5::DOUBLE ELSE 2.5::DOUBLE END AS v FROM o
 UNION ALL SELECT CASE WHEN c % 2 = 0 THEN 'variable' ELSE 'fixed' END, NULL, NULL FROM (SELECT DISTINCT c FROM o)) SELECT kind, error, count(*) AS n, sum(v) AS total FROM r GROUP BY 1, 2""",
     "s09_wig_bed_graph": """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders WHERE o_orderkey % 11 <> 0)

@@ -9,6 +9,8 @@ from spanloom.functions import sequence as sq
 from spanloom.operators import motifs, streams
 from spanloom.operators.demux import Barcode, Rule, demultiplex, statistics
 from spanloom.runtime import table
+from spanloom.sources import codecs, jaspar
+from spanloom.sources.text import as_lines
 
 # A motif of six positions, as counts of A, C, G and T.
 MATRIX = [[12, 3, 1, 4], [1, 15, 2, 2], [0, 1, 18, 1], [9, 1, 1, 9], [3, 3, 13, 1], [2, 16, 1, 1]]
@@ -48,7 +50,7 @@ def _text(s: SparkSession, d: str) -> DataFrame:
     b = _bases(s, d)
     x = F.col("seq")
     return b.select("doc_id", sq.nth(x, 3).alias("third"), sq.slice_(x, 2, 9).alias("slice"), sq.dna(F.concat(x, F.lit("N"))).isNotNull().alias("valid"), sq.dna(F.concat(x, F.lit("?"))).isNull().alias("invalid"),
-                    F.concat_ws("\n", sq.chunks(x, 70)).alias("lines"), F.substring(sq.reverse_complement(x), 1, 20).alias("rc"), *(F.round(c, 9).alias(f"share_{k.lower()}") for k, c in sq.composition(x, 1.0).items()))
+                    F.concat_ws("\n", sq.chunks(x, 70)).alias("lines"), sq.reverse_complement(x).alias("rc"), *(F.round(c, 9).alias(f"share_{k.lower()}") for k, c in sq.composition(x, 1.0).items()))
 
 
 def _cigars(s: SparkSession, d: str) -> DataFrame:
@@ -83,9 +85,8 @@ PWM = motifs.make(MATRIX, motifs.flat_background())
 
 QUERIES = {
     "f01_bases": _text,
-    "f01_reverse_complement": lambda s, d: _bases(s, d).select("doc_id", sq.reverse_complement(F.col("seq")).alias("rc")),
     "f03_chromosomes": _scalar,
-    "f07_line_split": lambda s, d: table(s, d, "raw_lines").where("kind = 'bed5' AND raw_line IS NOT NULL").select("line_id", F.size(F.split("raw_line", "\t")).alias("fields"), F.rtrim(F.substring_index("raw_line", "\t", -1)).alias("rightmost"), F.substring_index("raw_line", "\t", 1).alias("leftmost")),
+    "f07_line_split": lambda s, d: table(s, d, "raw_lines").where("raw_line IS NOT NULL").select("line_id", F.size(F.split("raw_line", "\t")).alias("fields"), F.rtrim(F.substring_index("raw_line", "\t", -1)).alias("rightmost"), F.substring_index("raw_line", "\t", 1).alias("leftmost")),
     "f08_illumina_ids": _ids,
     "f09_cigar": _cigars,
     "f14_urls": _urls,
@@ -94,14 +95,13 @@ QUERIES = {
     "q01_pwm": lambda s, d: motifs.build(table(s, d, "motifs"), "motif_id", "matrix", motifs.flat_background()).select(F.col("id").alias("motif_id"), "pos", "base", F.round("score", 9).alias("score")),
     "q02_tandem": lambda s, d: motifs.scan(_bases(s, d), "doc_id", "seq", motifs.tandem(PWM, PWM, 2, "inverted"), 1.0).groupBy("id").agg(F.count("*").alias("n"), F.max("pos").alias("last")),
     "q03_scan": lambda s, d: motifs.scan(_bases(s, d), "doc_id", "seq", PWM, 2.0).select("id", "pos", F.round("score", 6).alias("score")),
-    "q04_best_hit": lambda s, d: motifs.best_hit(_bases(s, d), "doc_id", "seq", PWM).select("id", F.round("score", 6).alias("score")),
-    "q04_best_hit_pos": lambda s, d: motifs.best_hit(_bases(s, d), "doc_id", "seq", PWM).select("id", "pos", F.round("score", 6).alias("score")),
+    "q04_best_hit": lambda s, d: motifs.best_hit(_bases(s, d), "doc_id", "seq", PWM).select("id", "pos", F.round("score", 6).alias("score")),
     "q05_demux": lambda s, d: demultiplex(_reads(s, d), LIBRARIES, "inclusive").select("o_orderkey", "library", "mismatches"),
     "q05_demux_exclusive": lambda s, d: statistics(demultiplex(_reads(s, d), LIBRARIES, "exclusive")),
     "g13_alignment_stats": lambda s, d: streams.alignment_stats(_flags(s, d), "flag"),
     "g14_fragments": lambda s, d: streams.fragments(_flags(s, d), "flag", "mapq", 10).groupBy(F.abs("tlen").alias("length")).agg(F.count("*").alias("n")),
     "g14_chromosomes": lambda s, d: streams.fragments(_flags(s, d), "flag", "mapq", 10).groupBy("rname").agg(F.count("*").alias("n")),
-    "g17_duplicates": lambda s, d: streams.first_duplicates(_events(s, d), "ts"),
+    "g17_duplicates": lambda s, d: streams.first_duplicates(_events(s, d), "user_id"),
     "a11_flag_predicates": lambda s, d: _flags(s, d).select("l_orderkey", "l_linenumber", *(sq.flag(n, F.col("flag")).alias(n) for n in [*sq.FLAG_BITS, "is_primary"])),
     "t03_skip": lambda s, d: streams.skip(table(s, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 100),
     "t05_take_while": lambda s, d: streams.take_while(table(s, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], F.col("o_totalprice") < 450000),
@@ -113,8 +113,8 @@ QUERIES = {
     "j08_motif_loader": lambda s, d: _motifs(s, d),
     "j09_product": lambda s, d: streams.product(table(s, d, "customer").select(F.col("c_nationkey").alias("k"), "c_acctbal"), table(s, d, "supplier").select(F.col("s_nationkey").alias("k"), "s_acctbal"), ["k"], F.col("c_acctbal") > F.col("s_acctbal"), ["k"]),
     "j10_zip": lambda s, d: streams.mix(table(s, d, "customer").select("c_custkey"), ["c_custkey"], table(s, d, "part").select("p_partkey"), ["p_partkey"]).select("pos", "a.c_custkey", "b.p_partkey"),
-    "j12_unknown_references": lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", "left_anti"),
-    "j13_index_join": lambda s, d: table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.coalesce("n_name", F.lit("*")).alias("rname")),
+    "j12_unknown_references": lambda s, d: _unknown(s, d),
+    "j13_index_join": lambda s, d: codecs.reference_names(table(s, d, "customer").select("c_custkey", (F.col("c_nationkey") - 3).alias("ref_id")), table(s, d, "nation").select(F.col("n_nationkey").alias("ref_id"), F.col("n_name").alias("rname"))).select("c_custkey", "rname"),
     "j15_metadata_merge": lambda s, d: _metadata(s, d),
     "u01_append": lambda s, d: table(s, d, "customer").select(F.col("c_acctbal").alias("x"), F.lit(0).alias("source")).unionAll(table(s, d, "supplier").select("s_acctbal", F.lit(1))).groupBy("source").agg(F.count("*").alias("n"), F.min("x").alias("least")),
     "u03_names": lambda s, d: table(s, d, "peaks").select("chr").union(table(s, d, "bed_features").select("chrom")).union(table(s, d, "gff_records").select("seqname")).where("chr IS NOT NULL").distinct(),
@@ -126,26 +126,35 @@ QUERIES = {
 def _probes(s: SparkSession, d: str) -> DataFrame:
     """Two intensities per probe, found by coordinates: both must be there."""
     cells = table(s, d, "lineitem").groupBy((F.col("l_orderkey") % 500).alias("x"), F.col("l_linenumber").cast("bigint").alias("y")).agg(F.round(F.sum("l_quantity"), 2).alias("mean"))
-    probes = table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 500).alias("pmx"), (F.col("p_size") % 7 + 1).cast("bigint").alias("pmy"), ((F.col("p_partkey") + 3) % 500).alias("mmx"), (F.col("p_size") % 5 + 1).cast("bigint").alias("mmy"))
-    pm = cells.select(F.col("x").alias("pmx"), F.col("y").alias("pmy"), F.col("mean").alias("pm"))
-    mm = cells.select(F.col("x").alias("mmx"), F.col("y").alias("mmy"), F.col("mean").alias("mm"))
-    return probes.join(pm, ["pmx", "pmy"]).join(mm, ["mmx", "mmy"]).select("p_partkey", "pm", "mm")
+    probes = table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 500).alias("pm_x"), (F.col("p_size") % 7 + 1).cast("bigint").alias("pm_y"), ((F.col("p_partkey") + 3) % 500).alias("mm_x"), (F.col("p_size") % 5 + 1).cast("bigint").alias("mm_y"))
+    return codecs.probe_intensities(probes, cells, strict=False).where("pm IS NOT NULL AND mm IS NOT NULL").select("p_partkey", "pm", "mm")
+
+
+def _unknown(s: SparkSession, d: str) -> DataFrame:
+    """Line items as alignments to suppliers, of whom those with a positive balance are declared."""
+    name = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
+    rows = table(s, d, "lineitem").select(F.lit("f").alias("file"), "l_orderkey", "l_linenumber", name("l_suppkey").alias("rname"))
+    header = as_lines(table(s, d, "supplier").where("s_acctbal > 0"), F.lit("f"), F.col("s_suppkey"), F.concat(F.lit("@SQ\tSN:"), name("s_suppkey"), F.lit("\tLN:9")))
+    return codecs.unknown_references(rows, codecs.sam_header(header)).select("l_orderkey", "l_linenumber", "rname")
 
 
 def _motifs(s: SparkSession, d: str) -> DataFrame:
     """Motifs with their mandatory class and medline and optional family; the annotation with the highest line decides."""
-    from spanloom.operators.wide import Attr, widen
-
-    wide = widen(table(s, d, "motif_annotations"), "motif_id", "attr_name", "attr_value", "line_no", {"factor_class": Attr(("class", "factorclass")), "family": Attr(("family",)), "medline": Attr(("medline",))})
-    rows = table(s, d, "motifs").join(wide, "motif_id").where("factor_class IS NOT NULL AND medline IS NOT NULL")
+    lines = lambda df, n, v: as_lines(df, F.lit("f"), n, v)
+    m = table(s, d, "motifs")
+    cells = m.select("motif_id", F.posexplode("matrix").alias("p", "row")).select("motif_id", "p", F.posexplode("row").alias("b", "n"))
+    base = F.substr(F.lit("ACGT"), F.col("b") + 1, F.lit(1))
+    tsv = lambda *cs: F.concat_ws("\t", *(F.coalesce(c.cast("string"), F.lit("")) for c in cs))
+    rows = jaspar.load(lines(m, F.col("motif_id"), tsv(F.col("motif_id"), F.col("motif_collection"), F.col("jaspar_id"), F.lit("1"), F.col("factor_name"))), lines(cells, F.col("motif_id") * 1000 + F.col("p") * 4 + F.col("b"), tsv(F.col("motif_id"), base, F.col("p") + 1, F.col("n"))),
+                       lines(table(s, d, "motif_annotations").where("motif_id IS NOT NULL AND NOT coalesce(attr_value LIKE '%\t%', false)"), F.col("line_no"), tsv(F.col("motif_id"), F.col("attr_name"), F.col("attr_value"))))
     return rows.select("motif_id", "jaspar_id", "motif_collection", "factor_name", "factor_class", "family", F.size("matrix").alias("width"))
 
 
 def _metadata(s: SparkSession, d: str) -> DataFrame:
     """Declared values win over reserved ones; either side may be missing."""
-    mine = table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_acctbal").alias("declared"))
-    theirs = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_acctbal").alias("reserved"))
-    return mine.join(theirs, "k", "full").select("k", F.coalesce("declared", "reserved").alias("value"))
+    mine = table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_acctbal").alias("value"))
+    theirs = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_acctbal").alias("value"))
+    return streams.named_values(mine, theirs, "k")
 
 
 def _sql_roman(n: str) -> str:
@@ -165,12 +174,11 @@ h AS (SELECT o_orderkey, 'one' AS library, m1 AS mismatches FROM k WHERE m1 <= 1
 
 ORACLE = {
     "f01_bases": _SEQ + r"""SELECT doc_id, CASE WHEN length(seq) >= 3 THEN seq[3] END AS third, CASE WHEN length(seq) >= 9 THEN seq[2:9] END AS slice, true AS valid, true AS invalid,
-array_to_string(regexp_extract_all(seq, '.{1,70}'), chr(10)) AS lines, left(translate(reverse(seq), 'ACGT', 'TGCA'), 20) AS rc,
+array_to_string(regexp_extract_all(seq, '.{1,70}'), chr(10)) AS lines, translate(reverse(seq), 'ACGT', 'TGCA') AS rc,
 round((length(seq) - length(replace(seq, 'A', '')) + 1) / (length(seq) + 4.0::DOUBLE), 9) AS share_a, round((length(seq) - length(replace(seq, 'C', '')) + 1) / (length(seq) + 4.0::DOUBLE), 9) AS share_c,
 round((length(seq) - length(replace(seq, 'G', '')) + 1) / (length(seq) + 4.0::DOUBLE), 9) AS share_g, round((length(seq) - length(replace(seq, 'T', '')) + 1) / (length(seq) + 4.0::DOUBLE), 9) AS share_t FROM b""",
-    "f01_reverse_complement": _SEQ + "SELECT doc_id, translate(reverse(seq), 'ACGT', 'TGCA') AS rc FROM b",
     "f03_chromosomes": f"SELECT p_partkey, CAST(p_size AS VARCHAR) AS arabic, CASE WHEN p_size NOT IN (5000, 10, 1000) THEN {_sql_roman('p_size')} END AS roman, {_sql_roman('p_size')} AS numeral, p_size AS back FROM part",
-    "f07_line_split": "SELECT line_id, CAST(len(string_split(raw_line, chr(9))) AS INTEGER) AS fields, rtrim(string_split(raw_line, chr(9))[-1], ' ') AS rightmost, string_split(raw_line, chr(9))[1] AS leftmost FROM raw_lines WHERE kind = 'bed5' AND raw_line IS NOT NULL",
+    "f07_line_split": "SELECT line_id, CAST(len(string_split(raw_line, chr(9))) AS INTEGER) AS fields, rtrim(string_split(raw_line, chr(9))[-1], ' ') AS rightmost, string_split(raw_line, chr(9))[1] AS leftmost FROM raw_lines WHERE raw_line IS NOT NULL",
     "f08_illumina_ids": """WITH x AS (SELECT *, l_linenumber % 5 BETWEEN 1 AND 3 AND CAST(l_quantity AS INTEGER) BETWEEN 1 AND 99 AS ok FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN ok THEN 'EAS' || l_suppkey END AS instrument, CASE WHEN ok THEN CAST(l_linenumber % 5 AS INTEGER) END AS swath, CASE WHEN ok THEN CAST(l_quantity AS INTEGER) END AS tile,
 CASE WHEN ok THEN l_partkey END AS x_pos, CASE WHEN ok THEN l_returnflag = 'R' END AS is_filtered FROM x""",
@@ -186,7 +194,7 @@ round(pow(10.0, q / -10.0) / (1 + pow(10.0, q / -10.0)), 10) AS solexa_probabili
     "f17_reg2bin": """WITH r AS (SELECT bed_id, CAST(chrom_start AS INTEGER) AS a, CAST(chrom_end - 1 AS INTEGER) AS b FROM bed_features WHERE chrom_start >= 0 AND chrom_end > chrom_start)
 SELECT bed_id, CASE WHEN a >> 14 = b >> 14 THEN 4681 + (a >> 14) WHEN a >> 17 = b >> 17 THEN 585 + (a >> 17) WHEN a >> 20 = b >> 20 THEN 73 + (a >> 20) WHEN a >> 23 = b >> 23 THEN 9 + (a >> 23) WHEN a >> 26 = b >> 26 THEN 1 + (a >> 26) ELSE 0 END AS bin FROM r""",
     "q03_scan": _SCAN + "SELECT doc_id AS id, CAST(pos AS INTEGER) AS pos, round(score, 6) AS score FROM h WHERE score > 2.0",
-    "q04_best_hit": _SCAN + "SELECT doc_id AS id, round(max(score), 6) AS score FROM h GROUP BY 1",
+    "q04_best_hit": _SCAN.replace("sum(m.w)", "sum(m.w::DOUBLE ORDER BY m.j)") + "SELECT doc_id AS id, round((max({'s': score, 'p': pos})).s, 6) AS score, (max({'s': score, 'p': pos})).p AS pos FROM h GROUP BY 1",
     "q05_demux": _READS + "SELECT * FROM h UNION ALL SELECT o_orderkey, 'undetermined', 0 FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM h)",
     "q05_demux_exclusive": _READS + """, s AS (SELECT o_orderkey, any_value(library) AS library, any_value(mismatches) AS mismatches, count(*) AS n FROM h GROUP BY 1),
 a AS (SELECT o.o_orderkey, CASE WHEN n = 1 THEN library ELSE 'undetermined' END AS library, CASE WHEN n = 1 THEN mismatches ELSE 0 END AS mismatches FROM orders o LEFT JOIN s USING (o_orderkey))
@@ -196,7 +204,7 @@ SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS qc_pass, count(*) FILTER
 count(*) FILTER (WHERE ok AND main) AS mapped_reads, count(*) FILTER (WHERE ok AND main AND multi AND first) AS mapped_pairs FROM k""",
     "g14_fragments": _FRAG + "SELECT abs(tlen) AS length, count(*) AS n FROM k GROUP BY 1",
     "g14_chromosomes": _FRAG + "SELECT rname, count(*) AS n FROM k GROUP BY 1",
-    "g17_duplicates": "SELECT ts, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1",
+    "g17_duplicates": "SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1",
     "a11_flag_predicates": _FLAG + "SELECT l_orderkey, l_linenumber, " + ", ".join(f"flag & {b} <> 0 AS {n}" for n, b in sq.FLAG_BITS.items()) + ", flag & 2304 = 0 AS is_primary FROM f",
     "t03_skip": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey OFFSET 100",
     "t05_take_while": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < coalesce((SELECT min(o_orderkey) FROM orders WHERE NOT o_totalprice < 450000), 9e15)",
@@ -212,8 +220,8 @@ SELECT motif_id, jaspar_id, motif_collection, factor_name, factor_class, family,
     "j09_product": "SELECT c_nationkey AS k, count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal > s_acctbal GROUP BY 1",
     "j10_zip": """WITH a AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, c_custkey FROM customer), b AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_partkey FROM part)
 SELECT pos, c_custkey, p_partkey FROM a FULL JOIN b USING (pos)""",
-    "j12_unknown_references": "SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)",
-    "j13_index_join": "SELECT c_custkey, coalesce(n_name, '*') AS rname FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
+    "j12_unknown_references": "SELECT l_orderkey, l_linenumber, 's' || l_suppkey AS rname FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)",
+    "j13_index_join": "SELECT c_custkey, coalesce(n_name, '*') AS rname FROM customer LEFT JOIN nation ON c_nationkey - 3 = n_nationkey",
     "j15_metadata_merge": """SELECT k, coalesce(a, b) AS value FROM (SELECT s_nationkey AS k, max(s_acctbal) AS a FROM supplier GROUP BY 1) x FULL JOIN (SELECT c_nationkey AS k, max(c_acctbal) AS b FROM customer GROUP BY 1) y USING (k)""",
     "u01_append": "SELECT CAST(source AS INTEGER) AS source, count(*) AS n, min(x) AS least FROM (SELECT c_acctbal AS x, 0 AS source FROM customer UNION ALL SELECT s_acctbal, 1 FROM supplier) GROUP BY 1",
     "u03_names": "SELECT DISTINCT chr FROM (SELECT chr FROM peaks UNION SELECT chrom FROM bed_features UNION SELECT seqname FROM gff_records) WHERE chr IS NOT NULL",

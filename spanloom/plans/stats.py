@@ -22,10 +22,11 @@ def _scored(s: SparkSession, d: str) -> tuple[DataFrame, F.Column, F.Column]:
 
 
 QUERIES = {
-    "g01_binned_fold": lambda s, d: _r(table(s, d, "events").groupBy((F.col("user_id") % 10).alias("bin")).agg(F.max("value").alias("greatest"), F.sum(F.col("value") * F.col("value")).alias("squares")), 2),
-    "g02_counter": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("user_id")).alias("weight")),
-    "g03_relation": lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("orders")).select("o_custkey", F.concat_ws(",", "orders").alias("orders")),
-    "g04_value_histogram": lambda s, d: _lines(s, d).groupBy("l_quantity").agg(F.count("*").alias("n")),
+    "g01_binned_fold": lambda s, d: _r(st.binned(table(s, d, "events"), F.col("user_id") % 10, greatest=F.max("value"), squares=F.sum(F.col("value") * F.col("value"))), 2),
+    "g02_counter": lambda s, d: st.counter(table(s, d, "events"), "event_type", F.col("user_id")),
+    "g03_relation": lambda s, d: st.relation(table(s, d, "orders"), "o_custkey", "o_orderkey").select("o_custkey", F.concat_ws(",", "values").alias("orders")),
+    "g04_value_histogram": lambda s, d: st.counter(_lines(s, d), "l_quantity"),
+    "g05_limits": lambda s, d: st.histogram_at(_lines(s, d), "l_extendedprice", [0.0, 1000.0, 1500.0, 20000.0, 50000.0, 104949.5]),
     "g05_histogram": lambda s, d: _r(st.histogram(_lines(s, d), "l_extendedprice", 0.0, 100000.0, 40)),
     "g06_summary": lambda s, d: _r(st.summary(_lines(s, d), ["l_returnflag", "l_linestatus"], "l_extendedprice"), 2),
     "g07_median": lambda s, d: _r(st.medians(_lines(s, d), ["l_returnflag"], "l_extendedprice"), 4),
@@ -99,6 +100,8 @@ ORACLE = {
     "g02_counter": "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(user_id) AS BIGINT) AS weight FROM events GROUP BY 1",
     "g03_relation": "SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1",
     "g04_value_histogram": "SELECT l_quantity, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1",
+    "g05_limits": """WITH b(bin, lo, hi) AS (VALUES (0, 0.0::DOUBLE, 1000.0::DOUBLE), (1, 1000, 1500), (2, 1500, 20000), (3, 20000, 50000), (4, 50000, 104949.5))
+SELECT bin, lo, hi, CAST(count(l_orderkey) AS DOUBLE) AS count FROM b LEFT JOIN lineitem ON l_extendedprice >= lo AND l_extendedprice < hi GROUP BY ALL""",
     "g05_histogram": """WITH b AS (SELECT CAST(i AS INTEGER) AS bin, i * 2500.0::DOUBLE AS lo, (i + 1) * 2500.0::DOUBLE AS hi FROM range(40) t(i))
 SELECT bin, lo, hi, CAST(count(l_extendedprice) AS DOUBLE) AS count FROM b LEFT JOIN lineitem ON l_extendedprice >= lo AND l_extendedprice < hi GROUP BY ALL""",
     "g06_summary": """SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, round(avg(l_extendedprice), 2) AS mean, round(var_samp(l_extendedprice), 2) AS variance, round(stddev_samp(l_extendedprice), 2) AS stdv,

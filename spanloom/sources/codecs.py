@@ -6,17 +6,19 @@ keeps the rows before a file's first fault. Nothing is shifted: coordinates stay
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.sequence import IUPAC, cigar, percent_encoded, qualities
+from spanloom.functions.sequence import IUPAC, cigar, cigar_text, percent_encoded, phred_char, qualities
 from spanloom.operators.ordered import prefix_sums
 from spanloom.operators.packed import percent_decoded
 
 
 def integer(c: Column) -> Column:
-    """Decimal integers only; null otherwise."""
-    return F.when(c.rlike(r"^[+-]?[0-9]{1,18}$"), c.try_cast("bigint"))
+    """Decimal integers that a BIGINT holds; null otherwise."""
+    return F.when(c.rlike(r"^[+-]?[0-9]+$"), c.try_cast("bigint"))
 
 
 def number(c: Column) -> Column:
@@ -71,6 +73,15 @@ def bed_line() -> Column:
     return F.concat_ws("\t", "chrom", F.col("chrom_start").cast("string"), F.col("chrom_end").cast("string"), "name", F.col("score").cast("string"), "others")
 
 
+def bed_typed(df: DataFrame, kinds: list[str]) -> DataFrame:
+    """BED with declared further columns: chrom, chrom_start, chrom_end, c0, c1, ... of the kinds int, float or string."""
+    f = _split(df)
+    start, end = integer(_f(1)), integer(_f(2))
+    cells = [_TYPES[k](_f(i + 3)) for i, k in enumerate(kinds)]
+    tests = [("column_count", _N() == len(kinds) + 3), ("chrom_start", start.isNotNull()), ("chrom_end", end.isNotNull()), *((f"c{i}", c.isNotNull()) for i, c in enumerate(cells))]
+    return f.select("file", "line_no", _f(0).alias("chrom"), start.alias("chrom_start"), end.alias("chrom_end"), *(c.alias(f"c{i}") for i, c in enumerate(cells)), failures(*tests).alias("error"))
+
+
 _TYPES = {"int": integer, "float": number, "string": lambda c: c}
 
 
@@ -98,13 +109,17 @@ def gtf_attributes(x: Column) -> Column:
 
 
 def gff(df: DataFrame, version: int = 3) -> DataFrame:
-    """GFF3 (or GTF, version 2): nine fields, a lone dot is null; comments and blank lines are left out."""
+    """GFF3 (or GTF, version 2): nine fields, a lone dot is null; comments and blank lines are left out.
+
+    The first three fields are percent-decoded in version 3 and may stand in double quotes (a backslash before a quote) in version 2.
+    """
     f = _split(df.where("value <> '' AND NOT startswith(value, '#')"))
-    dot = lambda c: F.when(c != ".", c)
+    bare = percent_decoded if version == 3 else (lambda c: F.when(c.rlike(r'^"(?:[^"\\]|\\.)*"$'), F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), r"\\(.)", "$1")).otherwise(c))
+    dot = lambda c: F.when(c != ".", bare(c))
     lo, hi, score, phase = integer(_f(3)), integer(_f(4)), number(_f(5)), integer(_f(7)).cast("int")
     attrs = gff3_attributes(_f(8)) if version == 3 else gtf_attributes(_f(8))
     tests = [("column_count", _N() == 9), ("start_pos", lo.isNotNull()), ("stop_pos", hi.isNotNull()), ("phase", (_f(7) == ".") | phase.isNotNull()), ("score", (_f(5) == ".") | score.isNotNull()), ("strand", _f(6).isin("+", "-", ".", "?")), ("attributes", attrs.isNotNull())]
-    return f.select("file", "line_no", _f(0).alias("seqname"), dot(_f(1)).alias("source"), dot(_f(2)).alias("feature"), lo.alias("lo"), hi.alias("hi"), score.alias("score"), _f(6).alias("strand"), phase.alias("phase"), attrs.alias("attributes"), failures(*tests).alias("error"))
+    return f.select("file", "line_no", bare(_f(0)).alias("seqname"), dot(_f(1)).alias("source"), dot(_f(2)).alias("feature"), lo.alias("lo"), hi.alias("hi"), score.alias("score"), _f(6).alias("strand"), phase.alias("phase"), attrs.alias("attributes"), failures(*tests).alias("error"))
 
 
 def gff_line(version: int = 3) -> Column:
@@ -112,7 +127,7 @@ def gff_line(version: int = 3) -> Column:
     esc = percent_encoded if version == 3 else (lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"')))
     dot = lambda c: F.coalesce(c, F.lit("."))
     pair = (lambda a: F.concat(esc(a["key"]), F.lit("="), F.array_join(F.transform(a["values"], esc), ","))) if version == 3 else (lambda a: F.concat(a["key"], F.lit(" "), F.array_join(F.transform(a["values"], esc), ",")))
-    return F.concat_ws("\t", "seqname", dot(esc(F.col("source"))), dot(F.col("feature")), F.col("lo").cast("string"), F.col("hi").cast("string"), dot(F.col("score").cast("string")), "strand", dot(F.col("phase").cast("string")), F.array_join(F.transform("attributes", pair), ";"))
+    return F.concat_ws("\t", esc(F.col("seqname")), dot(esc(F.col("source"))), dot(esc(F.col("feature"))), F.col("lo").cast("string"), F.col("hi").cast("string"), dot(F.col("score").cast("string")), "strand", dot(F.col("phase").cast("string")), F.array_join(F.transform("attributes", pair), ";"))
 
 
 def macs2_xls(df: DataFrame) -> DataFrame:
@@ -181,7 +196,7 @@ def sam(df: DataFrame) -> DataFrame:
     num = lambda i, lo, hi: F.when(integer(_f(i)).between(lo, hi), integer(_f(i)).cast("int"))
     flag, pos, mapq, pnext, tlen = num(1, 0, 65535), num(3, 0, 2147483647), num(4, 0, 255), num(7, 0, 2147483647), num(8, -2147483647, 2147483647)
     ops = cigar(_f(5))
-    tags = F.transform(F.slice("__f", 12, F.greatest(_N() - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("tag"), F.substring(t, 4, 1).alias("type"), F.substring(t, 6, 1_000_000_000).alias("value")))
+    tags = F.transform(F.slice("__f", 12, F.greatest(_N() - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("tag"), F.substring(t, 4, 1).alias("type"), F.substr(t, F.lit(6)).alias("value")))
     tags = F.filter(tags, lambda t: t["tag"] != "")
     good = lambda t: _any([(t["type"] == k) & t["value"].rlike(p) for k, p in OPTIONAL.items()])
     tests = [
@@ -209,6 +224,60 @@ def sam_header(df: DataFrame) -> DataFrame:
     return f.select("file", "line_no", F.substring(_f(0), 2, 2).alias("record"), F.map_from_entries(F.transform(F.filter(F.slice("__f", 2, F.greatest(_N() - 1, F.lit(1))), lambda t: F.substring(t, 3, 1) == ":"), lambda t: F.struct(F.substring(t, 1, 2), F.substr(t, F.lit(4))))).alias("tags"))
 
 
+# Tags that a header record must have, and the values of a file's sort and group orders.
+HEADER_TAGS = {"HD": ("VN",), "SQ": ("SN", "LN"), "RG": ("ID",), "PG": ("ID",), "CO": ()}
+SORT_ORDERS, GROUP_ORDERS = ("unknown", "unsorted", "queryname", "coordinate"), ("none", "query", "reference")
+
+
+def sam_header_checked(df: DataFrame) -> DataFrame:
+    """Header lines typed and checked: file, line_no, record, name (SN of @SQ, ID of @RG and @PG), length, version, sort_order, group_order, text (of @CO), tags, error.
+
+    Faults: an unknown record, a tag that isn't two letters and a colon or comes twice, a missing mandatory tag, a version, length or order out of form, a
+    second @HD or one that isn't the first line, a name used before in its file.
+    """
+    f = _split(df.where("startswith(value, '@')"))
+    record = F.substr(_f(0), F.lit(2))
+    body = F.when(record != "CO", F.slice("__f", 2, F.greatest(_N() - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    names = F.transform(body, lambda t: F.substring(t, 1, 2))
+    sound = F.forall(body, lambda t: t.rlike("^[A-Za-z][A-Za-z0-9]:[ -~]+$")) & (F.size(F.array_distinct(names)) == F.size(names))
+    pairs = F.when(sound, F.map_from_entries(F.transform(body, lambda t: F.struct(F.substring(t, 1, 2), F.substr(t, F.lit(4))))))
+    f = f.select("file", "line_no", record.alias("record"), pairs.alias("tags"), F.when(record == "CO", F.substr("value", F.lit(5))).alias("text"))
+    tag = lambda k: F.col("tags")[k]
+    r = F.col("record")
+    must = _any([(r == k) & F.forall(F.array(*map(F.lit, tags)).cast("array<string>"), lambda t: F.array_contains(F.map_keys("tags"), t)) for k, tags in HEADER_TAGS.items()])
+    name, length = F.when(r == "SQ", tag("SN")).when(r.isin("RG", "PG"), tag("ID")), F.when(r == "SQ", integer(tag("LN")))
+    f = f.withColumns({"name": name, "length": length})
+    # headers are as long as there are references and read groups
+    w = Window.partitionBy("file", "record", "name").orderBy("line_no")
+    first = Window.partitionBy("file")
+    f = f.withColumns({"__nth": F.row_number().over(w), "__first": F.min("line_no").over(first)})
+    tests = [
+        ("record", r.isin(*HEADER_TAGS)), ("tags", F.col("tags").isNotNull()), ("missing_tag", must), ("version", (r != "HD") | tag("VN").rlike(r"^[0-9]+\.[0-9]+$")), ("sort_order", (r != "HD") | tag("SO").isNull() | tag("SO").isin(*SORT_ORDERS)),
+        ("group_order", (r != "HD") | tag("GO").isNull() | tag("GO").isin(*GROUP_ORDERS)), ("header_first", (r != "HD") | (F.col("line_no") == F.col("__first"))), ("length", (r != "SQ") | F.col("length").between(1, 2147483647)),
+        ("reference_name", (r != "SQ") | tag("SN").rlike(r"^[!-)+-<>-~][!-~]*$")), ("duplicate", ~r.isin("SQ", "RG", "PG") | (F.col("__nth") == 1)),
+    ]
+    out = failures(*tests)
+    return f.select("file", "line_no", "record", "name", "length", *(F.when(r == "HD", tag(k)).alias(n) for k, n in (("VN", "version"), ("SO", "sort_order"), ("GO", "group_order"))), "text", "tags", out.alias("error"))
+
+
+def sam_header_line() -> Column:
+    """A line of each record of :func:`sam_header_checked`: mandatory tags first, the others by name."""
+    r, tags = F.col("record"), F.col("tags")
+    first = F.when(r == "HD", F.array(F.lit("VN"))).when(r == "SQ", F.array(F.lit("SN"), F.lit("LN"))).when(r.isin("RG", "PG"), F.array(F.lit("ID"))).otherwise(F.array().cast("array<string>"))
+    keys = F.concat(first, F.array_sort(F.array_except(F.map_keys(tags), first)))
+    return F.when(r == "CO", F.concat(F.lit("@CO\t"), F.col("text"))).otherwise(F.concat_ws("\t", F.concat(F.lit("@"), r), F.transform(keys, lambda k: F.concat(k, F.lit(":"), tags[k]))))
+
+
+def sam_line() -> Column:
+    """A line of each alignment of :func:`sam`; nulls become ``*``, 0 or 255."""
+    text = lambda c, none: F.coalesce(F.col(c).cast("string"), F.lit(none))
+    same = F.when(F.col("rnext") == F.col("rname"), "=").otherwise(text("rnext", "*"))
+    ops = F.when(F.size("cigar") > 0, cigar_text(F.col("cigar"))).otherwise("*")
+    qual = F.coalesce(F.array_join(F.transform("qual", lambda q: phred_char(q)), ""), F.lit("*"))
+    tags = F.transform("tags", lambda t: F.concat_ws(":", t["tag"], t["type"], t["value"]))
+    return F.concat_ws("\t", text("qname", "*"), text("flag", "0"), text("rname", "*"), text("pos", "0"), text("mapq", "255"), ops, same, text("pnext", "0"), text("tlen", "0"), text("seq", "*"), qual, tags)
+
+
 def unknown_references(alignments: DataFrame, header: DataFrame) -> DataFrame:
     """Alignments whose reference isn't declared in their file's @SQ lines."""
     known = header.where("record = 'SQ'").select("file", F.col("tags")["SN"].alias("rname"))
@@ -283,7 +352,7 @@ def fasta(df: DataFrame) -> DataFrame:
     rows = rows.join(first, F.col("file") == F.col("__file"), "left")
     orphan = F.col("__first").isNull() | (F.col("r_to") < F.col("__first"))
     got = rows.where(~orphan).groupBy("file", F.col("r_to").alias("record")).agg(
-        F.max(F.when(head, F.substring(v, 2, 1_000_000_000))).alias("description"),
+        F.max(F.when(head, F.substr(v, F.lit(2)))).alias("description"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~head, F.struct("line_no", F.rtrim(v).alias("v"))))), lambda x: x["v"]), "").alias("sequence"),
     )
     bad = rows.where(orphan).groupBy("file").agg(F.lit(0).cast("bigint").alias("record"))
@@ -334,6 +403,28 @@ def cel(df: DataFrame) -> DataFrame:
     return f.select("file", "line_no", *(c.alias(n) for n, c in {**ints, **nums}.items()), failures(("column_count", _N() == 5), *((n, c.isNotNull()) for n, c in {**ints, **nums}.items())).alias("error"))
 
 
+# What letters after a backslash stand for.
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b"}
+
+
+def _unescaped(c: Column) -> Column:
+    """Backslash escapes of a quoted string: those of ESCAPES, three decimal digits, x with two hexadecimal ones; any other letter stands for itself."""
+    parts = F.regexp_extract_all(c, F.lit(r"\\[0-9]{3}|\\x[0-9a-fA-F]{2}|\\.|[^\\]+|\\$"), 0)
+
+    def one(p: Column) -> Column:
+        out = F.when(~p.startswith("\\"), p).when(p.rlike(r"^\\[0-9]{3}$"), F.char(F.substring(p, 2, 3).cast("int"))).when(p.rlike(r"^\\x[0-9a-fA-F]{2}$"), F.char(F.conv(F.substring(p, 3, 2), 16, 10).cast("int")))
+        for k, v in ESCAPES.items():
+            out = out.when(p == f"\\{k}", v)
+        return out.otherwise(F.substr(p, F.lit(2)))
+
+    return F.array_join(F.transform(parts, one), "")
+
+
+def track_content(df: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The content lines of a track file as ``parse`` (a codec of this module, such as ``bed``, ``gff`` or ``wig``) reads them; line numbers stay."""
+    return parse(track(df).where("kind = 'content'").select("file", "line_no", F.col("content").alias("value")))
+
+
 def track(df: DataFrame) -> DataFrame:
     """file, line_no, kind (track, browser_position, browser_hide, browser_unknown, comment, content), attributes, chrom, lo, hi, content, error."""
     v = F.col("value")
@@ -343,7 +434,7 @@ def track(df: DataFrame) -> DataFrame:
         F.when(v.startswith("track"), "track").when(v.rlike(r"^browser\s+position\s"), "browser_position").when(v.rlike(r"^browser\s+hide\s+all\s*$"), "browser_hide").when(v.startswith("browser"), "browser_unknown")
         .when(v.startswith("#"), "comment").otherwise("content")
     )
-    attrs = F.transform(F.regexp_extract_all(v, F.lit(attr), 0), lambda p: F.struct(F.regexp_extract(p, attr, 1).alias("key"), F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "^[^=]*=", ""), '^"|"$', ""), r"\\(.)", "$1").alias("value")))
+    attrs = F.transform(F.regexp_extract_all(v, F.lit(attr), 0), lambda p: F.struct(F.regexp_extract(p, attr, 1).alias("key"), _unescaped(F.regexp_replace(F.regexp_replace(p, "^[^=]*=", ""), '^"|"$', "")).alias("value")))
     f = df.where("value <> ''").withColumn("kind", kind)
     k = F.col("kind")
     left = F.trim(F.regexp_replace(F.regexp_replace(v, "^track", ""), attr, ""))
@@ -370,6 +461,27 @@ def sam_to_fastq(df: DataFrame) -> DataFrame:
     return df.where(flag("is_primary", F.col("flag")) & F.col("seq").isNotNull()).select(F.col("qname").alias("name"), F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("sequence"), F.lit("").alias("comment"), F.when(back, F.reverse(text)).otherwise(text).alias("qualities"))
 
 
+def fastq_to_fasta(df: DataFrame) -> DataFrame:
+    """name, sequence and scores (blank-separated Phred numbers) of FASTQ records, for a FASTA and a quality file."""
+    return df.select("name", "sequence", F.array_join(F.transform(qualities(F.col("qualities")), lambda q: q.cast("string")), " ").alias("scores"))
+
+
+def probe_intensities(probes: DataFrame, cells: DataFrame, strict: bool = True) -> DataFrame:
+    """The columns of ``probes`` (:func:`bpmap`) with the mean intensities pm and mm of their two cells in ``cells`` (:func:`cel`).
+
+    ``strict``: a cell that isn't there raises an error; otherwise its value is null. Cells are joined once each, by coordinates.
+    """
+    side = lambda n: cells.select(F.col("x").cast("bigint").alias(f"{n}_x"), F.col("y").cast("bigint").alias(f"{n}_y"), F.col("mean").alias(n))
+    both = probes.join(side("pm"), ["pm_x", "pm_y"], "left").join(side("mm"), ["mm_x", "mm_y"], "left")
+    sure = lambda n: F.coalesce(F.col(n), F.raise_error(F.lit(f"a probe's {n} cell is missing")).cast("double")) if strict else F.col(n)
+    return both.select(*probes.columns, sure("pm").alias("pm"), sure("mm").alias("mm"))
+
+
+def reference_names(alignments: DataFrame, references: DataFrame) -> DataFrame:
+    """``alignments`` with ``rname`` of their ``ref_id`` in ``references`` (ref_id, rname); ``*`` where it has none."""
+    return alignments.join(references.select("ref_id", F.col("rname").alias("__name")), "ref_id", "left").select(*alignments.columns, F.coalesce("__name", F.lit("*")).alias("rname"))
+
+
 def fasta_with_scores(sequences: DataFrame, scores: DataFrame) -> DataFrame:
     """FASTQ records of two FASTA tables with equal descriptions, the second with scores parted by blanks; a difference in length is an error."""
     from spanloom.functions.sequence import phred_char
