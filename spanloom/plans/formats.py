@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import streams
 from spanloom.runtime import shared_dir, table
-from spanloom.sources import codecs
+from spanloom.sources import bam, codecs
 from spanloom.sources.text import as_lines, lines
 
 
@@ -86,6 +86,18 @@ def _track_content(s: SparkSession, d: str) -> DataFrame:
     return items.unionByName(heads)
 
 
+def _bam(s: SparkSession, d: str) -> DataFrame:
+    """Orders written as BAM files, a file a partition, and read in ranges of blocks."""
+    k = _s("o_orderkey")
+    seq = F.translate(F.concat(k, F.reverse(k)), "0123456789", "ACGTACGTAC")
+    rows = table(s, d, "orders").select(F.concat(F.lit("r"), k).alias("qname"), (F.col("o_orderkey") % 4096).cast("int").alias("flag"), F.lit("chr1").alias("rname"), (F.col("o_custkey") + 1).cast("int").alias("pos"), F.when(F.col("o_orderkey") % 5 > 0, 60).alias("mapq"),
+                                        F.concat(F.length(seq).cast("string"), F.lit("M")).alias("cigar"), F.lit(None).cast("string").alias("rnext"), F.lit(None).cast("int").alias("pnext"), F.lit(-7).alias("tlen"), seq.alias("seq"), F.repeat(F.lit("I"), F.length(seq)).alias("qual"))
+    path = f"{shared_dir(s)}/bam-{uuid.uuid4().hex}"
+    bam.write_bams(rows.repartition(4), path, [("chr1", 1_000_000)])
+    bam.register(s)
+    return s.read.format("spanloom-bam").schema("qname string, flag int, rname string, pos int, mapq int, cigar string, tlen int, seq string, qual string").option("splitBytes", 65_536).load(path)
+
+
 def _zip3(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "customer")
     parts = [(c.select("c_custkey"), ["c_custkey"]), (c.select("c_name"), ["c_name"]), (c.select("c_acctbal", "c_custkey"), ["c_acctbal", "c_custkey"])]
@@ -100,6 +112,7 @@ def _fold(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "s01_lines": _files,
+    "s18_bam": _bam,
     "s06_bed_typed": _bed_typed,
     "s10_gff3_again": lambda s, d: _gff_again(s, d, 3),
     "s10_gff2_again": lambda s, d: _gff_again(s, d, 2),
@@ -119,6 +132,8 @@ QUERIES = {
 
 ORACLE = {
     "s01_lines": "SELECT c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS line_no, c_custkey || chr(9) || c_name AS value FROM customer",
+    "s18_bam": """WITH o AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS k FROM orders), q AS (SELECT *, translate(k || reverse(k), '0123456789', 'ACGTACGTAC') AS seq FROM o)
+SELECT 'r' || k AS qname, CAST(o_orderkey % 4096 AS INTEGER) AS flag, 'chr1' AS rname, CAST(o_custkey + 1 AS INTEGER) AS pos, CASE WHEN o_orderkey % 5 > 0 THEN 60 END AS mapq, length(seq) || 'M' AS cigar, -7 AS tlen, seq, repeat('I', length(seq)) AS qual FROM q""",
     "s06_bed_typed": "SELECT p_partkey AS line_no, p_partkey AS chrom_start, p_brand AS c0, CAST(p_retailprice AS DOUBLE) AS c1, CASE WHEN p_size % 7 <> 0 THEN CAST(p_size AS BIGINT) END AS c2, CASE WHEN p_size % 7 = 0 THEN 'c2' END AS error FROM part",
     "s12_track_content": """SELECT p_partkey AS line_no, CASE WHEN p_partkey % 5 = 0 THEN 'a"b\\c' || chr(9) || 'qA' ELSE p_brand END AS name, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey END AS chrom_start, CAST(NULL AS VARCHAR) AS error FROM part WHERE p_partkey % 5 IN (0, 3, 4)""",
     "s17_sam_header": """WITH l AS (SELECT CAST(s_nationkey AS VARCHAR) AS file, s_suppkey AS line_no, s_suppkey AS k, s_name AS p FROM supplier),

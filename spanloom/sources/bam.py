@@ -1,118 +1,317 @@
-"""BAM over BGZF as a Python data source: one partition a file, blocks inflated and records decoded as a stream, only the columns asked for.
+"""BAM over BGZF as a Python data source: ranges of blocks are the partitions, and only the columns of the schema asked for are decoded.
 
-``register(spark)`` then ``spark.read.format("spanloom-bam").load(path)``. A writer of single files serves tests and exports.
+``register(spark)`` then ``spark.read.format("spanloom-bam").load(path)``; ``.schema("qname string, flag int")`` names the columns to decode and
+``.option("splitBytes", n)`` the compressed bytes of a partition. Paths are local ones or URIs that pyarrow opens, folders or single files.
+
+A range begins with the first block at or after its first byte, and with the first record that begins in it. Where that is isn't stated in the file, so
+it is found by the form of records, a chain of which must follow each other; the range before it ends at a known place, and a difference raises an error.
+A record's virtual offset is that of its block in the file, shifted by 16 bits, plus its place within the inflated block.
 """
 
 from __future__ import annotations
 
-import glob
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-SCHEMA = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string"
-# Letters of packed bases and of alignment operations, and the empty block that ends a file.
+SCHEMA = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags array<struct<tag:string,type:string,value:string>>, voffset bigint"
+# Letters of packed bases and of alignment operations, formats of optional fields, and the empty block that ends a file.
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+TAGS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 BLOCK = 0xFF00
-
-
-def blocks(f) -> Iterator[bytes]:
-    """Inflated BGZF blocks of an open file; a damaged or cut block raises."""
-    while True:
-        head = f.read(12)
-        if not head:
-            return
-        if len(head) < 12 or head[:4] != b"\x1f\x8b\x08\x04":
-            raise ValueError("not a BGZF block")
-        extra = f.read(struct.unpack("<H", head[10:])[0])
-        at, size = 0, None
-        while at < len(extra):
-            tag, n = extra[at : at + 2], struct.unpack_from("<H", extra, at + 2)[0]
-            if tag == b"BC":
-                size = struct.unpack_from("<H", extra, at + 4)[0] + 1
-            at += 4 + n
-        if size is None:
-            raise ValueError("a gzip member without block size")
-        data = f.read(size - 12 - len(extra))
-        if len(data) != size - 12 - len(extra):
-            raise ValueError("the file ends inside a block")
-        out = zlib.decompress(data[:-8], -15)
-        if (zlib.crc32(out), len(out)) != struct.unpack("<II", data[-8:]):
-            raise ValueError("a block's checksum is wrong")
-        yield out
-
-
-class _Bytes:
-    def __init__(self, parts: Iterator[bytes]):
-        self.parts, self.held, self.at = parts, b"", 0
+SPLIT = 64 << 20
+#: Records that must follow each other where a range begins.
+CHAIN = 12
+#: Bytes looked at for them at most.
+LOOK = 1 << 24
+_PAIRS = np.array([[ord(BASES[x >> 4]), ord(BASES[x & 15])] for x in range(256)], np.uint8)
+
+
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    if path.startswith("file:") or "://" not in path:
+        return pafs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")
+    return pafs.FileSystem.from_uri(path)
+
+
+def _size_at(f, at: int) -> tuple[int, int] | None:
+    """Length of the header and of the whole block that begins at ``at``; None at the end or where no block begins."""
+    f.seek(at)
+    head = f.read(12)
+    if len(head) < 12 or head[:4] != b"\x1f\x8b\x08\x04":
+        return None
+    n = struct.unpack("<H", head[10:])[0]
+    extra, k = f.read(n), 0
+    while k + 4 <= len(extra):
+        size = struct.unpack_from("<H", extra, k + 2)[0]
+        if extra[k : k + 2] == b"BC" and size == 2:
+            return 12 + n, struct.unpack_from("<H", extra, k + 4)[0] + 1
+        k += 4 + size
+    return None
+
+
+def block_at(f, at: int) -> tuple[bytes, int]:
+    """The inflated block that begins at ``at`` and its length in the file; a damaged or cut block raises."""
+    got = _size_at(f, at)
+    if got is None:
+        raise ValueError(f"no BGZF block at {at}")
+    f.seek(at + got[0])
+    data = f.read(got[1] - got[0])
+    if len(data) != got[1] - got[0]:
+        raise ValueError("the file ends inside a block")
+    out = zlib.decompress(data[:-8], -15)
+    if (zlib.crc32(out), len(out)) != struct.unpack("<II", data[-8:]):
+        raise ValueError("a block's checksum is wrong")
+    return out, got[1]
+
+
+def first_block(f, at: int, end: int) -> int:
+    """Start of the first block at or after ``at``: a block header that another one, or the end of the file, follows."""
+    while at < end:
+        f.seek(at)
+        data = f.read(min(end - at, 2 * 65_536 + 64))
+        k = data.find(b"\x1f\x8b\x08\x04")
+        while k >= 0:
+            size = _size_at(f, at + k)
+            if size is not None and (at + k + size[1] == end or _size_at(f, at + k + size[1]) is not None):
+                return at + k
+            k = data.find(b"\x1f\x8b\x08\x04", k + 1)
+        at += max(1, len(data) - 3)
+    return end
+
+
+class Reader:
+    """Bytes of a BGZF file from a virtual offset on."""
+
+    def __init__(self, f, end: int, block: int = 0, inner: int = 0):
+        self.f, self.end, self.starts, self.held, self.at = f, end, [], b"", 0
+        self.next = block
+        if inner:
+            self._more()
+            self.at = inner
+
+    def _more(self) -> bool:
+        if self.next >= self.end:
+            return False
+        out, size = block_at(self.f, self.next)
+        keep = self.starts and [(b, o - self.at) for b, o in self.starts if o + 65_536 > self.at] or []
+        self.held = self.held[self.at :] + out
+        self.starts = [*keep, (self.next, len(self.held) - len(out))]
+        self.at, self.next = 0, self.next + size
+        return True
+
+    def voffset(self) -> int | None:
+        """Where the next byte stands; None at the end."""
+        while self.at >= len(self.held):
+            if not self._more():
+                return None
+        block, o = next((b, o) for b, o in reversed(self.starts) if o <= self.at)
+        return block << 16 | self.at - o
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) - self.at < n and self._more():
+            pass
+        return self.held[self.at : self.at + n]
 
     def take(self, n: int) -> bytes | None:
         """``n`` bytes, or None at the end."""
-        while len(self.held) - self.at < n:
-            more = next(self.parts, None)
-            if more is None:
-                if len(self.held) == self.at:
-                    return None
-                raise ValueError("the file ends inside a record")
-            self.held, self.at = self.held[self.at :] + more, 0
-        out = self.held[self.at : self.at + n]
+        out = self.peek(n)
+        if not out and n:
+            return None
+        if len(out) < n:
+            raise ValueError("the file ends inside a record")
         self.at += n
         return out
 
 
-def records(path: str) -> Iterator[tuple]:
-    with open(path.removeprefix("file://").removeprefix("file:"), "rb") as f:
-        b = _Bytes(blocks(f))
-        if b.take(4) != b"BAM\x01":
-            raise ValueError("not a BAM file")
-        b.take(struct.unpack("<i", b.take(4))[0])
-        refs = []
-        for _ in range(struct.unpack("<i", b.take(4))[0]):
-            n = struct.unpack("<i", b.take(4))[0]
-            refs.append(b.take(n)[:-1].decode())
-            b.take(4)
-        while (size := b.take(4)) is not None:
-            r = b.take(struct.unpack("<i", size)[0])
-            ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, nref, npos, tlen = struct.unpack_from("<iiBBHHHiiii", r)
-            at = 32 + l_name
-            name = r[32 : at - 1].decode()
-            ops = struct.unpack_from(f"<{n_cigar}I", r, at)
-            at += 4 * n_cigar
-            packed = r[at : at + (l_seq + 1) // 2]
-            at += len(packed)
-            qual = r[at : at + l_seq]
-            seq = "".join(BASES[x >> 4] + BASES[x & 15] for x in packed)[:l_seq]
-            yield (
-                None if name == "*" else name, flag, refs[ref] if ref >= 0 else None, pos + 1 if pos >= 0 else None, None if mapq == 255 else mapq, "".join(f"{x >> 4}{OPS[x & 15]}" for x in ops) or "*",
-                refs[nref] if nref >= 0 else None, npos + 1 if npos >= 0 else None, tlen or None, seq or None, None if not qual or qual[0] == 255 else "".join(chr(q + 33) for q in qual),
-            )
+def header(b: Reader) -> tuple[str, list[tuple[str, int]]]:
+    """The header's text, and names and lengths of the references; the reader then stands at the first record."""
+    if b.take(4) != b"BAM\x01":
+        raise ValueError("not a BAM file")
+    text = b.take(struct.unpack("<i", b.take(4))[0])
+    refs = []
+    for _ in range(struct.unpack("<i", b.take(4))[0]):
+        name = b.take(struct.unpack("<i", b.take(4))[0])[:-1].decode()
+        refs.append((name, struct.unpack("<i", b.take(4))[0]))
+    return (text or b"").rstrip(b"\0").decode(), refs
+
+
+def _plausible(data: bytes, at: int, refs: list[tuple[str, int]]) -> int | None:
+    """Length of what looks like a record at ``at``, -1 if the data end before that is known, None if it isn't one."""
+    if at + 36 > len(data):
+        return -1
+    size, ref, pos, l_name, _, _, n_cigar, _, l_seq, nref, npos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    fits = lambda r, p: -1 <= r < len(refs) and p >= -1
+    if not (l_name >= 1 and l_seq >= 0 and fits(ref, pos) and fits(nref, npos) and 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq <= size):
+        return None
+    name = data[at + 36 : at + 36 + l_name]
+    if len(name) == l_name and (name[-1] != 0 or any(not 33 <= c <= 126 for c in name[:-1])):
+        return None
+    ops = data[at + 36 + l_name : at + 36 + l_name + 4 * n_cigar]
+    if any(c & 15 > 8 for c in ops[::4]):
+        return None
+    return size + 4
+
+
+def first_record(f, end: int, start: int, refs: list[tuple[str, int]]) -> int | None:
+    """Virtual offset of the first record that begins in the block at ``start`` or a later one; None if there is none."""
+    b, want = Reader(f, end, start), LOOK >> 6
+    while b.voffset() is not None:
+        data = b.peek(want)
+        for at in range(min(len(data), 65_536)):
+            to, n = at, 0
+            while n < CHAIN and to < len(data):
+                size = _plausible(data, to, refs)
+                if size is None or size < 0:
+                    break
+                to, n = to + size, n + 1
+            else:
+                size = -1
+            # the chain is long enough, or all that is left follows it, or it is of very long records
+            if n >= CHAIN or to == len(data) and n and len(data) < want or size == -1 and n > 1 and want == LOOK:
+                b.take(at)
+                return b.voffset()
+            if size == -1 and to > at and len(data) == want and want < LOOK:
+                want *= 4  # long records: look further
+                break
+        else:
+            if len(data) < want:
+                return None
+            b.take(65_536)
+    return None
+
+
+def _tags(r: bytes, at: int) -> list[dict]:
+    out = []
+    while at < len(r):
+        tag, kind = r[at : at + 2].decode(), chr(r[at + 2])
+        at += 3
+        if kind == "A":
+            value, at = chr(r[at]), at + 1
+        elif kind in "ZH":
+            end = r.index(b"\0", at)
+            value, at = r[at:end].decode("latin-1"), end + 1
+        elif kind == "B":
+            inner, n = chr(r[at]), struct.unpack_from("<i", r, at + 1)[0]
+            xs = struct.unpack_from(f"<{n}{TAGS[inner]}", r, at + 5)
+            value, at = ",".join([inner, *map(_number, xs)]), at + 5 + n * struct.calcsize(TAGS[inner])
+        else:
+            value, kind, at = _number(struct.unpack_from("<" + TAGS[kind], r, at)[0]), "f" if kind == "f" else "i", at + struct.calcsize(TAGS[kind])
+        out.append({"tag": tag, "type": kind, "value": value})
+    return out
+
+
+def _number(x: float) -> str:
+    return f"{x:.9g}" if isinstance(x, float) else str(x)
+
+
+def _decoders(refs: list[tuple[str, int]]) -> dict:
+    """Of each column, a function of a record's bytes, fixed fields and virtual offset."""
+    ref = lambda i: refs[i][0] if i >= 0 else None
+    cigar_at = lambda x: 32 + x[2]
+    seq_at = lambda x: 32 + x[2] + 4 * x[5]
+
+    def ops(r: bytes, x: tuple, _: int) -> str:
+        return "".join(f"{o >> 4}{OPS[o & 15]}" for o in struct.unpack_from(f"<{x[5]}I", r, cigar_at(x))) or "*"
+
+    def seq(r: bytes, x: tuple, _: int) -> str | None:
+        packed = np.frombuffer(r, np.uint8, (x[7] + 1) // 2, seq_at(x))
+        return _PAIRS[packed].tobytes()[: x[7]].decode() or None
+
+    def qual(r: bytes, x: tuple, _: int) -> str | None:
+        at = seq_at(x) + (x[7] + 1) // 2
+        q = np.frombuffer(r, np.uint8, x[7], at)
+        return None if not len(q) or q[0] == 255 else (q + 33).tobytes().decode("latin-1")
+
+    return {
+        "qname": lambda r, x, v: None if r[32 : 31 + x[2]] == b"*" else r[32 : 31 + x[2]].decode(), "flag": lambda r, x, v: x[6], "rname": lambda r, x, v: ref(x[0]), "pos": lambda r, x, v: x[1] + 1 if x[1] >= 0 else None,
+        "mapq": lambda r, x, v: None if x[3] == 255 else x[3], "cigar": ops, "rnext": lambda r, x, v: ref(x[8]), "pnext": lambda r, x, v: x[9] + 1 if x[9] >= 0 else None, "tlen": lambda r, x, v: x[10] or None, "seq": seq, "qual": qual,
+        "tags": lambda r, x, v: _tags(r, seq_at(x) + (x[7] + 1) // 2 + x[7]), "voffset": lambda r, x, v: v,
+    }
+
+
+_KINDS = {"pos": pa.int32(), "flag": pa.int32(), "mapq": pa.int32(), "pnext": pa.int32(), "tlen": pa.int32(), "voffset": pa.int64(), "tags": pa.list_(pa.struct([("tag", pa.string()), ("type", pa.string()), ("value", pa.string())]))}
+
+
+def records(root: str, path: str, names: list[str], lo: int = 0, hi: int | None = None) -> Iterator[tuple]:
+    """The named columns of the records that begin in blocks which begin in [lo, hi) of the file ``path`` on the file system of ``root``."""
+    with filesystem(root)[0].open_input_file(path) as f:
+        end = f.size()
+        hi = end if hi is None else min(hi, end)
+        b = Reader(f, end)
+        _, refs = header(b)
+        if lo > 0:
+            start = first_block(f, lo, end)
+            at = first_record(f, end, start, refs) if start < hi else None
+            # no later than the records themselves begin
+            if at is None or at >> 16 >= hi:
+                return
+            if at >= (b.voffset() or 0):
+                b = Reader(f, end, at >> 16, at & 0xFFFF)
+        of = _decoders(refs)
+        pick = [of[n] for n in names]
+        while (v := b.voffset()) is not None and v >> 16 < hi:
+            r = b.take(struct.unpack("<i", b.take(4))[0])
+            # ref, pos, length of the name, mapq, bin, operations, flag, length of the sequence, next ref, next pos, template length
+            x = struct.unpack_from("<iiBBHHHiiii", r)
+            yield tuple(d(r, x, v) for d in pick)
+        if v is not None and hi < end:
+            start = first_block(f, hi, end)
+            if start < end and v >> 16 >= start and first_record(f, end, start, refs) != v:
+                raise ValueError(f"the records after byte {hi} can't be told apart; read the file with larger splits")
+
+
+@dataclass
+class _Range(InputPartition):
+    path: str
+    lo: int
+    hi: int
+
+
+def read_header(path: str) -> tuple[str, list[tuple[str, int]]]:
+    """Text and references of one file."""
+    fs, bare = filesystem(path)
+    with fs.open_input_file(bare) as f:
+        return header(Reader(f, f.size()))
+
+
+def read_at(path: str, voffset: int, names: list[str]) -> tuple:
+    """The named columns of the record at a virtual offset."""
+    fs, bare = filesystem(path)
+    with fs.open_input_file(bare) as f:
+        refs = header(Reader(f, f.size()))[1]
+        b = Reader(f, f.size(), voffset >> 16, voffset & 0xFFFF)
+        r = b.take(struct.unpack("<i", b.take(4))[0])
+        of = _decoders(refs)
+        return tuple(of[n](r, struct.unpack_from("<iiBBHHHiiii", r), voffset) for n in names)
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType):
-        self.path, self.names = path, schema.names
+    def __init__(self, path: str, schema: StructType, split: int):
+        self.path, self.names, self.split = path, schema.names, split
 
     def partitions(self) -> list[InputPartition]:
-        bare = self.path.removeprefix("file://").removeprefix("file:")
-        return [InputPartition(p) for p in sorted(glob.glob(bare if bare.endswith(".bam") or "*" in bare else f"{bare}/*.bam"))]
+        fs, bare = filesystem(self.path)
+        info = fs.get_file_info(bare)
+        files = [info] if info.is_file else sorted((x for x in fs.get_file_info(pafs.FileSelector(bare, recursive=True)) if x.path.endswith(".bam")), key=lambda x: x.path)
+        return [_Range(x.path, k, k + self.split) for x in files for k in range(0, x.size, self.split)] or [_Range("", 0, 0)]
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        order = [c.split()[0] for c in SCHEMA.split(", ")]
-        kinds = {c.split()[0]: pa.string() if c.endswith("string") else pa.int32() for c in SCHEMA.split(", ")}
-        pick, held = [order.index(n) for n in self.names], []
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        held = []
 
         def batch() -> pa.RecordBatch:
-            cols = zip(*held, strict=True)
-            return pa.record_batch([pa.array(c, kinds[n]) for c, n in zip(cols, self.names, strict=True)], self.names)
+            return pa.record_batch([pa.array(c, _KINDS.get(n, pa.string())) for c, n in zip(zip(*held, strict=True), self.names, strict=True)], self.names)
 
-        for r in records(partition.value):
-            held.append([r[i] for i in pick])
+        for r in records(self.path, partition.path, self.names, partition.lo, partition.hi) if partition.path else ():
+            held.append(r)
             if len(held) == 10_000:
                 yield batch()
                 held = []
@@ -129,7 +328,7 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], schema)
+        return _Reader(self.options["path"], schema, int(self.options.get("splitBytes", SPLIT)))
 
 
 def register(spark: SparkSession) -> None:
@@ -170,5 +369,23 @@ def write_bam(path: str, references: list[tuple[str, int]], rows: list[dict]) ->
         body = struct.pack("<iiBBHHHiiii", ids.get(r.get("rname"), -1), pos, len(name), 255 if r.get("mapq") is None else r["mapq"], _bin(max(pos, 0), max(pos, 0) + len(seq)), len(ops), r["flag"], len(seq),
                            ids.get(r.get("rnext"), -1), (r.get("pnext") or 0) - 1, r.get("tlen") or 0) + name + struct.pack(f"<{len(ops)}I", *ops) + packed + (bytes(ord(c) - 33 for c in qual) if qual else b"\xff" * len(seq))
         out += struct.pack("<i", len(body)) + body
-    with open(path, "wb") as f:
+    fs, bare = filesystem(path)
+    with fs.open_output_stream(bare, compression=None) as f:
         f.write(bgzip(out))
+
+
+def write_bams(df: DataFrame, folder: str, references: list[tuple[str, int]]) -> int:
+    """One BAM file a partition of ``df`` (columns of ``SCHEMA`` but tags and voffset), as the sink of a job. Returns the number of records."""
+    fs, bare = filesystem(folder)
+    fs.create_dir(bare, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rows = [r for b in batches for r in b.to_pylist()]
+        if rows:
+            # a task that is run again writes the same file
+            write_bam(f"{folder}/part-{TaskContext.get().partitionId():05d}.bam", references, rows)
+        yield pa.record_batch([pa.array([len(rows)], pa.int64())], ["n"])
+
+    return sum(r["n"] for r in df.mapInArrow(write, "n bigint").collect())
