@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.arrow import chunks, codes, rank_in_run, starts
-from spanloom.runtime import checkpointed
+from spanloom.runtime import written
 
 #: Rows sorted at once by a Python worker.
 CHUNK_ROWS = 200_000
-#: Bounds are broadcast up to this counted number of groups; beyond it they are joined by a shuffle.
-BROADCAST_GROUPS = 200_000
+#: Bounds are broadcast up to so many measured bytes; beyond that they are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def _best(t: pa.Table, groups: list[str], keys: list[str], n: int) -> pa.Table:
@@ -73,10 +73,12 @@ def top_n(df: DataFrame, groups: list[str], scores: list[str], ident: str, n: in
         cols += [F.when(absent, 1).otherwise(0).cast("int").alias(f"__m{i}"), F.when(absent, 0.0).otherwise(F.lit(0.0) - x).alias(f"__k{i}")]
         keys += [f"__m{i}", f"__k{i}"]
     rows = df.select(*cols, F.col(ident).cast("bigint").alias("__id"), F.lit(False).alias("__nth")).where("__m0 = 0 AND __id IS NOT NULL")
-    local = rows.mapInArrow(_local(gs, keys, n), rows.schema)
+    # the candidates are written once, for the bounds and for the rows behind them
+    local = written(rows.mapInArrow(_local(gs, keys, n), rows.schema), "candidates")
     order = [*keys, "__id"]
-    bounds = checkpointed(local.where("__nth").groupBy(*gs).agg(F.min(F.struct(*order)).alias("__bound")))
-    hint = F.broadcast if bounds.count() <= BROADCAST_GROUPS else (lambda d: d)
+    bounds = written(local.where("__nth").groupBy(*gs).agg(F.min(F.struct(*order)).alias("__bound")), "bounds")
+    texts = sum((F.coalesce(F.octet_length(F.col(g).cast("string")), F.lit(0)) for g in gs), F.lit(64 + 16 * len(order)))
+    hint = F.broadcast if (bounds.agg(F.sum(texts).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES else (lambda d: d)
     b = hint(bounds.select(*(F.col(g).alias(g + "b") for g in gs), "__bound"))
     on = [F.col(g).eqNullSafe(F.col(g + "b")) for g in gs]
     alive = local.join(b, on, "left").where(F.col("__bound").isNull() | (F.struct(*order) <= F.col("__bound"))).select(*gs, *order)

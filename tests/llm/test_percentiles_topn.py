@@ -2,9 +2,11 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm.percentiles import measured, merged, percentiles, summaries
+from spanloom.llm import topn
 from spanloom.llm.topn import top_n
 from spanloom.runtime import written
 
@@ -76,7 +78,9 @@ def test_summaries_of_days_combine_within_the_bound(spark):
         assert abs(rank - x["q"]) <= 1 / points + 9 / len(vs)
 
 
-def test_top_n_matches_brute_force(spark):
+@pytest.mark.parametrize("most", [0, 1 << 25])
+def test_top_n_matches_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(topn, "BROADCAST_BYTES", most)
     data = rows(5000, 2)
     got = sorted((r["g"], r["h"] or "", r["rnk"], r["pid"]) for r in top_n(spark.createDataFrame(data, S).repartition(9), ["g", "h"], ["v", "w"], "pid", 5).collect())
     groups = {}
@@ -95,8 +99,6 @@ def test_top_n_when_all_scores_tie_and_one_item_repeats(spark):
 
 
 def test_wrong_parameters(spark):
-    import pytest
-
     df = spark.createDataFrame([], S)
     with pytest.raises(ValueError):
         top_n(df, ["g"], ["v"], "pid", 0)
