@@ -46,13 +46,18 @@ def restrict(df: DataFrame, least: int | None = None, most: int | None = None) -
 
 
 def _events(df: DataFrame, keys: list[str], a: int, b: int) -> DataFrame:
+    """Two events a range, for sweeps."""
     edge = lambda at, s: F.struct(at.alias("pos"), F.lit(a * s).cast("bigint").alias("a"), F.lit(b * s).cast("bigint").alias("b"))
     return valid(df).select(*keys, F.inline(F.array(edge(F.col("lo").cast("bigint"), 1), edge((F.col("hi") + 1).cast("bigint"), -1))))
 
 
-def depth(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Coverage: keys, lo, hi, depth of every stretch between events on which it is above 0. Duplicates count."""
-    got = stepped(_events(df, keys, 1, 0), keys, "pos", ["a"])
+def depth(df: DataFrame, keys: list[str], dedup_events: bool = False) -> DataFrame:
+    """Coverage: keys, lo, hi, depth of every stretch between events on which it is above 0. Duplicates count.
+
+    ``dedup_events``: ranges that begin (or end) at the same position count as one beginning (or end), so that depth falls short where ranges share a bound.
+    """
+    events = _events(df, keys, 1, 0)
+    got = stepped(events.distinct() if dedup_events else events, keys, "pos", ["a"])
     return got.where("a > 0").select(*keys, F.col("pos").alias("lo"), (F.col("next_pos") - 1).alias("hi"), F.col("a").alias("depth"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.sequence import flag
+from spanloom.functions.sequence import flag, reference_length
 from spanloom.operators.ordered import prefix_sums
 
 Step = Callable[[DataFrame], DataFrame]
@@ -76,11 +76,15 @@ def mix(a: DataFrame, a_order: list[str], b: DataFrame, b_order: list[str]) -> D
     return x.join(y, "pos", "full")
 
 
+def demanded(df: DataFrame, ok: Column, message: str) -> DataFrame:
+    """The rows, or an error where ``ok`` isn't true of one; whichever columns are read."""
+    return df.where(F.when(ok, True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
 def zip_exact(a: DataFrame, a_order: list[str], b: DataFrame, b_order: list[str]) -> DataFrame:
     """As :func:`mix`, but a row without partner raises an error."""
     both = mix(a, a_order, b, b_order)
-    bad = F.col("a").isNull() | F.col("b").isNull()
-    return both.withColumn("pos", F.when(bad, F.raise_error(F.lit("the tables differ in length")).cast("bigint")).otherwise(F.col("pos")))
+    return demanded(both, F.col("a").isNotNull() & F.col("b").isNotNull(), "the tables differ in length")
 
 
 def zip_all(*parts: tuple[DataFrame, list[str]]) -> DataFrame:
@@ -89,10 +93,10 @@ def zip_all(*parts: tuple[DataFrame, list[str]]) -> DataFrame:
     for i, (df, order) in enumerate(parts):
         one = numbered(df, order).select("pos", F.struct(*df.columns).alias(f"t{i}"))
         out = one if out is None else out.join(one, "pos", "full")
-    bad = F.lit(False)
+    ok = F.lit(True)
     for i in range(len(parts)):
-        bad = bad | F.col(f"t{i}").isNull()
-    return out.withColumn("pos", F.when(bad, F.raise_error(F.lit("the tables differ in length")).cast("bigint")).otherwise(F.col("pos")))
+        ok = ok & F.col(f"t{i}").isNotNull()
+    return demanded(out, ok, "the tables differ in length")
 
 
 def first_bytes(df: DataFrame, order: list[str], size: Column, most: int) -> DataFrame:
@@ -148,6 +152,18 @@ def fragments(df: DataFrame, flags: str, mapq: str, min_mapq: int = 0) -> DataFr
     return df.where(flag("has_multiple_segments", x) & ~flag("is_unmapped", x) & flag("each_segment_is_properly_aligned", x) & (F.col(mapq) >= min_mapq))
 
 
+def covered(df: DataFrame, by: str = "cigar") -> DataFrame:
+    """chrom, lo, hi (closed) of aligned rows of SAM (rname, pos, cigar, seq): as far as the operations reach on the reference, or as many bases as the sequence has.
+
+    A row without reference, position or length is left out; by ``sequence``, a sequence of ``=`` or none is as long as its operations reach.
+    """
+    if by not in ("cigar", "sequence"):
+        raise ValueError(by)
+    reach = reference_length(F.col("cigar"))
+    n = reach if by == "cigar" else F.when(F.col("seq").isNull() | (F.col("seq") == "="), reach).otherwise(F.length("seq"))
+    return df.where(F.col("rname").isNotNull() & F.col("pos").isNotNull() & (n > 0)).select(F.col("rname").alias("chrom"), F.col("pos").cast("bigint").alias("lo"), (F.col("pos") + n - 1).cast("bigint").alias("hi"))
+
+
 def neighbours(df: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
     """Adds ``previous`` and ``next`` of ``column`` within a key."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.sequence import IUPAC, cigar, cigar_text, percent_encoded, phred_char, qualities
 from spanloom.operators.ordered import prefix_sums
 from spanloom.operators.packed import percent_decoded
+from spanloom.operators.streams import demanded
 
 
 def integer(c: Column) -> Column:
@@ -473,8 +474,9 @@ def probe_intensities(probes: DataFrame, cells: DataFrame, strict: bool = True)
     """
     side = lambda n: cells.select(F.col("x").cast("bigint").alias(f"{n}_x"), F.col("y").cast("bigint").alias(f"{n}_y"), F.col("mean").alias(n))
     both = probes.join(side("pm"), ["pm_x", "pm_y"], "left").join(side("mm"), ["mm_x", "mm_y"], "left")
-    sure = lambda n: F.coalesce(F.col(n), F.raise_error(F.lit(f"a probe's {n} cell is missing")).cast("double")) if strict else F.col(n)
-    return both.select(*probes.columns, sure("pm").alias("pm"), sure("mm").alias("mm"))
+    if strict:
+        both = demanded(both, F.col("pm").isNotNull() & F.col("mm").isNotNull(), "a probe's cell is missing")
+    return both.select(*probes.columns, "pm", "mm")
 
 
 def reference_names(alignments: DataFrame, references: DataFrame) -> DataFrame:

@@ -114,3 +114,116 @@ def search_answer(xml: Column) -> Column:
     """struct<count, retmax, retstart, ids> of a search service's XML answer."""
     leaf = lambda n: F.xpath_int(xml, F.lit(f"/eSearchResult/{n}"))
     return F.struct(leaf("Count").alias("count"), leaf("RetMax").alias("retmax"), leaf("RetStart").alias("retstart"), F.xpath(xml, F.lit("/eSearchResult/IdList/Id/text()")).alias("ids"))
+
+
+SUMMARIES = "file string, id string, item string, kind string, value string, error string"
+ARTICLES = "file string, pmid bigint, title string, abstract string, error string"
+GENES = "file string, locus string, allele string, description string, maploc string, db array<struct<db:string,tag:string>>, error string"
+NODES = "file string, owner_kind string, owner string, node int, parent int, position int, operator string, text string, error string"
+
+
+def _parsed(text: str) -> tuple[ET.Element | None, str | None]:
+    try:
+        return ET.fromstring(text), None
+    except ET.ParseError as e:
+        return None, str(e)
+
+
+def _find(e: ET.Element, tag: str) -> Iterator[ET.Element]:
+    return (x for x in e.iter() if _bare(x.tag) == tag)
+
+
+def _within(e: ET.Element, tag: str) -> str | None:
+    x = next(_find(e, tag), None)
+    return None if x is None else "".join(x.itertext()).strip() or None
+
+
+def summary_answers(df: DataFrame) -> DataFrame:
+    """Answers with document summaries: a row for each item of each document, with its declared type; items of a list are rows named by the list's path."""
+
+    def one(file: str, text: str) -> list[tuple]:
+        root, fault = _parsed(text)
+        out = [(file, None, None, None, None, fault)] if root is None else []
+        for doc in _find(root, "DocSum") if root is not None else ():
+            ident, todo = _within(doc, "Id"), [(x, "") for x in doc if _bare(x.tag) == "Item"]
+            while todo:
+                x, path = todo.pop(0)
+                name = f"{path}/{x.get('Name')}" if path else x.get("Name")
+                inner = [y for y in x if _bare(y.tag) == "Item"]
+                todo += [(y, name) for y in inner]
+                if not inner:
+                    out.append((file, ident, name, x.get("Type"), (x.text or "").strip() or None, None))
+        return out
+
+    return _each(df, one, SUMMARIES)
+
+
+def article_answers(df: DataFrame) -> DataFrame:
+    """Answers with articles: number, title and abstract (its parts joined by line ends) of each."""
+
+    def one(file: str, text: str) -> list[tuple]:
+        root, fault = _parsed(text)
+        if root is None:
+            return [(file, None, None, None, fault)]
+        whole = lambda e: "".join(e.itertext()).strip()
+        return [(file, int(p) if (p := _within(a, "PMID") or "").isascii() and p.isdigit() else None, _within(a, "ArticleTitle"), "\n".join(map(whole, _find(a, "AbstractText"))) or None, None) for a in _find(root, "MedlineCitation")]
+
+    return _each(df, one, ARTICLES)
+
+
+def gene_answers(df: DataFrame) -> DataFrame:
+    """Answers with genes: locus, allele, description, map location and the database links of each gene reference."""
+
+    def one(file: str, text: str) -> list[tuple]:
+        root, fault = _parsed(text)
+        if root is None:
+            return [(file, None, None, None, None, None, fault)]
+        link = lambda t: {"db": _within(t, "Dbtag_db"), "tag": _within(t, "Object-id_id") or _within(t, "Object-id_str")}
+        return [(file, _within(g, "Gene-ref_locus"), _within(g, "Gene-ref_allele"), _within(g, "Gene-ref_desc"), _within(g, "Gene-ref_maploc"), [link(t) for t in _find(g, "Dbtag")], None) for g in _find(root, "Gene-ref")]
+
+    return _each(df, one, GENES)
+
+
+def math_nodes(df: DataFrame) -> DataFrame:
+    """Formulas of SBML models as trees: a row for each node, numbered within its owner, with its parent and place, the operator or leaf kind, and a leaf's text."""
+
+    def one(file: str, text: str) -> list[tuple]:
+        root, fault = _parsed(text)
+        if root is None:
+            return [(file, None, None, None, None, None, None, None, fault)]
+        out = []
+        for owner in root.iter():
+            for math in (c for c in owner if _bare(c.tag) == "math"):
+                n, todo = 0, [(c, None, i) for i, c in reversed(list(enumerate(math)))]
+                while todo:
+                    e, parent, i = todo.pop()
+                    children = list(e)
+                    tag = _bare(e.tag)
+                    if tag == "apply" and children:  # the first child names what is applied to the others
+                        tag, children = _bare(children[0].tag) if _bare(children[0].tag) != "ci" else (children[0].text or "").strip(), children[1:]
+                    out.append((file, _bare(owner.tag), owner.get("id") or owner.get("symbol") or owner.get("variable"), n, parent, i, tag, (e.text or "").strip() or None if tag in ("ci", "cn") else None, None))
+                    todo += [(c, n, k) for k, c in reversed(list(enumerate(children)))]
+                    n += 1
+        return out
+
+    return _each(df, one, NODES)
+
+
+# Typed attributes of the parts of a model.
+TYPED = {
+    "compartment": {"spatialDimensions": "int", "size": "double", "units": "string", "outside": "string", "constant": "boolean"},
+    "species": {"compartment": "string", "initialAmount": "double", "initialConcentration": "double", "substanceUnits": "string", "hasOnlySubstanceUnits": "boolean", "boundaryCondition": "boolean", "charge": "int", "constant": "boolean"},
+    "parameter": {"value": "double", "units": "string", "constant": "boolean"},
+    "reaction": {"reversible": "boolean", "fast": "boolean"},
+    "speciesReference": {"species": "string", "stoichiometry": "double"},
+    "modifierSpeciesReference": {"species": "string"},
+    "unit": {"kind": "string", "exponent": "int", "scale": "int", "multiplier": "double"},
+    "eventAssignment": {"variable": "string"},
+}
+
+
+def typed_parts(parts: DataFrame, kind: str) -> DataFrame:
+    """The parts of one kind from :func:`sbml` with typed columns; a value that is missing or not of its type is null."""
+    name, ident, parent, attrs, formula = (parts.columns[i] for i in (3, 2, 4, 5, 6))
+    cols = (F.col(attrs)[k].try_cast(t).alias(k) for k, t in TYPED[kind].items())
+    return parts.where(F.col(parts.columns[1]) == kind).select("file", F.col(ident).alias("id"), F.col(name).alias("name"), F.col(parent).alias("parent"), *cols, F.col(formula).alias("formula"))

@@ -250,5 +250,82 @@ def test_command_line(spark, tmp_path):
     assert out("range-set", a) == ["c\t1\t9", "d\t1\t2"]
     assert out("intersection", a, b) == ["c\t4\t7"]
     assert out("intersects", a, b) == ["c\t1\t5", "c\t6\t9"]
-    main(["random-bed", "5", str(tmp_path / "r")])
-    assert lines(spark, str(tmp_path / "r")).count() == 5
+    for kind in ("bed", "fastq", "fasta", "sam", "table"):
+        main(["random", kind, "5", str(tmp_path / f"r_{kind}")])
+    text = lambda path: [r["value"] for r in lines(spark, str(tmp_path / path)).orderBy("file", "line_no").collect()]
+    assert len(text("r_bed")) == 5 and len(text("r_fastq")) == 20 and len(text("r_sam")) == 5 and len(text("r_table")) == 5
+    (tmp_path / "r1.fastq").write_text("@a\nACGT\n+\nIIII\n@b\nACCC\n+\nII5I\n@c\nTTTT\n+\nIIII\n")
+    (tmp_path / "r2.fastq").write_text("@a\nGG\n+\nII\n@b\nGG\n+\nII\n@c\nGA\n+\nII\n")
+    reads = [str(tmp_path / "r1.fastq"), str(tmp_path / "r2.fastq")]
+    main(["demux", *reads, "--library", "one=R1:ACG:1:0", "--library", "two=R1:CC:2:0+R2:GG:1:0", "--output", str(tmp_path / "demux")])
+    assert text("demux/statistics") == ["one\t1\t1", "two\t1\t1", "undetermined\t1\t1"]
+    assert text("demux/read1/library=two") == ["@b", "ACCC", "+", "II5I"] and text("demux/read2/library=one")[1] == "GG"
+    (tmp_path / "short.fastq").write_text("@a\nGG\n+\nII\n")
+    with pytest.raises(Exception, match="differ in length"):
+        main(["demux", reads[0], str(tmp_path / "short.fastq"), "--library", "one=R1:ACG", "--output", str(tmp_path / "demux2")])
+    main(["transform", "fastq-to-fasta", reads[0], str(tmp_path / "t1")])
+    assert text("t1")[:2] == [">a", "ACGT"]
+    main(["transform", "fastq-to-sam", reads[0], str(tmp_path / "t2.sam")])
+    assert text("t2.sam")[0].split("\t")[:2] == ["a", "4"]
+    main(["transform", "sam-to-fastq", str(tmp_path / "t2.sam"), str(tmp_path / "t3")])
+    assert {"ACCC", "ACGT", "TTTT"} <= set(text("t3"))
+    (tmp_path / "x.sam").write_text("r\t0\tc\t5\t60\t2M2D1M\t*\t0\t0\tACG\t*\nq\t0\tc\t5\t60\t3M\t*\t0\t0\tACG\t*\n")
+    main(["alignments", str(tmp_path / "x.sam"), str(tmp_path / "t5")])
+    assert text("t5") == ["c\t5\t7\t2", "c\t8\t9\t1"]
+    main(["alignments", str(tmp_path / "x.sam"), str(tmp_path / "t6"), "--by", "sequence", "--dedup-events"])
+    assert text("t6") == ["c\t5\t7\t1"]
+    main(["info"])
+    main(["entrez", "gene", "a b", "--most", "5"])
+
+
+def test_reader_of_any_suffix(spark, tmp_path):
+    from spanloom.sources.readers import read
+
+    (tmp_path / "a.gff3").write_text("c%20d\ts\tf\t1\t2\t.\t+\t.\tID=x\n")
+    assert read(spark, str(tmp_path / "a.gff3")).first()["seqname"] == "c d"
+    with pytest.raises(ValueError):
+        read(spark, str(tmp_path / "a.what"))
+
+
+def test_matrices(spark):
+    from spanloom.functions import matrix
+
+    df = spark.createDataFrame([([[1, 2, 3], [4, 5, 6]],), ([[1], [2, 3]],), ([],), ([[], []],)], "m array<array<int>>").select(
+        matrix.row(F.col("m"), 1).alias("r"), matrix.column(F.col("m"), 1).alias("c"), matrix.transposed(F.col("m")).alias("t"))
+    got = df.collect()
+    assert got[0]["r"] == [4, 5, 6] and got[0]["c"] == [2, 5] and got[0]["t"] == [[1, 4], [2, 5], [3, 6]]
+    assert got[1]["t"] is None and got[1]["c"] == [None, 3] and got[2]["t"] == [] and got[3]["t"] == [] and got[2]["r"] is None
+
+
+def test_answers_and_formula_trees(spark):
+    docs = spark.createDataFrame([("a", """<eSummaryResult><DocSum><Id>7</Id><Item Name="T" Type="String">x</Item><Item Name="L" Type="List"><Item Name="P" Type="String">p</Item></Item></DocSum></eSummaryResult>"""), ("b", "<")], "file string, content string")
+    got = xml.summary_answers(docs).collect()
+    assert [(r["id"], r["item"], r["value"]) for r in got if r["error"] is None] == [("7", "T", "x"), ("7", "L/P", "p")] and sum(r["error"] is not None for r in got) == 1
+    arts = spark.createDataFrame([("a", "<S><MedlineCitation><PMID>12</PMID><ArticleTitle>A <i>b</i></ArticleTitle><AbstractText>x</AbstractText><AbstractText>y</AbstractText></MedlineCitation></S>")], "file string, content string")
+    assert [tuple(r)[1:4] for r in xml.article_answers(arts).collect()] == [(12, "A b", "x\ny")]
+    genes = spark.createDataFrame([("a", "<S><Gene-ref><Gene-ref_locus>TP53</Gene-ref_locus><Gene-ref_db><Dbtag><Dbtag_db>HGNC</Dbtag_db><Dbtag_tag><Object-id><Object-id_id>11998</Object-id_id></Object-id></Dbtag_tag></Dbtag></Gene-ref_db></Gene-ref></S>")], "file string, content string")
+    g = xml.gene_answers(genes).first()
+    assert g["locus"] == "TP53" and [tuple(x) for x in g["db"]] == [("HGNC", "11998")]
+    model = spark.createDataFrame([("m", """<sbml><model id="m"><species id="s" compartment="c" initialAmount="1.5" constant="true"/><reaction id="r"><kineticLaw><math><apply><times/><ci>k</ci><apply><plus/><cn>1</cn><ci>s</ci></apply></apply></math></kineticLaw></reaction></model></sbml>""")], "file string, content string")
+    nodes = xml.math_nodes(model).orderBy("node").collect()
+    assert [(r["node"], r["parent"], r["operator"], r["text"]) for r in nodes] == [(0, None, "times", None), (1, 0, "ci", "k"), (2, 0, "plus", None), (3, 2, "cn", "1"), (4, 2, "ci", "s")]
+    s = xml.typed_parts(xml.sbml(model), "species").first()
+    assert (s["id"], s["initialAmount"], s["constant"], s["charge"]) == ("s", 1.5, True, None)
+
+
+def test_streams_of_sequences_and_steps(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    parts = [[">a", "AC", "GT"], ["TT", ">b", "G"], [">"]]
+    wigs = [["fixedStep chrom=c start=10 step=5 span=2", "1"], ["2", "variableStep chrom=d"], ["7 3", "9"]]
+    src = "file string, line_no bigint, value string"
+    for name, frames, run in (("fa", parts, lambda x: stream.fasta_records(x, "file", "line_no")), ("wig", wigs, lambda x: stream.wig_values(codecs.wig(x), "file", "line_no"))):
+        folder, n = tmp_path / "in" / name, 0
+        for i, part in enumerate(frames):
+            spark.createDataFrame([("f", n + k, v) for k, v in enumerate(part)], src).coalesce(1).write.mode("append").parquet(str(folder / f"b{i}"))
+            n += len(part)
+        raw = spark.readStream.schema(src).option("maxFilesPerTrigger", 1).parquet(str(folder / "*"))
+        q = run(raw).writeStream.format("memory").queryName(f"q_{name}").option("checkpointLocation", str(tmp_path / f"c_{name}")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted((r["description"], r["sequence"]) for r in spark.table("q_fa").collect()) == [("a", "ACGTTT"), ("b", "G")]
+    got = sorted(map(tuple, spark.table("q_wig").collect()), key=str)
+    assert got == sorted([("f", "c", 10, 11, 1.0, None), ("f", "c", 15, 16, 2.0, None), ("f", "d", 7, 7, 3.0, None), ("f", None, None, None, None, "not_in_fixed_step_state")], key=str)
