@@ -10,7 +10,7 @@ from spanloom.llm.packing import fill_containers, token_counts
 from spanloom.llm.percentiles import measured, merged, percentiles, summaries
 from spanloom.llm.subjects import subjects
 from spanloom.llm.topn import top_n
-from spanloom.runtime import table
+from spanloom.runtime import table, written
 
 QS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
@@ -31,6 +31,19 @@ def p1_combined_days(s: SparkSession, d: str) -> DataFrame:
     return merged(summaries(_measures(s, d, ("day",))), ["src"], QS)
 
 
+def p1_combined_bound(s: SparkSession, d: str) -> DataFrame:
+    """Whether the true rank of each combined percentile lies within the stated bound: one step of the summaries, and a rank a summary."""
+    rows = written(_measures(s, d, ("day",)).select("src", "id", "grp", "value").distinct(), "values")
+    parts = summaries(_measures(s, d, ("day",)))
+    got = merged(parts, ["src"], QS)
+    days = parts.groupBy("src").agg(F.count("*").alias("summaries"), F.max("error").alias("error"))
+    # a dozen percentiles, counted against all values
+    both = rows.join(F.broadcast(got.withColumnRenamed("value", "v")), "src")
+    ranks = both.groupBy("src", "n", "q").agg(F.count_if(F.col("value") < F.col("v")).alias("below"), F.count_if(F.col("value") <= F.col("v")).alias("upto")).join(days, "src")
+    slack = F.col("error") * F.col("n") + F.col("summaries") + 1
+    return ranks.select("src", "n", "q", ((F.col("below") <= F.col("q") * F.col("n") + slack) & (F.col("upto") >= F.col("q") * F.col("n") - slack)).alias("within"))
+
+
 def p3_found(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "peaks").where("sample_id IS NOT NULL AND chr IS NOT NULL")
     return top_n(rows, ["sample_id", "chr"], ["log10qvalue", "fold_enrichment"], "peak_id", 5)
@@ -54,6 +67,18 @@ def p8_containers(s: SparkSession, d: str) -> DataFrame:
     return _filled(s, d)
 
 
+def p8_packing(s: SparkSession, d: str) -> DataFrame:
+    """Whether no container overflows, every document is there with all its tokens and whole unless it exceeds a container, and at most a hundredth of the space is left over beside each shard's last container."""
+    sizes = written(token_counts(table(s, d, "documents"), "doc_id", "text"), "sizes")
+    n = sizes.count()
+    put = written(fill_containers(sizes, n, CAPACITY), "containers")
+    per = put.groupBy("id").agg(F.sum("size").alias("size"), F.count("*").alias("pieces"), F.min("pieces").alias("said"))
+    docs = sizes.join(per, "id", "left").agg(F.min((F.col("size") == F.col("tokens")) & (F.col("pieces") == F.greatest(F.ceil(F.col("tokens") / CAPACITY), F.lit(1))) & (F.col("pieces") == F.col("said"))).alias("nothing_lost"))
+    bins = put.where("size > 0").groupBy("shard", "bin").agg(F.sum("size").alias("size"))
+    filled = bins.agg((F.max("size") <= CAPACITY).alias("no_overflow"), (F.sum("size") >= 0.99 * CAPACITY * (F.count("*") - F.countDistinct("shard"))).alias("well_filled"))
+    return docs.crossJoin(F.broadcast(filled))  # one row each
+
+
 def p9_found(s: SparkSession, d: str) -> DataFrame:
     return leaks(table(s, d, "documents"), "doc_id", "text", table(s, d, "benchmark"), "item_id", "text")
 
@@ -66,8 +91,8 @@ def p10_found(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_percentiles": p1_percentiles, "p1_combined_days": p1_combined_days, "p3_found": p3_found,
-        "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found,
+        "p1_percentiles": p1_percentiles, "p1_combined_days": p1_combined_days, "p1_combined_bound": p1_combined_bound, "p3_found": p3_found,
+        "p8_found": p8_found, "p8_containers": p8_containers, "p8_packing": p8_packing, "p9_found": p9_found, "p10_found": p10_found,
     }
 
 
@@ -88,6 +113,8 @@ ORACLE = {
     "p1_percentiles": _VALUES
     + f", l AS (SELECT src, dim, grp, CAST(count(*) AS BIGINT) AS n, quantile_cont(v, {QS}) AS vs FROM vals WHERE grp IS NOT NULL GROUP BY ALL)\n"
     + f"SELECT src, dim, grp, n, CAST(unnest({QS}) AS DOUBLE) AS q, round(unnest(vs), 8) AS value FROM l",
+    "p1_combined_bound": _VALUES + f", l AS (SELECT src, count(*) AS n FROM vals WHERE dim = 'day' AND grp IS NOT NULL GROUP BY src) SELECT src, CAST(n AS BIGINT) AS n, CAST(unnest({QS}) AS DOUBLE) AS q, true AS within FROM l",
+    "p8_packing": "SELECT true AS nothing_lost, true AS no_overflow, true AS well_filled",
     "p3_found": """
 SELECT sample_id, chr, rnk, peak_id FROM (
   SELECT sample_id, chr, peak_id, CAST(row_number() OVER (PARTITION BY sample_id, chr
