@@ -150,6 +150,10 @@ def qualities(s: Column, offset: int = 33) -> Column:
     return F.transform(F.split(s, "(?<=.)(?=.)"), lambda c: phred_of_char(c, offset))
 
 
+#: What a CIGAR string is.
+CIGAR = r"^(\*|(0*[1-9]\d*[MIDNSHP=X])+)$"
+
+
 def cigar(s: Column) -> Column:
     """array<struct<len,op>> of a CIGAR string, empty for ``*``; null where it is malformed or a length isn't above 0."""
     parts = F.transform(F.regexp_extract_all(s, F.lit(r"(\d+[MIDNSHP=X])"), 1), lambda p: F.struct(F.regexp_extract(p, r"^\d+", 0).try_cast("int").alias("len"), F.right(p, F.lit(1)).alias("op")))

@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.arrow import codes, starts
 from spanloom.runtime import written
 
 #: Stretches that all positions are divided into, with about equally many rows each.
@@ -77,6 +79,68 @@ def prefix_sums(df: DataFrame, order: list[str], values: list[str], descending:
     return both.select(*df.columns, *((F.col(f"{v}_to") + F.col(f"__{v}")).alias(f"{v}_to") for v in values))
 
 
+def carried(df: DataFrame, order: list[str], mark: Column, state: Column, reset: list[str]) -> DataFrame:
+    """Adds ``carried``: ``state`` (a struct) of the last row at or before this one in ``order`` for which ``mark`` holds and whose ``reset`` columns are equal; null before the first.
+
+    Rows must be unique in ``order``, which begins with the ``reset`` columns. They are range-partitioned and filled within each partition; of a partition
+    only its last marked row is gathered, for the rows of the next ones that come before their first.
+    """
+    rows = df.withColumn("__s", F.when(mark, state))
+    cols = [F.asc(c) for c in order]
+    kind = rows.schema["__s"].dataType.simpleString()
+    filled = rows.repartitionByRange(*cols).sortWithinPartitions(*cols).mapInArrow(_filled(reset), f"{', '.join(f'`{c}` {t}' for c, t in df.dtypes)}, __s {kind}, __pid int, __last boolean")
+    local = written(filled, "carried")
+    # one row a partition
+    last = local.where("__last").select("__pid", *(F.col(c).alias(f"__r{i}") for i, c in enumerate(reset)), F.col("__s").alias("__end"))
+    before = Window.partitionBy(*(f"__r{i}" for i in range(len(reset)))).orderBy("__pid").rowsBetween(Window.unboundedPreceding, 0)
+    ends = last.withColumn("__end", F.last("__end", True).over(before)).select(*(f"__r{i}" for i in range(len(reset))), "__end", F.col("__pid").alias("__from"), F.lead("__pid").over(Window.partitionBy(*(f"__r{i}" for i in range(len(reset)))).orderBy("__pid")).alias("__to"))
+    same = [F.col(c).eqNullSafe(F.col(f"__r{i}")) for i, c in enumerate(reset)]
+    open_ = local.where("__s IS NULL").join(F.broadcast(ends), [*same, F.col("__pid") > F.col("__from"), F.col("__to").isNull() | (F.col("__pid") <= F.col("__to"))], "left")
+    out = [*df.columns]
+    return local.where("__s IS NOT NULL").select(*out, F.col("__s").alias("carried")).unionByName(open_.select(*out, F.col("__end").alias("carried")))
+
+
+def _filled(reset: list[str]):
+    """Forward fill of ``__s`` within runs of equal ``reset`` columns of a sorted partition; its last row is marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, key, state, held = TaskContext.get().partitionId(), None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held is not None:
+                yield held
+            t = pa.Table.from_batches([b])
+            run_of = codes(t, reset)
+            s = t.column("__s").combine_chunks()
+            there = s.is_valid().to_numpy(zero_copy_only=False)
+            first = starts(run_of)
+            begin = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+            at = np.maximum.accumulate(np.where(there, np.arange(len(first)), -1))
+            at = np.where(at >= begin, at, -1)
+            mine = tuple(t.column(c)[0].as_py() for c in reset)
+            # rows of the run that the batch before ended with take its state
+            goes_on = (begin == 0) & (at < 0) & (mine == key)
+            filled = s.take(pa.array(np.where(at >= 0, at, 0), mask=at < 0))
+            if state is not None and goes_on.any():
+                filled = pa.compute.if_else(pa.array(goes_on), pa.scalar(state, s.type), filled)
+            end = tuple(t.column(c)[-1].as_py() for c in reset)
+            state = filled[-1].as_py()
+            key = end
+            held = _with(t, filled, pid, False)
+        if held is not None:
+            yield _with(pa.Table.from_batches([held]).drop_columns(["__pid", "__last"]), held.column("__s"), pid, True)
+
+    return run
+
+
+def _with(t: pa.Table, s: pa.Array, pid: int, last: bool) -> pa.RecordBatch:
+    mark = np.zeros(t.num_rows, bool)
+    mark[-1] = last
+    t = t.drop_columns(["__s"]).append_column("__s", s).append_column("__pid", pa.array(np.full(t.num_rows, pid, np.int32))).append_column("__last", pa.array(mark))
+    return t.combine_chunks().to_batches()[0]
+
+
 def _sums(events: DataFrame, keys: list[str], pos: str, deltas: list[str]) -> DataFrame:
     """Events combined per position, in their stretches, each with the totals of the stretches before it (``__sum_``) and the first position after its stretch (``__next``)."""
     at = borders(events.where(F.col(pos).isNotNull()), pos)

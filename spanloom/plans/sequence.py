@@ -166,6 +166,11 @@ _SEQ = "WITH b AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g'
 _SCAN = _SEQ + """, c AS (SELECT doc_id, unnest(string_split(seq, '')) AS ch, unnest(range(length(seq))) AS pos FROM b WHERE length(seq) > 0),
 m(j, base, w) AS (VALUES """ + ", ".join(f"({i}, '{b}', {float(x)!r})" for i, row in enumerate(PWM) for b, x in zip("ACGT", row)) + """),
 h AS (SELECT doc_id, c.pos - m.j AS pos, sum(m.w) AS score, count(*) AS n FROM c JOIN m ON m.base = c.ch GROUP BY ALL HAVING count(*) = 6)"""
+TANDEM = motifs.tandem(PWM, PWM, 2, "inverted")
+# spacer positions score nothing, whatever the letter; a hit needs a letter at each of the others
+_TANDEM = _SEQ + """, c AS (SELECT doc_id, length(seq) AS size, unnest(string_split(seq, '')) AS ch, unnest(range(length(seq))) AS pos FROM b WHERE length(seq) > 0),
+m(j, base, w) AS (VALUES """ + ", ".join(f"({i}, '{b}', {float(x)!r}::DOUBLE)" for i, row in enumerate(TANDEM) for b, x in zip("ACGT", row)) + f"""),
+h AS (SELECT doc_id, c.pos - m.j AS pos, sum(m.w ORDER BY m.j) AS score FROM c JOIN m ON m.base = c.ch GROUP BY ALL HAVING count(*) = {len(TANDEM)})"""
 _FLAG = "WITH f AS (SELECT l_orderkey, l_linenumber, CAST((l_orderkey * 7 + l_linenumber) & 4095 AS INTEGER) AS flag, CAST(l_quantity AS INTEGER) AS mapq, l_partkey - l_suppkey AS tlen, l_returnflag AS rname FROM lineitem)"
 _FRAG = _FLAG + ", k AS (SELECT * FROM f WHERE flag & 1 <> 0 AND flag & 4 = 0 AND flag & 2 <> 0 AND mapq >= 10)"
 _READS = """WITH r AS (SELECT o_orderkey, translate(reverse(lpad(CAST(o_orderkey AS VARCHAR), 10, '0')), '0123456789', 'ACGTACGTAC') AS r1, translate(lpad(CAST(o_custkey AS VARCHAR), 6, '0'), '0123456789', 'TGCATGCATG') AS r2 FROM orders),
@@ -194,6 +199,10 @@ round(pow(10.0, q / -10.0) / (1 + pow(10.0, q / -10.0)), 10) AS solexa_probabili
     "f17_reg2bin": """WITH r AS (SELECT bed_id, CAST(chrom_start AS INTEGER) AS a, CAST(chrom_end - 1 AS INTEGER) AS b FROM bed_features WHERE chrom_start >= 0 AND chrom_end > chrom_start)
 SELECT bed_id, CASE WHEN a >> 14 = b >> 14 THEN 4681 + (a >> 14) WHEN a >> 17 = b >> 17 THEN 585 + (a >> 17) WHEN a >> 20 = b >> 20 THEN 73 + (a >> 20) WHEN a >> 23 = b >> 23 THEN 9 + (a >> 23) WHEN a >> 26 = b >> 26 THEN 1 + (a >> 26) ELSE 0 END AS bin FROM r""",
     "q03_scan": _SCAN + "SELECT doc_id AS id, CAST(pos AS INTEGER) AS pos, round(score, 6) AS score FROM h WHERE score > 2.0",
+    "q01_pwm": """WITH p AS (SELECT motif_id, unnest(matrix) AS r, unnest(range(len(matrix))) AS pos FROM motifs WHERE motif_id IS NOT NULL AND len(matrix) > 0),
+s AS (SELECT motif_id, pos, list_transform(r, lambda x: ln((x + 0.25::DOUBLE) / list_sum(r) / 0.25::DOUBLE)) AS l FROM p), f AS (SELECT motif_id, pos, list_append(l, list_sum(l) * 0.25::DOUBLE) AS l FROM s)
+SELECT motif_id, CAST(pos AS INTEGER) AS pos, unnest(['A', 'C', 'G', 'T', 'N']) AS base, round(unnest(l), 9) AS score FROM f""",
+    "q02_tandem": _TANDEM + "SELECT doc_id AS id, count(*) AS n, CAST(max(pos) AS INTEGER) AS last FROM h WHERE score >= 1.0 GROUP BY 1",
     "q04_best_hit": _SCAN.replace("sum(m.w)", "sum(m.w::DOUBLE ORDER BY m.j)") + "SELECT doc_id AS id, round((max({'s': score, 'p': pos})).s, 6) AS score, (max({'s': score, 'p': pos})).p AS pos FROM h GROUP BY 1",
     "q05_demux": _READS + "SELECT * FROM h UNION ALL SELECT o_orderkey, 'undetermined', 0 FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM h)",
     "q05_demux_exclusive": _READS + """, s AS (SELECT o_orderkey, any_value(library) AS library, any_value(mismatches) AS mismatches, count(*) AS n FROM h GROUP BY 1),

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.sequence import IUPAC, cigar, cigar_text, percent_encoded, phred_char, qualities
-from spanloom.operators.ordered import prefix_sums
+from spanloom.functions.sequence import CIGAR, IUPAC, cigar, cigar_text, percent_encoded, phred_char, qualities
+from spanloom.operators.ordered import carried, prefix_sums
 from spanloom.operators.packed import percent_decoded
 from spanloom.operators.streams import demanded
 
@@ -194,16 +194,17 @@ def sam(df: DataFrame) -> DataFrame:
     """Alignments of SAM lines; header lines (``@``) are left out. ``*``, 0 and 255 in their fields are null."""
     f = _split(df.where("NOT startswith(value, '@')"))
     star = lambda c: F.when(c != "*", c)
-    num = lambda i, lo, hi: F.when(integer(_f(i)).between(lo, hi), integer(_f(i)).cast("int"))
-    flag, pos, mapq, pnext, tlen = num(1, 0, 65535), num(3, 0, 2147483647), num(4, 0, 255), num(7, 0, 2147483647), num(8, -2147483647, 2147483647)
-    ops = cigar(_f(5))
+    # fields that several tests and columns use are read once, in a projection of their own
     tags = F.transform(F.slice("__f", 12, F.greatest(_N() - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("tag"), F.substring(t, 4, 1).alias("type"), F.substr(t, F.lit(6)).alias("value")))
-    tags = F.filter(tags, lambda t: t["tag"] != "")
-    good = lambda t: _any([(t["type"] == k) & t["value"].rlike(p) for k, p in OPTIONAL.items()])
+    f = f.withColumns({**{f"__i{i}": integer(_f(i)) for i in (1, 3, 4, 7, 8)}, "__tags": F.filter(tags, lambda t: t["tag"] != "")})
+    num = lambda i, lo, hi: F.when(F.col(f"__i{i}").between(lo, hi), F.col(f"__i{i}").cast("int"))
+    flag, pos, mapq, pnext, tlen = num(1, 0, 65535), num(3, 0, 2147483647), num(4, 0, 255), num(7, 0, 2147483647), num(8, -2147483647, 2147483647)
+    ops, tags = cigar(_f(5)), F.col("__tags")
+    tag = "^(?:|[A-Za-z][A-Za-z0-9]:(?:" + "|".join(f"{k}:{p[1:-1]}" for k, p in OPTIONAL.items()) + "))$"
     tests = [
         ("column_count", _N() >= 11), ("qname", _f(0).rlike(r"^(\*|[!-?A-~]{1,255})$")), ("flag", flag.isNotNull()), ("rname", _f(2).rlike(r"^(\*|[!-()+-<>-~][!-~]*)$")), ("pos", pos.isNotNull()), ("mapq", mapq.isNotNull()),
-        ("cigar", ops.isNotNull()), ("rnext", _f(6).rlike(r"^(\*|=|[!-()+-<>-~][!-~]*)$")), ("pnext", pnext.isNotNull()), ("tlen", tlen.isNotNull()), ("seq", _f(9).rlike(r"^(\*|[A-Za-z=.]+)$")),
-        ("qual", (_f(10) == "*") | (_f(10).rlike("^[!-~]+$") & ((_f(9) == "*") | (F.length(_f(9)) == F.length(_f(10)))))), ("tags", F.forall(tags, lambda t: t["tag"].rlike("^[A-Za-z][A-Za-z0-9]$") & good(t))),
+        ("cigar", _f(5).rlike(CIGAR)), ("rnext", _f(6).rlike(r"^(\*|=|[!-()+-<>-~][!-~]*)$")), ("pnext", pnext.isNotNull()), ("tlen", tlen.isNotNull()), ("seq", _f(9).rlike(r"^(\*|[A-Za-z=.]+)$")),
+        ("qual", (_f(10) == "*") | (_f(10).rlike("^[!-~]+$") & ((_f(9) == "*") | (F.length(_f(9)) == F.length(_f(10)))))), ("tags", F.forall(F.slice("__f", 12, F.greatest(_N() - 11, F.lit(0))), lambda t: t.rlike(tag))),
     ]
     return f.select(
         "file", "line_no", star(_f(0)).alias("qname"), flag.alias("flag"), star(_f(2)).alias("rname"), F.when(pos > 0, pos).alias("pos"), F.when(mapq < 255, mapq).alias("mapq"), ops.alias("cigar"),
@@ -317,10 +318,11 @@ def wig(df: DataFrame, comments: bool = True) -> DataFrame:
 def wig_bed_graph(items: DataFrame, zero_based: bool = False) -> DataFrame:
     """file, line_no, chrom, lo, hi (closed), val, error of every value, by the declaration in force. Faulty items keep their error."""
     decl = F.col("kind").isin("fixed", "variable") & F.col("error").isNull()
-    rows = _counted(items.where("kind IS NULL OR kind <> 'comment'"), d=decl, n=(F.col("kind") == "fixed_value") & F.col("error").isNull())
-    state = rows.where(decl).select(F.col("file").alias("__file"), F.col("d_to").alias("__d"), F.col("kind").alias("__kind"), *(F.col(c).alias(f"__{c}") for c in ("chrom", "start", "step", "span")), F.col("n_to").alias("__n"))
+    rows = _counted(items.where("kind IS NULL OR kind <> 'comment'"), n=(F.col("kind") == "fixed_value") & F.col("error").isNull())
     # a file starts without a declaration: that of another file doesn't hold
-    both = rows.where(~decl).join(state, (F.col("d_to") == F.col("__d")) & (F.col("file") == F.col("__file")), "left")
+    held = F.struct("kind", "chrom", "start", "step", "span", F.col("n_to").alias("n"))
+    both = carried(rows, ["file", "line_no"], decl, held, ["file"]).where(~decl)
+    both = both.select("*", *(F.col("carried")[c].alias(f"__{c}") for c in ("kind", "chrom", "start", "step", "span", "n")))
     k, span = F.col("kind"), F.coalesce(F.col("__span"), F.lit(1))
     lo = F.when(k == "bed_graph", F.col("lo") + (1 if zero_based else 0)).when(k == "variable_value", F.col("lo")).otherwise(F.col("__start") + F.col("__step") * (F.col("n_to") - F.col("__n") - 1))
     state_error = F.when((k == "variable_value") & ~F.col("__kind").eqNullSafe("variable"), "not_in_variable_step_state").when((k == "fixed_value") & ~F.col("__kind").eqNullSafe("fixed"), "not_in_fixed_step_state")
