@@ -130,18 +130,26 @@ def regions(df: DataFrame, keys: list[str], passing: Column, max_gap: int) -> Da
     return merge(near, keys).select(*keys, "lo", (F.col("hi") - max_gap).alias("hi"))
 
 
-def bin_width(*frames: DataFrame) -> int:
-    """At least the mean width of all ranges, so that bins multiply the rows by three at most."""
+#: Bins of a range that one row makes at once; a longer range is parted into rows of so many first.
+PART = 1024
+
+
+def bin_width(*frames: DataFrame) -> tuple[int, bool]:
+    """At least the mean width of all ranges, so that bins multiply the rows by three at most; and whether some range has so many bins that they are more than a task's work."""
     total = None
     for f in frames:
         part = valid(f).select((F.col("hi") - F.col("lo") + 1).alias("w"))
         total = part if total is None else total.unionByName(part)
-    mean = total.agg(F.avg("w").alias("m")).first()["m"]
-    return 1 << max(0, int(mean or 1).bit_length())
+    got = total.agg(F.avg("w").alias("m"), F.max("w").alias("most")).first()
+    width = 1 << max(0, int(got["m"] or 1).bit_length())
+    return width, (got["most"] or 0) // width > PART * PART
 
 
-def _binned(df: DataFrame, width: int) -> DataFrame:
-    return df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+def _binned(df: DataFrame, width: int, far: bool) -> DataFrame:
+    first, last = F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)
+    parts = df.withColumn("__part", F.explode(F.sequence(first, last, F.lit(PART).cast("bigint"))))
+    parts = parts.repartition("__part", "lo", "hi") if far else parts
+    return parts.withColumn("__bin", F.explode(F.sequence(F.col("__part"), F.least(F.col("__part") + PART - 1, last)))).drop("__part")
 
 
 def overlaps(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,9 +157,9 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
     Both sides are joined on (key, bin); a pair comes out of the bin in which its overlap begins.
     """
-    width = bin_width(a, b)
-    left = _binned(valid(a), width)
-    right = _binned(valid(b), width).select(*(F.col(c).alias(f"{c}_b") for c in [*b.columns, "__bin"]))
+    width, far = bin_width(a, b)
+    left = _binned(valid(a), width, far)
+    right = _binned(valid(b), width, far).select(*(F.col(c).alias(f"{c}_b") for c in [*b.columns, "__bin"]))
     on = [F.col(k) == F.col(f"{k}_b") for k in keys] + [F.col("__bin") == F.col("__bin_b")]
     pairs = left.join(right, on).where((F.col("lo") <= F.col("hi_b")) & (F.col("lo_b") <= F.col("hi")) & (F.floor(F.greatest("lo", "lo_b") / width) == F.col("__bin")))
     return pairs.drop("__bin", "__bin_b", *(f"{k}_b" for k in keys))

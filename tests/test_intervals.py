@@ -152,6 +152,15 @@ def test_borders_are_found_by_two_rounds_of_comparisons(spark):
         assert all(r["b"] == sum(a <= r["x"] for a in at) for r in got)
 
 
+def test_a_range_of_many_bins(spark, monkeypatch):
+    monkeypatch.setattr(iv, "PART", 8)
+    rows = [("a", i * 10, i * 10 + 4) for i in range(300)] + [("a", -50, 1 << 20)]
+    df = frame(spark, rows)
+    assert iv.bin_width(df)[1]
+    assert iv.overlaps(df, frame(spark, [("a", 2000, 2020)]), ["chrom"]).count() == 4
+    assert iv.overlaps(df, df, ["chrom"]).count() == 301 + 2 * 300
+
+
 def test_points_and_single_ranges(spark):
     x = spark.createDataFrame([(1, 1, 3), (1, 2, 9), (2, 4, 4), (3, 5, 4)], "k bigint, lo bigint, hi bigint")
     got = {r["k"]: r for r in iv.adjacency(x.withColumn("p", F.lit(0)), ["k"], "p").collect()}
