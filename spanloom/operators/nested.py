@@ -30,13 +30,10 @@ class Edge:
     repeated: bool
 
 
-class _Number(str):
-    """A JSON number as it was written."""
-
-
 def _load(text: str | None):
     try:
-        x = json.loads(text, parse_int=_Number, parse_float=_Number) if text is not None else None
+        # numbers stay as they were written
+        x = json.loads(text, parse_int=str, parse_float=str) if text is not None else None
     except (ValueError, RecursionError) as e:
         return None, type(e).__name__
     return (x, None) if isinstance(x, (dict, list)) else (None, "not an object")
@@ -171,7 +168,7 @@ class Shredded:
         src = df.where(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("doc"), F.col(payload).cast("string").alias("payload"))
         self.edges = schema_graph(src, "payload") | set(declared)
         self.tables = tables_of(self.edges)
-        self.rows = written(src.mapInArrow(_shredder(self.tables - set(inlined)), _SHRED), "shredded")
+        self.rows = written(src.mapInArrow(_shredder(self.tables - set(inlined)), _SHRED), "shredded", "tab")
 
     def df(self, name: str, columns: dict[str, str] | None = None) -> DataFrame:
         """One table: doc, row_id, parent_tab, parent_id, path, ord, shape (object, list or value) and the named columns (column name -> inlined path, see :func:`escaped`)."""

@@ -35,15 +35,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and return its scan; removed by :func:`clear`, or when the JVM ends."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and return its scan; removed by :func:`clear`, or when the JVM ends.
+
+    ``by``: a column of few values, each of which gets files of its own, so that a reader of one value reads no other.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     there, fs = _place(spark, path)
     fs.deleteOnExit(there)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def _place(spark: SparkSession, path: str):
