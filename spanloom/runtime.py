@@ -69,7 +69,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, for work that costs much more than its input's bytes suggest. Runs no job: the plan's size decides."""
+    """``df`` over at least as many partitions as there are cores, for work that costs much more than its input's bytes suggest. Runs no job: the size of what the plan reads decides."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df if size >= _LEAST_SPLIT * cores else df.repartition(2 * cores)
