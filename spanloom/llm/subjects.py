@@ -184,22 +184,35 @@ class _Batch:
     sent_doc: np.ndarray
 
 
-def _batches(batches: Iterator[pa.RecordBatch], slot: np.ndarray) -> Iterator[_Batch]:
-    """``slot``: place of each bucket among the terms that weigh, -1 for the others, which are left out."""
+def _active(slot: np.ndarray):
+    """``slot``: place of each bucket among the terms that weigh, -1 for the others, which are left out, as are sentences without any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lens = b.column("lens").flatten().to_numpy()
+            ids = slot[b.column("ids").flatten().to_numpy()]
+            there = ids >= 0
+            left = np.bincount(np.repeat(np.arange(len(lens)), lens)[there], minlength=len(lens))
+            doc = np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(b.column("lens")).to_numpy())
+            tokens = np.bincount(doc, left, minlength=b.num_rows).astype(np.int64)
+            yield pa.record_batch([b.column("id"), b.column("kind"), _lists(left[left > 0], np.bincount(doc[left > 0], minlength=b.num_rows)), _lists(ids[there], tokens)], ["id", "kind", "lens", "ids"])
+
+    return run
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
     for b in (big.slice(k, DOCS) for big in batches for k in range(0, big.num_rows, DOCS)):
         lens = b.column("lens").flatten().to_numpy()
-        ids = slot[b.column("ids").flatten().to_numpy()]
-        there = ids >= 0
         per = pa.compute.list_value_length(b.column("lens")).to_numpy()
-        yield _Batch(b.column("id").to_numpy(), b.column("kind").to_pylist(), ids[there].astype(np.int64), np.repeat(np.arange(len(lens)), lens)[there], np.repeat(np.arange(b.num_rows), per))
+        yield _Batch(b.column("id").to_numpy(), b.column("kind").to_pylist(), b.column("ids").flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(lens)), lens), np.repeat(np.arange(b.num_rows), per))
 
 
-def _summed(ids: DataFrame, slot: np.ndarray, fn: Callable[..., None], *shapes: tuple[int, int]) -> list[np.ndarray]:
+def _summed(ids: DataFrame, fn: Callable[..., None], *shapes: tuple[int, int]) -> list[np.ndarray]:
     """Sums over all documents of matrices that ``fn(batch, *matrices)`` adds to; partial matrices meet block by block of rows, on the executors."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = [np.zeros(x) for x in shapes]
-        for b in _batches(batches, slot):
+        for b in _batches(batches):
             fn(b, *totals)
         for m, total in enumerate(totals):
             for k in range(0, len(total), BLOCK):
@@ -367,12 +380,13 @@ def subjects(docs: DataFrame, doc_id: str, text: str, kind: Column, labels: Data
     idf = -np.log(np.array([r["share"] if r["share"] else 1.0 for r in found]))
     idf = idf if idf.max() > 0 else np.ones(len(idf))
     many = len(names)
-    active = idf >= -np.log(min(0.5, cfg.common / many))
-    active = active if active.any() else idf > 0  # few documents: every term is common
-    weight = (idf[active] / idf.max()).astype(np.float32)
+    weighs = idf >= -np.log(min(0.5, cfg.common / many))
+    weighs = weighs if weighs.any() else idf > 0  # few documents: every term is common
+    weight = (idf[weighs] / idf.max()).astype(np.float32)
     size = len(weight)
     slot = np.full(cfg.buckets, -1, np.int32)
-    slot[np.array([r["ids"] for r in found])[active]] = np.arange(size)
+    slot[np.array([r["ids"] for r in found])[weighs]] = np.arange(size)
+    active = written(ids.mapInArrow(_active(slot), _TERMS), "active")
     groups = [(s, k) for s in range(many) for k in range(len(kinds))]
 
     def decomposed(weight: np.ndarray, member: Callable[[_Batch], tuple[np.ndarray, np.ndarray, np.ndarray]], start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -391,7 +405,7 @@ def subjects(docs: DataFrame, doc_id: str, text: str, kind: Column, labels: Data
                     cells = slice(r.cuts[row], r.cuts[row] + r.count[row])
                     sums[r.term[cells], group] += part * r.value[cells]
 
-        image, sums = _summed(ids, slot, add, (size, way.shape[1]), (size, n))
+        image, sums = _summed(active, add, (size, way.shape[1]), (size, n))
         return components(way, image, cfg.components), sums.T
 
     def labelled(b: _Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -421,7 +435,7 @@ def subjects(docs: DataFrame, doc_id: str, text: str, kind: Column, labels: Data
         return add
 
     for _ in range(cfg.rounds):
-        fresh, count = _summed(ids, slot, refine(model), model.centre.shape, (size, many + 1))
+        fresh, count = _summed(active, refine(model), model.centre.shape, (size, many + 1))
         moved = np.linalg.norm(fresh, axis=1, keepdims=True) > 0
         model.centre = np.where(moved, _unit(fresh), model.centre).astype(np.float32)
 
@@ -441,7 +455,7 @@ def subjects(docs: DataFrame, doc_id: str, text: str, kind: Column, labels: Data
 
     def treated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = last.weight[:, None] ** 2 * last.basis
-        for b in _batches(batches, slot):
+        for b in _batches(batches):
             near = np.zeros((len(b.ident), many), bool)
             for r in _rows(b, last.weight):
                 near[np.ix_(r.docs, last.listed)] = last.cosines(r.embedded(last.basis))[1] >= cfg.near
@@ -458,4 +472,4 @@ def subjects(docs: DataFrame, doc_id: str, text: str, kind: Column, labels: Data
             d, s = np.nonzero(near & (per >= cfg.least))
             yield pa.record_batch([pa.array(b.ident[d]), pa.array([names[x] for x in s.tolist()], pa.string())], ["doc_id", "subject"])
 
-    return ids.mapInArrow(treated, "doc_id bigint, subject string").distinct()
+    return active.mapInArrow(treated, "doc_id bigint, subject string").distinct()
