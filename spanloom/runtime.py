@@ -14,14 +14,14 @@ _LEAST_SPLIT = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where it isn't set, a temporary one in local mode; elsewhere an error, as executors don't share local disks."""
+    """The folder in ``spark.checkpoint.dir``. Where it isn't set, a temporary one where all runs on one machine (local, local-cluster); elsewhere an error, as executors don't share local disks."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         app = spark.sparkContext.applicationId
         there = _own.get(app)
         if there is None:
             master = spark.sparkContext.master
-            if not (master == "local" or master.startswith("local[")):
+            if not master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             there = _own[app] = "file://" + tempfile.mkdtemp(prefix="spanloom-")
     if spark.sparkContext.getCheckpointDir() is None:
@@ -35,14 +35,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return its scan; removed by :func:`clear`, or when the JVM ends.
 
     ``by``: a column of few values, each of which gets files of its own, so that a reader of one value reads no other.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).options(**options).parquet(path)
     there, fs = _place(spark, path)
     fs.deleteOnExit(there)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
