@@ -79,65 +79,67 @@ def prefix_sums(df: DataFrame, order: list[str], values: list[str], descending:
     return both.select(*df.columns, *((F.col(f"{v}_to") + F.col(f"__{v}")).alias(f"{v}_to") for v in values))
 
 
-def carried(df: DataFrame, order: list[str], mark: Column, state: Column, reset: list[str]) -> DataFrame:
-    """Adds ``carried``: ``state`` (a struct) of the last row at or before this one in ``order`` for which ``mark`` holds and whose ``reset`` columns are equal; null before the first.
+def carried(df: DataFrame, order: list[str], mark: Column, state: Column, reset: list[str], counted: Column) -> DataFrame:
+    """Adds ``carried``: ``state`` (a struct) of the last row at or before this one in ``order`` for which ``mark`` holds and whose ``reset`` columns are equal, null before the first;
+    and ``since``: how many rows after that one, up to this, satisfy ``counted`` (before the first mark, since the first row).
 
-    Rows must be unique in ``order``, which begins with the ``reset`` columns. They are range-partitioned and filled within each partition; of a partition
-    only its last marked row is gathered, for the rows of the next ones that come before their first.
+    Rows must be unique in ``order``, which begins with the ``reset`` columns; a marked row isn't counted. They are range-partitioned and filled within each
+    partition; of a partition only its last row is gathered, for the rows of the next ones that come before their first mark.
     """
-    rows = df.withColumn("__s", F.when(mark, state))
+    rows = df.withColumns({"__s": F.when(mark, state), "__n": F.when(counted & ~mark, 1).otherwise(0).cast("bigint")})
     cols = [F.asc(c) for c in order]
     kind = rows.schema["__s"].dataType.simpleString()
-    filled = rows.repartitionByRange(*cols).sortWithinPartitions(*cols).mapInArrow(_filled(reset), f"{', '.join(f'`{c}` {t}' for c, t in df.dtypes)}, __s {kind}, __pid int, __last boolean")
+    filled = rows.repartitionByRange(*cols).sortWithinPartitions(*cols).mapInArrow(_filled(reset), f"{', '.join(f'`{c}` {t}' for c, t in df.dtypes)}, __s {kind}, __n bigint, __pid int, __last boolean")
     local = written(filled, "carried")
     # one row a partition
-    last = local.where("__last").select("__pid", *(F.col(c).alias(f"__r{i}") for i, c in enumerate(reset)), F.col("__s").alias("__end"))
-    before = Window.partitionBy(*(f"__r{i}" for i in range(len(reset)))).orderBy("__pid").rowsBetween(Window.unboundedPreceding, 0)
-    ends = last.withColumn("__end", F.last("__end", True).over(before)).select(*(f"__r{i}" for i in range(len(reset))), "__end", F.col("__pid").alias("__from"), F.lead("__pid").over(Window.partitionBy(*(f"__r{i}" for i in range(len(reset)))).orderBy("__pid")).alias("__to"))
-    same = [F.col(c).eqNullSafe(F.col(f"__r{i}")) for i, c in enumerate(reset)]
-    open_ = local.where("__s IS NULL").join(F.broadcast(ends), [*same, F.col("__pid") > F.col("__from"), F.col("__to").isNull() | (F.col("__pid") <= F.col("__to"))], "left")
-    out = [*df.columns]
-    return local.where("__s IS NOT NULL").select(*out, F.col("__s").alias("carried")).unionByName(open_.select(*out, F.col("__end").alias("carried")))
+    runs = [f"__r{i}" for i in range(len(reset))]
+    last = local.where("__last").select("__pid", *(F.col(c).alias(r) for c, r in zip(reset, runs, strict=True)), F.col("__s").alias("__end"), F.col("__n").alias("__more"))
+    w = Window.partitionBy(*runs).orderBy("__pid")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    ends = last.withColumn("__turn", F.count("__end").over(upto)).withColumns({"__end": F.last("__end", True).over(upto), "__more": F.sum("__more").over(Window.partitionBy(*runs, "__turn").orderBy("__pid").rowsBetween(Window.unboundedPreceding, 0)), "__to": F.lead("__pid").over(w)})
+    ends = ends.select(*runs, "__end", "__more", F.col("__pid").alias("__from"), "__to")
+    same = [F.col(c).eqNullSafe(F.col(r)) for c, r in zip(reset, runs, strict=True)]
+    before = local.where("__s IS NULL").join(F.broadcast(ends), [*same, F.col("__pid") > F.col("__from"), F.col("__to").isNull() | (F.col("__pid") <= F.col("__to"))], "left")
+    own = local.where("__s IS NOT NULL").select(*df.columns, F.col("__s").alias("carried"), F.col("__n").alias("since"))
+    return own.unionByName(before.select(*df.columns, F.col("__end").alias("carried"), (F.col("__n") + F.coalesce("__more", F.lit(0))).alias("since")))
 
 
 def _filled(reset: list[str]):
-    """Forward fill of ``__s`` within runs of equal ``reset`` columns of a sorted partition; its last row is marked."""
+    """Forward fill of ``__s``, and counts of ``__n`` since, within runs of equal ``reset`` columns of a sorted partition; its last row is marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, key, state, held = TaskContext.get().partitionId(), None, None, None
+        pid, key, state, more, held = TaskContext.get().partitionId(), None, None, 0, None
         for b in batches:
             if not b.num_rows:
                 continue
             if held is not None:
-                yield held
+                yield _with(*held, pid, False)
             t = pa.Table.from_batches([b])
-            run_of = codes(t, reset)
-            s = t.column("__s").combine_chunks()
-            there = s.is_valid().to_numpy(zero_copy_only=False)
-            first = starts(run_of)
-            begin = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-            at = np.maximum.accumulate(np.where(there, np.arange(len(first)), -1))
+            s, n = t.column("__s").combine_chunks(), t.column("__n").to_numpy()
+            there, rows = s.is_valid().to_numpy(zero_copy_only=False), np.arange(b.num_rows)
+            begin = np.maximum.accumulate(np.where(starts(codes(t, reset)), rows, 0))
+            at = np.maximum.accumulate(np.where(there, rows, -1))
             at = np.where(at >= begin, at, -1)
-            mine = tuple(t.column(c)[0].as_py() for c in reset)
-            # rows of the run that the batch before ended with take its state
-            goes_on = (begin == 0) & (at < 0) & (mine == key)
+            # rows of the run that the batch before ended with go on from its end
+            goes_on = (begin == 0) & (at < 0) & (tuple(t.column(c)[0].as_py() for c in reset) == key)
             filled = s.take(pa.array(np.where(at >= 0, at, 0), mask=at < 0))
             if state is not None and goes_on.any():
                 filled = pa.compute.if_else(pa.array(goes_on), pa.scalar(state, s.type), filled)
-            end = tuple(t.column(c)[-1].as_py() for c in reset)
-            state = filled[-1].as_py()
-            key = end
-            held = _with(t, filled, pid, False)
+            upto = np.concatenate([[0], np.cumsum(n)])
+            since = upto[1:] - upto[np.where(at >= 0, at, begin)] + np.where(goes_on, more, 0)
+            key, state, more = tuple(t.column(c)[-1].as_py() for c in reset), filled[-1].as_py(), int(since[-1])
+            held = t, filled, since
         if held is not None:
-            yield _with(pa.Table.from_batches([held]).drop_columns(["__pid", "__last"]), held.column("__s"), pid, True)
+            yield _with(*held, pid, True)
 
     return run
 
 
-def _with(t: pa.Table, s: pa.Array, pid: int, last: bool) -> pa.RecordBatch:
+def _with(t: pa.Table, s: pa.Array, since: np.ndarray, pid: int, last: bool) -> pa.RecordBatch:
     mark = np.zeros(t.num_rows, bool)
     mark[-1] = last
-    t = t.drop_columns(["__s"]).append_column("__s", s).append_column("__pid", pa.array(np.full(t.num_rows, pid, np.int32))).append_column("__last", pa.array(mark))
+    for name, col in (("__s", s), ("__n", pa.array(since.astype(np.int64))), ("__pid", pa.array(np.full(t.num_rows, pid, np.int32))), ("__last", pa.array(mark))):
+        t = (t.drop_columns([name]) if name in t.column_names else t).append_column(name, col)
     return t.combine_chunks().to_batches()[0]
 
 

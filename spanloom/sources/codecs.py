@@ -318,13 +318,14 @@ def wig(df: DataFrame, comments: bool = True) -> DataFrame:
 def wig_bed_graph(items: DataFrame, zero_based: bool = False) -> DataFrame:
     """file, line_no, chrom, lo, hi (closed), val, error of every value, by the declaration in force. Faulty items keep their error."""
     decl = F.col("kind").isin("fixed", "variable") & F.col("error").isNull()
-    rows = _counted(items.where("kind IS NULL OR kind <> 'comment'"), n=(F.col("kind") == "fixed_value") & F.col("error").isNull())
+    # null kinds are no declarations
+    decl = F.coalesce(decl, F.lit(False))
+    counts = F.coalesce((F.col("kind") == "fixed_value") & F.col("error").isNull(), F.lit(False))
     # a file starts without a declaration: that of another file doesn't hold
-    held = F.struct("kind", "chrom", "start", "step", "span", F.col("n_to").alias("n"))
-    both = carried(rows, ["file", "line_no"], decl, held, ["file"]).where(~decl)
-    both = both.select("*", *(F.col("carried")[c].alias(f"__{c}") for c in ("kind", "chrom", "start", "step", "span", "n")))
+    both = carried(items.where("kind IS NULL OR kind <> 'comment'"), ["file", "line_no"], decl, F.struct("kind", "chrom", "start", "step", "span"), ["file"], counts).where(~decl)
+    both = both.select("*", *(F.col("carried")[c].alias(f"__{c}") for c in ("kind", "chrom", "start", "step", "span")))
     k, span = F.col("kind"), F.coalesce(F.col("__span"), F.lit(1))
-    lo = F.when(k == "bed_graph", F.col("lo") + (1 if zero_based else 0)).when(k == "variable_value", F.col("lo")).otherwise(F.col("__start") + F.col("__step") * (F.col("n_to") - F.col("__n") - 1))
+    lo = F.when(k == "bed_graph", F.col("lo") + (1 if zero_based else 0)).when(k == "variable_value", F.col("lo")).otherwise(F.col("__start") + F.col("__step") * (F.col("since") - 1))
     state_error = F.when((k == "variable_value") & ~F.col("__kind").eqNullSafe("variable"), "not_in_variable_step_state").when((k == "fixed_value") & ~F.col("__kind").eqNullSafe("fixed"), "not_in_fixed_step_state")
     error = F.coalesce(F.col("error"), state_error)
     good = error.isNull()

@@ -188,3 +188,28 @@ def test_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         runtime.shared_dir(Far)
+
+
+def test_states_carried_over_partitions_and_batches(spark):
+    from spanloom.operators.ordered import carried
+
+    r = random.Random(5)
+    rows = [(r.choice("abb"), i, r.choice(["m", "c", "c", "x"]) if i > 60 else r.choice("cx")) for i in range(600)]
+    rows = [(f, i, "x" if f == "a" and k == "m" else k) for f, i, k in rows]
+    want, state, n = {}, {}, {}
+    for f, i, k in sorted(rows):
+        if k == "m":
+            state[f], n[f] = i, 0
+        elif k == "c":
+            n[f] = n.get(f, 0) + 1
+        want[f, i] = (state.get(f), n.get(f, 0))
+    df = spark.createDataFrame(rows, "f string, i bigint, k string")
+    for parts, batch in ((1, 1000), (7, 1000), (7, 10), (40, 3)):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = carried(df, ["f", "i"], F.col("k") == "m", F.struct("i"), ["f"], F.col("k") == "c").collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {(x["f"], x["i"]): (x["carried"]["i"] if x["carried"] else None, x["since"]) for x in got} == want and len(got) == len(rows)
