@@ -149,7 +149,7 @@ def blocks_and_gaps(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFra
     span = inside.agg(F.avg(met["hi"] - met["lo"]).alias("mean"), F.max("far").alias("far")).first()
     inside = inside.select(*ks, "p.lo", "p.hi").where("lo < hi")
     # few intervals cross from one zone to the next
-    at = borders(inside, "lo", 1 << int(8 * (span["mean"] or 1)).bit_length())
+    at = borders(inside, "lo", 1 << min(60, int(8 * (span["mean"] or 1)).bit_length()))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     key_schema = ", ".join(f"{k} {kinds[k]}" for k in ks)
     cut = spread(inside).mapInArrow(_blocks(ks, at), f"{key_schema}, zone bigint, start bigint, size bigint")

@@ -190,6 +190,17 @@ def test_shared_folder(spark, monkeypatch):
         runtime.shared_dir(Far)
 
 
+def test_very_wide_intervals_have_borders_too(spark, monkeypatch):
+    from spanloom.operators import ordered
+
+    monkeypatch.setattr(ordered, "ROWS", 1)
+    monkeypatch.setattr(ordered, "SAMPLE", 1.0)
+    far = 1 << 61
+    rows = [("a", -far, -far // 2), ("a", -far // 2 + 2, 5), ("a", 0, far), ("a", far - 3, (1 << 62)), ("b", 1, 2)]
+    got = sorted(map(tuple, iv.merge(frame(spark, rows), ["chrom"]).select("chrom", "lo", "hi").collect()))
+    assert got == [("a", -far, -far // 2), ("a", -far // 2 + 2, 1 << 62), ("b", 1, 2)]
+
+
 def test_states_carried_over_partitions_and_batches(spark):
     from spanloom.operators.ordered import carried
 
