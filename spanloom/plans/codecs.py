@@ -32,6 +32,15 @@ def _psl(s: SparkSession, d: str) -> DataFrame:
     return got.select("line_no", "matches", "q_name", "q_strand", "t_strand", F.aggregate("block_sizes", F.lit(0), lambda a, x: a + x).alias("bases"), "error")
 
 
+def _typed_rows(s: SparkSession, d: str) -> DataFrame:
+    """A value that isn't there is a dot. Names stand in quotes, their tabs escaped, as a table has neither empty cells nor cells with separators."""
+    ident, pileup, name = (F.coalesce(_s(c), F.lit(".")) for c in ("peak_id", "pileup", "peak_name"))
+    bare = F.replace(F.replace(name, F.lit("%"), F.lit("%25")), F.lit("\t"), F.lit("%09"))
+    got = codecs.typed_rows(_lines(table(s, d, "peaks"), "peak_id", F.concat_ws("\t", ident, pileup, F.concat(F.lit('"'), bare, F.lit('"')))), ["int", "float", "string"], "\t")
+    cell = F.substr("c2", F.lit(2), F.length("c2") - 2)
+    return got.withColumn("c2", F.replace(F.replace(cell, F.lit("%09"), F.lit("\t")), F.lit("%25"), F.lit("%")))
+
+
 def _sgr(s: SparkSession, d: str) -> DataFrame:
     v = F.concat_ws("\t", F.concat(F.lit("chr"), _s("user_id")), _s("event_id"), F.when(F.col("event_id") % 10 == 3, F.lit("bad")).otherwise(_s("value")))
     return codecs.sgr(_lines(table(s, d, "events"), "event_id", v), 1).select("line_no", "chrom", "pos", F.col("error"))
@@ -115,8 +124,7 @@ def _track(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "s05_bed": lambda s, d: codecs.bed(_raw(s, d, "bed5").where("value <> '' AND NOT startswith(value, '#')")).where("error IS NULL").select("line_no", "chrom", "chrom_start", "chrom_end", "name", "score", F.size("others").alias("more")),
-    # a value that isn't there is a dot
-    "s07_typed_rows": lambda s, d: codecs.typed_rows(_lines(table(s, d, "peaks"), "peak_id", F.concat_ws("\t", *(F.coalesce(_s(c), F.lit(".")) for c in ("peak_id", "pileup", "peak_name")))), ["int", "float", "string"], "\t"),
+    "s07_typed_rows": _typed_rows,
     "s08_wig": lambda s, d: codecs.wig(_wig_lines(s, d)).groupBy("kind", "error").agg(F.count("*").alias("n"), F.sum("val").alias("total")),
     "s09_wig_bed_graph": lambda s, d: codecs.wig_bed_graph(codecs.wig(_wig_lines(s, d))).where("error IS NULL").select("line_no", "chrom", "lo", "hi", "val"),
     "s11_gff3": lambda s, d: codecs.gff(_raw(s, d, "gff3")).where("error IS NULL").select("line_no", "seqname", "source", "lo", "hi", "score", "strand", "phase", F.get("attributes", F.lit(0)).getField("values").getItem(0).alias("ident")),

@@ -177,6 +177,20 @@ def test_sequence_queries_do_the_whole_job(spark, tmp_path):
     assert [(r["c0"], r["c1"], r["c2"], r["error"]) for r in sorted(run("s07_typed_rows"))] == [(7, 1.5, "a b whole name", None), (8, None, "x", "c1")]
 
 
+def test_typed_rows_keep_any_name_and_nan(spark, tmp_path):
+    import math
+
+    from spanloom import catalog
+
+    names = ["", "\t", "a\tb", " a ", "%09", "%2509\t%", '"', "a\nb", ".", "é"]
+    rows = [(i, 1.5, n) for i, n in enumerate(names)] + [(20, math.nan, ""), (21, None, ""), (22, math.nan, None), (23, -math.inf, "x")]
+    spark.createDataFrame(rows, "peak_id bigint, pileup double, peak_name string").write.parquet(f"{tmp_path}/peaks.parquet")
+    got = {r["c0"]: r for r in catalog.queries()["s07_typed_rows"](spark, str(tmp_path)).collect()}
+    assert [(got[i]["c1"], got[i]["c2"], got[i]["error"]) for i in range(len(names))] == [(1.5, n, None) for n in names]
+    assert all(math.isnan(got[i]["c1"]) and got[i]["error"] is None for i in (20, 22))
+    assert [(got[i]["c1"], got[i]["c2"], got[i]["error"]) for i in (21, 23)] == [(None, "", "c1"), (-math.inf, "x", None)] and (got[20]["c2"], got[22]["c2"]) == ("", ".")
+
+
 def test_curves_of_empty_classes(spark):
     df = spark.createDataFrame([(0.5, True), (0.1, True)], "s double, l boolean")
     r = stats.areas(df, F.col("s"), F.col("l")).first()
