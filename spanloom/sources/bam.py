@@ -10,13 +10,17 @@ A record's virtual offset is that of its block in the file, shifted by 16 bits,
 
 from __future__ import annotations
 
+import itertools
+import re
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -33,6 +37,11 @@ SPLIT = 64 << 20
 CHAIN = 12
 #: Bytes looked at for them at most.
 LOOK = 1 << 24
+#: Inflated bytes, or bases to write, that are worked on at once, if records aren't longer.
+RUN = 1 << 20
+_CODES = np.full(256, 255, np.uint8)
+_CODES[np.frombuffer(BASES.encode(), np.uint8)] = np.arange(16)
+_WRITTEN = pa.schema([(n, pa.int64() if n in ("flag", "pos", "mapq", "pnext", "tlen") else pa.large_string()) for n in "qname flag rname pos mapq cigar rnext pnext tlen seq qual".split()])
 _PAIRS = np.array([[ord(BASES[x >> 4]), ord(BASES[x & 15])] for x in range(256)], np.uint8)
 
 
@@ -213,35 +222,101 @@ def _number(x: float) -> str:
     return f"{x:.9g}" if isinstance(x, float) else str(x)
 
 
-def _decoders(refs: list[tuple[str, int]]) -> dict:
-    """Of each column, a function of a record's bytes, fixed fields and virtual offset."""
-    ref = lambda i: refs[i][0] if i >= 0 else None
-    cigar_at = lambda x: 32 + x[2]
-    seq_at = lambda x: 32 + x[2] + 4 * x[5]
-
-    def ops(r: bytes, x: tuple, _: int) -> str:
-        return "".join(f"{o >> 4}{OPS[o & 15]}" for o in struct.unpack_from(f"<{x[5]}I", r, cigar_at(x))) or "*"
+# Fixed fields of a record: its length, ref, pos, length of the name, mapq, bin, operations, flag, length of the sequence, next ref, next pos, template length
+_FIXED = np.dtype([(n, "<" + k) for n, k in zip("size ref pos l_name mapq bin ops flag l_seq nref npos tlen".split(), "i4 i4 i4 u1 u1 u2 u2 u2 i4 i4 i4 i4".split(), strict=True)])
+
+
+def _places(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... of each run in turn."""
+    to = np.cumsum(lens)
+    return np.arange(to[-1] if len(to) else 0) + np.repeat(starts - (to - lens), lens)
+
+
+def _texts(data: np.ndarray, lens: np.ndarray, missing: np.ndarray | None = None, kind: pa.DataType | None = None) -> pa.Array:
+    """Strings of ``lens`` bytes each, which stand in ``data`` one after the other; UTF-8 is checked."""
+    offsets = np.concatenate([[0], np.cumsum(lens)])
+    out = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    out = out.cast(kind or pa.string())
+    return out if missing is None or not missing.any() else pc.if_else(pa.array(missing), pa.scalar(None, out.type), out)
+
+
+def _decoded(names: list[str], refs: list[tuple[str, int]], held: bytes, at: np.ndarray, voffsets: np.ndarray) -> pa.RecordBatch:
+    """The named columns of the whole records at ``at``."""
+    data = np.frombuffer(held, np.uint8)
+    if len(at) and int(at[-1]) + _FIXED.itemsize > len(data):
+        raise ValueError("a record is too short")
+    x = data[at[:, None] + np.arange(_FIXED.itemsize)].view(_FIXED)[:, 0]
+    size, l_name, n_ops, l_seq = (x[n].astype(np.int64) for n in ("size", "l_name", "ops", "l_seq"))
+    l_packed = (l_seq + 1) // 2
+    if ((l_name < 1) | (l_seq < 0) | (32 + l_name + 4 * n_ops + l_packed + l_seq > size)).any():
+        raise ValueError("a record's fields are longer than it")
+    ops_at = at + 36 + l_name
+    seq_at = ops_at + 4 * n_ops
+    qual_at = seq_at + l_packed
+    known = pa.array([n for n, _ in refs], pa.string())
+    ints = lambda v, missing=None: pa.array(v.astype(np.int32), mask=missing)
+    ref = lambda i: known.take(pa.array(i, mask=i < 0))
+
+    def qname() -> pa.Array:
+        return _texts(data[_places(at + 36, l_name - 1)], l_name - 1, (l_name == 2) & (data[at + 36] == ord("*")))
+
+    def cigar() -> pa.Array:
+        d = _texts(data[_places(ops_at, 4 * n_ops)], 4 * n_ops, kind=pa.binary()).dictionary_encode()
+        said = ["".join(f"{o >> 4}{OPS[o & 15]}" for o in struct.unpack(f"<{len(v) // 4}I", v)) or "*" for v in d.dictionary.to_pylist()]
+        return pa.array(said, pa.string()).take(d.indices)
+
+    def seq() -> pa.Array:
+        letters = _PAIRS[data[_places(seq_at, l_packed)]].reshape(-1)
+        return _texts(letters[_places(2 * (np.cumsum(l_packed) - l_packed), l_seq)], l_seq, l_seq == 0)
+
+    def qual() -> pa.Array:
+        first = np.full(len(at), 255, np.uint8)
+        first[l_seq > 0] = data[qual_at[l_seq > 0]]
+        # a missing one is empty here, as its bytes are no text
+        lens = np.where(first == 255, 0, l_seq)
+        letters = data[_places(qual_at, lens)] + np.uint8(33)
+        if (letters >= 128).any():
+            return pa.array([None if f == 255 else v.decode("latin-1") for f, v in zip(first, _texts(letters, lens, kind=pa.binary()).to_pylist(), strict=True)], pa.string())
+        return _texts(letters, lens, first == 255)
+
+    of = {
+        "qname": qname, "flag": lambda: ints(x["flag"]), "rname": lambda: ref(x["ref"]), "pos": lambda: ints(x["pos"] + 1, x["pos"] < 0), "mapq": lambda: ints(x["mapq"], x["mapq"] == 255), "cigar": cigar,
+        "rnext": lambda: ref(x["nref"]), "pnext": lambda: ints(x["npos"] + 1, x["npos"] < 0), "tlen": lambda: ints(x["tlen"], x["tlen"] == 0), "seq": seq, "qual": qual,
+        "tags": lambda: pa.array([_tags(held[a:b], 0) for a, b in zip((qual_at + l_seq).tolist(), (at + 4 + size).tolist(), strict=True)], _TAGS), "voffset": lambda: pa.array(voffsets, pa.int64()),
+    }
+    return pa.record_batch([of[n]() for n in names], names)
 
-    def seq(r: bytes, x: tuple, _: int) -> str | None:
-        packed = np.frombuffer(r, np.uint8, (x[7] + 1) // 2, seq_at(x))
-        return _PAIRS[packed].tobytes()[: x[7]].decode() or None
 
-    def qual(r: bytes, x: tuple, _: int) -> str | None:
-        at = seq_at(x) + (x[7] + 1) // 2
-        q = np.frombuffer(r, np.uint8, x[7], at)
-        return None if not len(q) or q[0] == 255 else (q + 33).tobytes().decode("latin-1")
+_TAGS = pa.list_(pa.struct([("tag", pa.string()), ("type", pa.string()), ("value", pa.string())]))
 
-    return {
-        "qname": lambda r, x, v: None if r[32 : 31 + x[2]] == b"*" else r[32 : 31 + x[2]].decode(), "flag": lambda r, x, v: x[6], "rname": lambda r, x, v: ref(x[0]), "pos": lambda r, x, v: x[1] + 1 if x[1] >= 0 else None,
-        "mapq": lambda r, x, v: None if x[3] == 255 else x[3], "cigar": ops, "rnext": lambda r, x, v: ref(x[8]), "pnext": lambda r, x, v: x[9] + 1 if x[9] >= 0 else None, "tlen": lambda r, x, v: x[10] or None, "seq": seq, "qual": qual,
-        "tags": lambda r, x, v: _tags(r, seq_at(x) + (x[7] + 1) // 2 + x[7]), "voffset": lambda r, x, v: v,
-    }
 
-
-_KINDS = {"pos": pa.int32(), "flag": pa.int32(), "mapq": pa.int32(), "pnext": pa.int32(), "tlen": pa.int32(), "voffset": pa.int64(), "tags": pa.list_(pa.struct([("tag", pa.string()), ("type", pa.string()), ("value", pa.string())]))}
+def _runs(b: Reader, hi: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """Bytes, places in them and virtual offsets of the records that begin in blocks which begin before ``hi``, some at a time."""
+    length = struct.Struct("<i").unpack_from
+    while (v := b.voffset()) is not None and v >> 16 < hi:
+        while len(b.held) - b.at < RUN and b.next < hi and b._more():
+            pass
+        if len(b.peek(4)) == 4:
+            b.peek(4 + struct.unpack("<i", b.peek(4))[0])  # one at least is whole
+        blocks, first = (np.array(c, np.int64) for c in zip(*b.starts, strict=True))
+        limit, end, at, found = int(min(first[blocks >= hi], default=len(b.held))), len(b.held), b.at, []
+        while at < limit and at + 4 <= end:
+            size = length(b.held, at)[0]
+            if size < 32:
+                raise ValueError("a record's length is wrong")
+            if at + 4 + size > end:
+                break
+            found.append(at)
+            at += 4 + size
+        if not found:
+            raise ValueError("the file ends inside a record")
+        places = np.array(found, np.int64)
+        k = np.searchsorted(first, places, "right") - 1
+        yield b.held, places, blocks[k] << 16 | places - first[k]
+        b.at = at
 
 
-def records(root: str, path: str, names: list[str], lo: int = 0, hi: int | None = None) -> Iterator[tuple]:
+def records(root: str, path: str, names: list[str], lo: int = 0, hi: int | None = None) -> Iterator[pa.RecordBatch]:
     """The named columns of the records that begin in blocks which begin in [lo, hi) of the file ``path`` on the file system of ``root``."""
     with filesystem(root)[0].open_input_file(path) as f:
         end = f.size()
@@ -256,13 +331,9 @@ def records(root: str, path: str, names: list[str], lo: int = 0, hi: int | None
                 return
             if at >= (b.voffset() or 0):
                 b = Reader(f, end, at >> 16, at & 0xFFFF)
-        of = _decoders(refs)
-        pick = [of[n] for n in names]
-        while (v := b.voffset()) is not None and v >> 16 < hi:
-            r = b.take(struct.unpack("<i", b.take(4))[0])
-            # ref, pos, length of the name, mapq, bin, operations, flag, length of the sequence, next ref, next pos, template length
-            x = struct.unpack_from("<iiBBHHHiiii", r)
-            yield tuple(d(r, x, v) for d in pick)
+        for run in _runs(b, hi):
+            yield _decoded(names, refs, *run)
+        v = b.voffset()
         if v is not None and hi < end:
             start = first_block(f, hi, end)
             if start < end and v >> 16 >= start and first_record(f, end, start, refs) != v:
@@ -289,9 +360,9 @@ def read_at(path: str, voffset: int, names: list[str]) -> tuple:
     with fs.open_input_file(bare) as f:
         refs = header(Reader(f, f.size()))[1]
         b = Reader(f, f.size(), voffset >> 16, voffset & 0xFFFF)
-        r = b.take(struct.unpack("<i", b.take(4))[0])
-        of = _decoders(refs)
-        return tuple(of[n](r, struct.unpack_from("<iiBBHHHiiii", r), voffset) for n in names)
+        size = b.take(4)
+        one = _decoded(names, refs, size + b.take(struct.unpack("<i", size)[0]), np.zeros(1, np.int64), np.array([voffset]))
+        return tuple(c[0].as_py() for c in one.columns)
 
 
 class _Reader(DataSourceReader):
@@ -305,18 +376,8 @@ class _Reader(DataSourceReader):
         return [_Range(x.path, k, k + self.split) for x in files for k in range(0, x.size, self.split)] or [_Range("", 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        held = []
-
-        def batch() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, _KINDS.get(n, pa.string())) for c, n in zip(zip(*held, strict=True), self.names, strict=True)], self.names)
-
-        for r in records(self.path, partition.path, self.names, partition.lo, partition.hi) if partition.path else ():
-            held.append(r)
-            if len(held) == 10_000:
-                yield batch()
-                held = []
-        if held:
-            yield batch()
+        if partition.path:
+            yield from records(self.path, partition.path, self.names, partition.lo, partition.hi)
 
 
 class BamSource(DataSource):
@@ -345,33 +406,127 @@ def bgzip(data: bytes) -> bytes:
     return b"".join(_block(data[i : i + BLOCK]) for i in range(0, len(data), BLOCK)) + EOF
 
 
-def _bin(first: int, last: int) -> int:
+def _bins(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     from spanloom.functions.sequence import BIN_LEVELS
 
-    return next((base + (first >> s) for s, base in BIN_LEVELS if first >> s == last >> s), 0)
-
+    out = np.zeros(len(first), np.int64)
+    for shift, base in reversed(BIN_LEVELS):
+        out = np.where(first >> shift == last >> shift, base + (first >> shift), out)
+    return out
 
-def write_bam(path: str, references: list[tuple[str, int]], rows: list[dict]) -> None:
-    """A BAM file of a few records (columns of ``SCHEMA``)."""
-    import re
 
-    ids = {n: i for i, (n, _) in enumerate(references)}
+def _within(name: str, v: np.ndarray, most: int, least: int = 0) -> np.ndarray:
+    if len(v) and not (least <= v.min() and v.max() <= most):
+        raise ValueError(f"{name} must lie in {least} to {most}")
+    return v
+
+
+def _ints(col: pa.Array, absent: int) -> np.ndarray:
+    return pc.fill_null(col.cast(pa.int64()), absent).to_numpy(zero_copy_only=False)
+
+
+def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values one after the other, and how many each has."""
+    col = pc.fill_null(col.cast(pa.large_binary()), b"")
+    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    whole = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return (whole[offsets[0] : offsets[-1]], np.diff(offsets)) if len(col) else (whole[:0], np.zeros(0, np.int64))
+
+
+def _operations(text: str | None) -> bytes:
+    if text in (None, "*"):
+        return b""
+    return b"".join(struct.pack("<I", int(n) << 4 | OPS.index(o)) for n, o in re.findall(r"(\d+)(.)", text))
+
+
+def _encoded(b: pa.RecordBatch, references: list[tuple[str, int]]) -> bytes:
+    """The records of a batch with the columns of ``_WRITTEN``."""
+    c = {n: b.column(n) for n in b.schema.names}
+    # the last of several references of one name counts
+    names, last = pa.array([n for n, _ in references], pa.large_string()), {n: i for i, (n, _) in enumerate(references)}
+    ident = np.array([*(last[n] for n, _ in references), -1], np.int64)
+    ref = lambda n: ident[_ints(pc.index_in(c[n], value_set=names), len(references))]
+    name, l_name = _bytes(pc.fill_null(pc.if_else(pc.equal(c["qname"], ""), "*", c["qname"]), "*"))
+    seq, l_seq = _bytes(c["seq"])
+    if c["flag"].null_count:
+        raise ValueError("a flag is missing")
+    code = _CODES[seq]
+    if (code > 15).any():
+        raise ValueError(f"a base is none of {BASES}")
+    l_packed = (l_seq + 1) // 2
+    pairs = np.zeros(2 * int(l_packed.sum()), np.uint8)
+    pairs[_places(2 * (np.cumsum(l_packed) - l_packed), l_seq)] = code
+    packed = pairs[::2] << 4 | pairs[1::2]
+    qual, l_qual = _bytes(c["qual"])
+    if (qual >= 128).any():
+        qual, l_qual = _bytes(pa.array([None if q is None else q.encode("latin-1") for q in c["qual"].to_pylist()], pa.binary()))
+    if ((l_qual > 0) & (l_qual != l_seq)).any() or (qual < 33).any():
+        raise ValueError("qualities must be as many as bases, from !")
+    scores = np.full(int(l_seq.sum()), 255, np.uint8)
+    scores[np.repeat(l_qual > 0, l_seq)] = qual - np.uint8(33)
+    d = c["cigar"].dictionary_encode(null_encoding="encode")
+    ops, l_ops = _bytes(pa.array([_operations(t) for t in d.dictionary.to_pylist()], pa.binary()).take(d.indices))
+    pos = _ints(c["pos"], 0) - 1
+    x = np.zeros(b.num_rows, _FIXED)
+    at = np.maximum(pos, 0)
+    int32 = (2**31 - 1, -(2**31))
+    size = 32 + l_name + 1 + l_ops + l_packed + l_seq
+    for n, v, most in (
+        ("size", size, int32), ("ref", ref("rname"), int32), ("pos", pos, int32), ("l_name", l_name + 1, (255,)), ("mapq", _ints(c["mapq"], 255), (255,)), ("bin", _bins(at, at + l_seq), (65_535,)), ("ops", l_ops // 4, (65_535,)), ("flag", _ints(c["flag"], 0), (65_535,)),
+        ("l_seq", l_seq, int32), ("nref", ref("rnext"), int32), ("npos", _ints(c["pnext"], 0) - 1, int32), ("tlen", _ints(c["tlen"], 0), int32),
+    ):
+        x[n] = _within(n, v, *most)
+    out = np.zeros(int((size + 4).sum()), np.uint8)
+    to = np.cumsum(size + 4) - size - 4
+    out[to[:, None] + np.arange(_FIXED.itemsize)] = x.view(np.uint8).reshape(len(x), _FIXED.itemsize)
+    to += _FIXED.itemsize
+    for part, lens, gap in ((name, l_name, 1), (ops, l_ops, 0), (packed, l_packed, 0), (scores, l_seq, 0)):
+        out[_places(to, lens)] = part
+        to += lens + gap
+    return out.tobytes()
+
+
+def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``RUN`` bases each, or of one record."""
+    total, at = np.cumsum(_ints(pc.binary_length(b.column("seq")), 0)), 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + RUN, "right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
+def _write(path: str, references: list[tuple[str, int]], batches: Iterable[pa.RecordBatch]) -> int:
+    """Blocks go out as they are filled; the file has its name when it is whole. Returns the number of records."""
     text = "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in references).encode()
-    out = b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(references))
+    head = [b"BAM\x01", struct.pack("<i", len(text)), text, struct.pack("<i", len(references))]
     for n, size in references:
-        out += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size)
-    for r in rows:
-        name, seq, qual = (r.get("qname") or "*").encode() + b"\0", r.get("seq") or "", r.get("qual")
-        ops = [] if r.get("cigar") in (None, "*") else [(int(n) << 4) | OPS.index(o) for n, o in re.findall(r"(\d+)(.)", r["cigar"])]
-        pos = (r.get("pos") or 0) - 1
-        codes = [BASES.index(c) for c in seq] + [0] * (len(seq) % 2)
-        packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
-        body = struct.pack("<iiBBHHHiiii", ids.get(r.get("rname"), -1), pos, len(name), 255 if r.get("mapq") is None else r["mapq"], _bin(max(pos, 0), max(pos, 0) + len(seq)), len(ops), r["flag"], len(seq),
-                           ids.get(r.get("rnext"), -1), (r.get("pnext") or 0) - 1, r.get("tlen") or 0) + name + struct.pack(f"<{len(ops)}I", *ops) + packed + (bytes(ord(c) - 33 for c in qual) if qual else b"\xff" * len(seq))
-        out += struct.pack("<i", len(body)) + body
+        head.append(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size))
+    rest, rows = b"".join(head), 0
     fs, bare = filesystem(path)
-    with fs.open_output_stream(bare, compression=None) as f:
-        f.write(bgzip(out))
+    part = f"{bare}.{uuid.uuid4().hex}"
+    try:
+        with fs.open_output_stream(part, compression=None) as f:
+            for b in batches:
+                b = pa.RecordBatch.from_arrays([b.column(x.name).cast(x.type) if x.name in b.schema.names else pa.nulls(b.num_rows, x.type) for x in _WRITTEN], schema=_WRITTEN)
+                rows += b.num_rows
+                for piece in _pieces(b):
+                    rest += _encoded(piece, references)
+                    whole = len(rest) // BLOCK * BLOCK
+                    for i in range(0, whole, BLOCK):
+                        f.write(_block(rest[i : i + BLOCK]))
+                    rest = rest[whole:]
+            f.write(bgzip(rest))
+        fs.move(part, bare)
+    except BaseException:
+        if fs.get_file_info(part).type != pafs.FileType.NotFound:
+            fs.delete_file(part)
+        raise
+    return rows
+
+
+def write_bam(path: str, references: list[tuple[str, int]], rows: list[dict]) -> None:
+    """A BAM file of a few records (columns of ``SCHEMA``)."""
+    _write(path, references, [pa.RecordBatch.from_pylist(rows, _WRITTEN)])
 
 
 def write_bams(df: DataFrame, folder: str, references: list[tuple[str, int]]) -> int:
@@ -382,10 +537,10 @@ def write_bams(df: DataFrame, folder: str, references: list[tuple[str, int]]) ->
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rows = [r for b in batches for r in b.to_pylist()]
-        if rows:
-            # a task that is run again writes the same file
-            write_bam(f"{folder}/part-{TaskContext.get().partitionId():05d}.bam", references, rows)
-        yield pa.record_batch([pa.array([len(rows)], pa.int64())], ["n"])
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
+        # a task that is run again writes the same file
+        rows = 0 if first is None else _write(f"{folder}/part-{TaskContext.get().partitionId():05d}.bam", references, itertools.chain([first], batches))
+        yield pa.record_batch([pa.array([rows], pa.int64())], ["n"])
 
     return sum(r["n"] for r in df.mapInArrow(write, "n bigint").collect())

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,19 @@ def test_bam_round_trip(spark, tmp_path):
         df.count()
 
 
+def test_bam_writes_in_proportion_to_its_records(tmp_path):
+    rows = [{"qname": f"r{i}", "flag": i % 4096, "rname": "chr1", "pos": i + 1, "cigar": "12M", "seq": "ACGTACGTACGN", "qual": "I" * 12} for i in range(60_000)]
+    began = time.time()
+    bam.write_bam(str(tmp_path / "x.bam"), [("chr1", 100_000)], rows)
+    # copying all that was written for each record took minutes
+    assert time.time() - began < 20
+    got = [r for lo in range(0, (tmp_path / "x.bam").stat().st_size, 50_000) for b in bam.records(str(tmp_path), str(tmp_path / "x.bam"), ["qname", "flag", "pos", "seq", "qual"], lo, lo + 50_000) for r in b.to_pylist()]
+    assert got == [{k: r[k] for k in ("qname", "flag", "pos", "seq", "qual")} for r in rows]
+    with pytest.raises(ValueError, match="as many as bases"):
+        bam.write_bam(str(tmp_path / "bad.bam"), [], [{"flag": 4, "seq": "ACGT", "qual": "I"}])
+    assert [p.name for p in tmp_path.iterdir()] == ["x.bam"]
+
+
 def test_bam_tags_and_very_long_records(spark, tmp_path):
     raw = b"NMc\xff" + b"XAAq" + b"XZZa b\0" + b"XBBS" + struct.pack("<i", 2) + struct.pack("<2H", 7, 65535) + b"XFf" + struct.pack("<f", 0.5)
     assert [(t["tag"], t["type"], t["value"]) for t in bam._tags(raw, 0)] == [("NM", "i", "-1"), ("XA", "A", "q"), ("XZ", "Z", "a b"), ("XB", "B", "S,7,65535"), ("XF", "f", "0.5")]
