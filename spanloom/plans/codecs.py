@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.sequence import chunks
 from spanloom.sources import codecs, vcf
 from spanloom.sources.text import as_lines
-from spanloom.runtime import table
+from spanloom.runtime import spread, table
 
 
 def _raw(s: SparkSession, d: str, kind: str) -> DataFrame:
@@ -94,7 +94,7 @@ def _vcf(s: SparkSession, d: str) -> DataFrame:
     h = s.createDataFrame([("v", i - 10, x) for i, x in enumerate(head)], "file string, line_no bigint, value string")
     info = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("XX="), _s("p_size"))).when(F.col("p_size") % 5 == 1, F.lit("NOPE=1")).otherwise(F.concat(F.lit("DB;XX="), _s("p_size"), F.lit(",7;DP="), _s("p_size")))
     v = F.concat_ws("\t", F.lit("20"), _s("p_partkey"), F.lit("."), F.lit("G"), F.when(F.col("p_size") == 1, "<DEL>").otherwise("A,T"), F.lit("."), F.lit("PASS"), info, F.lit("GT:GQ"), F.concat(F.lit("0|1:"), _s("p_size")))
-    got = vcf.rows(h.unionByName(as_lines(table(s, d, "part"), F.lit("v"), F.col("p_partkey"), v)))
+    got = vcf.rows(h.unionByName(as_lines(spread(table(s, d, "part").select("p_partkey", "p_size")), F.lit("v"), F.col("p_partkey"), v)))
     key = lambda k, field: F.get(F.filter("info", lambda x: x["key"] == k), F.lit(0)).getField("values").getItem(0).getField(field)
     return got.where("error IS NULL").select("line_no", "pos", F.size("alts").alias("n_alts"), key("DP", "i").alias("dp"), key("XX", "i").alias("xx"), F.get(F.get("samples", F.lit(0)).getField("values"), F.lit(1)).getField("values").getItem(0).getField("i").alias("gq")).unionByName(
         got.where("error IS NOT NULL").groupBy().agg(F.lit(-1).cast("bigint").alias("line_no"), F.count("*").alias("pos"), F.lit(0).alias("n_alts"), F.lit(0).cast("bigint").alias("dp"), F.lit(0).cast("bigint").alias("xx"), F.lit(0).cast("bigint").alias("gq")))

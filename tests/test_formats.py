@@ -85,6 +85,20 @@ def test_vcf(spark):
     assert got[0]["ids"] == ["rs6"] and got[0]["samples"][1]["name"] == "B" and got[0]["info"][0]["values"][0]["i"] == 3 and got[0]["info"][1]["type"] == "flag"
 
 
+def test_vcf_types_are_merged_once_a_file(spark, monkeypatch):
+    head = ["##fileformat=VCFv4.1", '##INFO=<ID=DP,Number=2,Type=String,Description="not the reserved one">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA"]
+    rows = [f"20\t{i + 1}\t.\tG\tA\t.\tPASS\tDB;AN={i};DP=x,{i}\tGT:GQ\t0|1:{i}" if i % 3 else f"20\t{i + 1}\t.\tG\tA\t.\tPASS\tDP={i}\tGT\t0|1" for i in range(60)]
+    lines = table(spark, head + rows)
+    good = vcf.rows(lines).where("error IS NULL")
+    # a filter on errors goes below the columns that it reads, and takes along what they are made of
+    assert "map_zip_with" not in good._jdf.queryExecution().optimizedPlan().toString()
+    got = good.orderBy("line_no").collect()
+    assert [r["pos"] for r in got] == [i + 1 for i in range(60) if i % 3]
+    assert [(x["key"], x["type"], [v["s"] for v in x["values"]]) for x in got[0]["info"]] == [("DB", "flag", []), ("AN", "integer", ["1"]), ("DP", "string", ["x", "1"])]
+    monkeypatch.setattr(vcf, "BROADCAST_BYTES", -1)
+    assert vcf.rows(lines).where("error IS NULL").orderBy("line_no").collect() == got
+
+
 def test_headers_of_more_than_a_million_characters(spark):
     names = [f"{i}" + "x" * 100_000 for i in range(12)]
     head = ["##fileformat=VCFv4.1", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
